@@ -102,32 +102,36 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def runs(kind: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """start and end of each run of bytes of one kind; kind 0 belongs to none, and no run crosses a text's end. at: where each text begins, with the end."""
+    n = len(kind)
+    edge = np.ones(n + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:n])
+    edge[at] = True
+    start = np.flatnonzero(edge[:n] & (kind != 0))
+    end = np.flatnonzero(edge[1:] & (kind != 0)) + 1
+    return start, end
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit polynomial hashes of pieces of data: equal pieces have equal hashes, in every task and run."""
+    up, down = _powers(len(data))
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
 def words(texts: pa.Array, lower: bool = True) -> Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of each text, A-Z in lower case, as 64-bit polynomial hashes: equal words have equal hashes, in every task and run."""
+    """The words `[^\\x20\\x09-\\x0D]+` of each text, A-Z in lower case, as hashes."""
     data, at = flat(texts)
-    n = len(data)
-    if not n:
+    if not len(data):
         none = np.zeros(0, np.int64)
         return Words(none.astype(np.uint64), np.zeros(len(at), np.int64), none, none, data)
     if lower:
         data = _LOWER[data]
-    ink = ~_SPACE[data]
-    edge = np.zeros(n + 1, bool)
-    edge[at] = True
-    before = np.empty(n, bool)
-    before[0], before[1:] = False, ink[:-1]
-    before &= ~edge[:n]
-    start = np.flatnonzero(ink & ~before)
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = False, ink[1:]
-    after &= ~edge[1:]
-    end = np.flatnonzero(ink & ~after) + 1
-    up, down = _powers(n)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start])
-    return Words(h, np.searchsorted(start, at), start, end, data)
+    start, end = runs((~_SPACE[data]).view(np.uint8), at)
+    return Words(hashes(data, start, end), np.searchsorted(start, at), start, end, data)
 
 
 def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

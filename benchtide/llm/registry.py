@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, packing, secret_scan
+from . import exact_dedup, html_extract, packing, quality, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.op2_packing,
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_html_extraction": html_extract.op9_html_extraction,
