@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, packing, quality, secret_scan
+from . import decontaminate, exact_dedup, html_extract, license_scan, packing, quality, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.op2_packing,
+    "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op9_html_extraction": html_extract.op9_html_extraction,
 }
 
