@@ -91,44 +91,43 @@ class Templates:
             own = np.flatnonzero(size == s)
             self.classes[s] = []
             for k in range(bands):
-                least = np.array([self.rank(self.sets[t], k).min() for t in own], np.uint64)
+                least = np.array([self.rank(self.sets[t], k).min() for t in own], np.uint32)
                 order = np.argsort(least, kind="stable")
                 sieve = np.zeros(1 << 16, bool)
-                sieve[least >> np.uint64(48)] = True
+                sieve[least >> np.uint32(16)] = True
                 self.classes[s].append(Band(sieve, least[order], own[order]))
 
     def rank(self, x: np.ndarray, band: int) -> np.ndarray:
-        """The order of shingles in a band: hashes are mixed already, so an odd factor and the high bits make another order."""
-        y = x * self.times[band]
-        return (y ^ (y >> np.uint64(32))) * self.times[band]
+        """The order of shingles in a band: their hashes are mixed already, so the high half of a product with an odd number makes another order."""
+        return (x * self.times[band] >> np.uint64(32)).astype(np.uint32)
 
     def candidates(self, g: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
         """(text, template, window) with a band in common; windows of s shingles are two blocks, from block number `window` of the class on."""
-        many = np.diff(first)
         found: set[tuple[int, int, int]] = set()
+        if not len(g):
+            return found
+        levels, count, s = [], np.diff(first), 1
+        while s <= max(self.classes):  # blocks of s shingles, the last of a text may be shorter; the same in all bands
+            at = np.concatenate([[0], np.cumsum(count)])
+            half = (count + 1) // 2
+            to = np.cumsum(half) - half
+            left = np.repeat(at[:-1] - 2 * to, half) + 2 * np.arange(half.sum())
+            levels.append((s, at, at[1:][count > 0] - 1, left, np.minimum(left + 1, np.repeat(at[1:], half) - 1)))
+            count, s = half, 2 * s
         for k in range(self.bands):
-            block, count, s = self.rank(g, k), many, 1  # the minima of blocks of s shingles, the last of a text may be shorter
-            while True:
+            block = self.rank(g, k)
+            for s, at, last, left, right in levels:
                 if s in self.classes:
-                    at = np.concatenate([[0], np.cumsum(count)])
-                    pair = np.minimum(block, np.append(block[1:], ~np.uint64(0)))
-                    last = at[1:][count > 0] - 1
+                    pair = np.minimum(block, np.append(block[1:], np.uint32(0xFFFFFFFF)))
                     pair[last] = block[last]
                     band = self.classes[s][k]
-                    for w in np.flatnonzero(band.sieve[pair >> np.uint64(48)]):
+                    for w in np.flatnonzero(band.sieve[pair >> np.uint32(16)]):
                         for x in range(int(np.searchsorted(band.least, pair[w])), len(band.least)):
                             if band.least[x] != pair[w]:
                                 break
                             text = int(np.searchsorted(at, w, "right")) - 1
                             found.add((text, int(band.template[x]), int(w - at[text])))
-                if s >= max(self.classes) or not len(block):
-                    break
-                at = np.concatenate([[0], np.cumsum(count)])
-                half = (count + 1) // 2
-                to = np.concatenate([[0], np.cumsum(half)])
-                left = np.repeat(at[:-1], half) + 2 * (np.arange(to[-1]) - np.repeat(to[:-1], half))
-                right = np.minimum(left + 1, np.repeat(at[1:], half) - 1)
-                block, count, s = np.minimum(block[left], block[right]), half, 2 * s
+                block = np.minimum(block[left], block[right])
         return found
 
     def scan(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int]]:
@@ -149,7 +148,7 @@ class Templates:
 def _scan(spread):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = spread.value
-        for batch in C.blocks(batches):
+        for batch in C.blocks(batches, most=1 << 20):
             rows = list(known.scan(C.texts_of(batch["text"])))
             if rows:
                 t, license, share, at = zip(*rows, strict=True)
