@@ -5,8 +5,8 @@ length, at most `most` each). Every piece is a sequence of its own, so no sequen
 padding; pieces of equal length form the buckets from which batches are drawn.
 
 Ids come from a public tokenizer file. Its normaliser and splitter never join characters across ASCII white space, so a
-text's ids are those of its white-space separated parts in order; each distinct part is encoded once by a worker
-(bounded cache) instead of once per occurrence.
+text's ids are those of its white-space separated parts in order; a worker encodes a distinct part once while it stays
+in a bounded cache, not once per occurrence.
 
 Defined results: a null or empty text has the end id only (one piece of length 1). Repeated rows are packed each on its
 own, with the same doc_id. A null doc_id stays null. An empty table gives no pieces. Other input columns play no part.
@@ -15,6 +15,7 @@ own, with the same doc_id. A null doc_id stays null. An empty table gives no pie
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-MOST, END_ID, CACHE = 4096, 2, 400_000
+MOST, END_ID, CACHE = 4096, 2, 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -41,25 +42,36 @@ def lengths(n: int, most: int = MOST) -> list[int]:
     return [most] * (n // most) + [1 << k for k in reversed(range(most.bit_length() - 1)) if n % most >> k & 1]
 
 
-class Encoder:
-    """Texts to little-endian 32-bit ids, by the tokenizer at `path`."""
+#: Marks that end a word without being joined to it by the splitter (an apostrophe may begin a contraction).
+_MARKS = b".,;:!?%#$&*"
 
-    def __init__(self, path: str, cache: int = CACHE):
+
+class Encoder(dict):
+    """White-space separated parts (bytes, A-Z in lower case) to little-endian 32-bit ids, by the tokenizer at `path`."""
+
+    def __init__(self, path: str, most: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.of, self.most, self.known = Tokenizer.from_file(path), cache, {}
+        super().__init__()
+        self.of, self.most = Tokenizer.from_file(path), most
+        self.model = self.of.model
+
+    def __missing__(self, part: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        core = part.rstrip(_MARKS)
+        if core != part and core[-1:].isalnum():
+            ids = self[core] + self[part[len(core) :]]
+        elif part.isalpha() and part.islower():  # one word of a-z: nothing to normalise or to split
+            ids = array("I", [t.id for t in self.model.tokenize(part.decode())]).tobytes()
+        else:
+            ids = array("I", self.of.encode(part.decode(), add_special_tokens=False).ids).tobytes()
+        self[part] = ids
+        return ids
 
-    def encode(self, parts: list[bytes]) -> bytes:
-        known = self.known
-        try:
-            return b"".join([known[x] for x in parts])
-        except KeyError:
-            new = [x for x in dict.fromkeys(parts) if x not in known]
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list(dict.fromkeys(parts))
-        known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.of.encode_batch([x.decode() for x in new], add_special_tokens=False)), strict=True))
-        return b"".join([known[x] for x in parts])
+    def encode(self, text: bytes) -> bytes:
+        # a special token's string is one only as it is written
+        return b"".join([self[x] for x in (text if b"<|" in text else text.lower()).split()])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -81,7 +93,7 @@ def _pieces(path: str, end_id: int, most: int, with_ids: bool):
         for batch in batches:
             doc, start, length, crc, whole, ids = [], [], [], [], [], []
             for i, text in enumerate(batch["text"].cast(pa.large_binary())):
-                raw = code.encode(text.as_py().split()) + end if text.is_valid else end
+                raw = code.encode(text.as_py()) + end if text.is_valid else end
                 view, at, n = memoryview(raw), 0, len(raw) // 4
                 for k in lengths(n, most):
                     doc.append(i)
