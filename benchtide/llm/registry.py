@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, license_scan, packing, quality, secret_scan
+from . import decontaminate, exact_dedup, html_extract, jaccard, license_scan, packing, quality, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.op2_packing,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_html_extraction": html_extract.op9_html_extraction,
+    "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.OP7_SQL}

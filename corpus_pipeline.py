@@ -1,24 +1,50 @@
-"""A corpus pipeline: each stage reads what its predecessor kept."""
+"""A corpus pipeline: each stage works on all that its predecessor kept.
+
+Rejected documents go, of equal and of nearly equal texts one stays, documents that hold benchmark items go, and what is
+left becomes token sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benchtide.llm import exact_dedup, packing
+from benchtide.llm import decontaminate, exact_dedup, jaccard, packing, quality
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier draws."""
+    return quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
+    """One document of each group of equal texts."""
     return exact_dedup.dedup(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of power-of-two lengths."""
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates."""
+    return jaccard.dedup(docs)
+
+
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of power-of-two lengths."""
     return packing.pack(docs)
 
 
-STAGES = [("exact dedup", exact), ("packing", pack)]
+STAGES = [
+    ("quality classifier", good),
+    ("exact dedup", exact),
+    ("n-gram Jaccard join", near),
+    ("benchmark decontamination", unseen),
+    ("packing", packed),
+]
 
+#: The classifier's weights and the tokenizer's ids have no SQL form; tests/llm compare the stages with brute force.
 ORACLE_SQL = None
 
 
