@@ -167,21 +167,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     return out
 
 
+def _hit(spread, coverage: float):
+    @F.arrow_udf("boolean")
+    def hit(column: pa.Array) -> pa.Array:
+        out = []
+        for x in C.blocks(iter([pa.RecordBatch.from_arrays([column], ["text"])])):
+            bad = np.zeros(x.num_rows, bool)
+            bad[[t for t, *_ in spread.value.matches(C.texts_of(x["text"]), coverage)]] = True
+            out.append(bad)
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+
+    return hit
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", tile: int = TILE, coverage: float = COVERAGE, block: int = BLOCK) -> DataFrame:
     """The rows of docs that no item contaminates, with docs' own columns."""
     for items in blocks_of_items(benchmark, item_text, item_id, tile, block):
-        spread = docs.sparkSession.sparkContext.broadcast(items)
-
-        @F.arrow_udf("boolean")
-        def hit(column: pa.Array, spread=spread) -> pa.Array:
-            out = []
-            for x in C.blocks(iter([pa.RecordBatch.from_arrays([column], ["text"])])):
-                bad = np.zeros(x.num_rows, bool)
-                bad[[t for t, *_ in spread.value.matches(C.texts_of(x["text"]), coverage)]] = True
-                out.append(bad)
-            return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
-
-        docs = docs.filter(~hit(F.col(text).cast("string")))
+        docs = docs.filter(~_hit(docs.sparkSession.sparkContext.broadcast(items), coverage)(F.col(text).cast("string")))
     return docs
 
 
