@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, jaccard, license_scan, packing, quality, secret_scan
+from . import decontaminate, exact_dedup, html_extract, jaccard, license_scan, packing, quality, repeats, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.op2_packing,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op4_suffix_array_dedup": repeats.op4_suffix_array_dedup,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
