@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, jaccard, license_scan, packing, quality, repeats, secret_scan
+from . import decontaminate, exact_dedup, html_extract, jaccard, language_model, license_scan, packing, quality, repeats, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": language_model.op1_lm_scoring,
     "op2_packing": packing.op2_packing,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_suffix_array_dedup": repeats.op4_suffix_array_dedup,
