@@ -115,19 +115,19 @@ def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return detect.fixed_threshold(s, most=20), detect.fixed_threshold(s, most=25), s.filter("user_id % 2 = 0")
 
 
-@query("w9_stale_removed", "SELECT event_id AS value_id FROM events WHERE value >= 20 AND NOT (user_id % 2 = 0 AND value < 25)")
+@query("w9_stale_removed", "SELECT event_id AS value_id FROM events WHERE value > 20 AND NOT (user_id % 2 = 0 AND value <= 25)")
 def w9(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, found, scope = _changes(spark, sf_dir)
     return detect.without_stale(stored, found.filter("user_id % 2 = 0"), scope, ("fingerprint", "value_id")).select("value_id")
 
 
-@query("w10_replaced_at_domain", "SELECT event_id AS value_id, CASE WHEN user_id % 2 = 0 THEN 25.0 ELSE 20.0 END AS bound FROM events WHERE CASE WHEN user_id % 2 = 0 THEN value >= 25 ELSE value >= 20 END")
+@query("w10_replaced_at_domain", "SELECT event_id AS value_id, CASE WHEN user_id % 2 = 0 THEN 25.0 ELSE 20.0 END AS bound FROM events WHERE CASE WHEN user_id % 2 = 0 THEN value > 25 ELSE value > 20 END")
 def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, found, scope = _changes(spark, sf_dir)
     return detect.replaced(stored, found.filter("user_id % 2 = 0"), scope, ("fingerprint", "domain")).select("value_id", "bound")
 
 
-@query("w11_window_replaced", f"""WITH {_S}, r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY d DESC, value_id DESC) AS k FROM s) SELECT value_id, CASE WHEN k <= 100 THEN 25.0 ELSE 20.0 END AS bound FROM r WHERE CASE WHEN k <= 100 THEN x >= 25 ELSE x >= 20 END""")
+@query("w11_window_replaced", f"""WITH {_S}, r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY d DESC, value_id DESC) AS k FROM s) SELECT value_id, CASE WHEN k <= 100 THEN 25.0 ELSE 20.0 END AS bound FROM r WHERE CASE WHEN k <= 100 THEN x > 25 ELSE x > 20 END""")
 def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = event_series(spark, sf_dir).drop("user_id")
     recent = series.newest(s, 100).drop("place")

@@ -116,7 +116,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CH = """ch AS (SELECT event_type AS folder, user_id AS run_id, event_id AS change_id, CASE WHEN value < 1 THEN 'below' ELSE 'above' END AS detector, CASE WHEN value < 1 THEN 'below' ELSE 'above' END || ' ' || printf('%.2f', value) AS detail, event_id % 3 <> 0 AS dispatch, ts AS detected_at FROM events WHERE value < 1 OR value >= 20)"""
+_CH = """ch AS (SELECT event_type AS folder, user_id AS run_id, event_id AS change_id, CASE WHEN value < 1 THEN 'below' ELSE 'above' END AS detector, CASE WHEN value < 1 THEN 'below' ELSE 'above' END || ' ' || printf('%.2f', value) AS detail, event_id % 3 <> 0 AS dispatch, ts AS detected_at FROM events WHERE value < 1 OR value > 20)"""
 
 
 @query("g11_change_summary", f"WITH {_CH} SELECT run_id, count(*) AS n_changes, string_agg(detail, '; ' ORDER BY detail) AS details FROM ch GROUP BY 1")

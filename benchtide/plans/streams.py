@@ -50,7 +50,7 @@ def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("value_id", "k")
 
 
-@query("t2_t3_cascade_detection", "SELECT event_id AS value_id, CASE WHEN value < 1 THEN 'below' ELSE 'above' END AS direction FROM events WHERE value < 1 OR value >= 20")
+@query("t2_t3_cascade_detection", "SELECT event_id AS value_id, CASE WHEN value < 1 THEN 'below' ELSE 'above' END AS direction FROM events WHERE value < 1 OR value > 20")
 def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches are stored, then detected; a batch replaces what it has found before under its number."""
     store, found = _folder(spark, "store"), _folder(spark, "found")
