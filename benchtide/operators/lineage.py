@@ -21,13 +21,15 @@ def closure(edges: DataFrame, start: DataFrame, up: bool = False, with_start: bo
     a, b = ("child_id", "parent_id") if up else ("parent_id", "child_id")
     step = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
     front = saved(start.select(F.col("id").alias("root"), "id").distinct())
-    seen, first = front, front
+    seen, first, rounds = front, front, 0
     while True:
         new = front.join(step, "id").select("root", F.col("next").alias("id")).distinct().join(seen, ["root", "id"], "left_anti")
-        front = saved(new)
+        front, rounds = saved(new), rounds + 1
         if front.isEmpty():
             break
-        seen = saved(seen.unionAll(front))
+        seen = seen.unionAll(front)  # of checkpoints, so the plan stays short; now and then they become one
+        if rounds % 8 == 0:
+            seen = saved(seen.coalesce(max(1, seen.rdd.getNumPartitions() // 8)))
     return seen if with_start else seen.join(first, ["root", "id"], "left_anti")
 
 
