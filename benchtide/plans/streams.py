@@ -91,3 +91,54 @@ def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = online.online_deviation(_values(_events(spark, sf_dir)), deviations=3.0)
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(out).select("value_id", "direction")
+
+
+@query("s1_json_scan", "SELECT n_nationkey AS nation, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON file per nation, each a document, read back as runs."""
+    from benchtide.sources.documents import json_documents
+
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    counts = n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey").agg(F.count("c_custkey").alias("customers"))
+    path = _folder(spark, "documents")
+    counts.select(F.col("n_nationkey").alias("nation"), "customers", F.col("n_nationkey").alias("part")).repartition("part").write.partitionBy("part").json(path)
+    v = J.parsed(F.col("data"))
+    return json_documents(spark, path, "nations").select(J.at(v, "$.nation", "int").alias("nation"), J.at(v, "$.customers", "bigint").alias("customers"))
+
+
+@query("s6_value_sink", "SELECT l_returnflag AS node, count(*) AS n, sum(l_quantity)::BIGINT AS total FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1 UNION ALL SELECT 'N', count(*), sum(l_quantity + 1)::BIGINT FROM lineitem WHERE l_returnflag = 'N'")
+def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values appended by node; then one node's partition is overwritten, twice, and the others stay."""
+    from benchtide.sources import store
+
+    path = _folder(spark, "values")
+    v = table(spark, sf_dir, "lineitem").select(F.lit("items").alias("folder"), F.col("l_returnflag").alias("node"), F.col("l_orderkey").alias("run_id"), F.col("l_quantity").alias("data"))
+    store.append(v, path)
+    for _ in range(2):
+        store.overwrite(v.filter("node = 'N'").withColumn("data", F.col("data") + 1), path)
+    return store.read(spark, path).groupBy("node").agg(F.count("*").alias("n"), F.sum("data").cast("long").alias("total"))
+
+
+@query("t4_late_data", """WITH s AS (SELECT event_type AS t, event_id AS value_id, value AS x, epoch_us(ts) AS d FROM events WHERE value IS NOT NULL),
+f AS (SELECT *, avg(x) OVER w AS m, stddev_samp(x) OVER w AS raw, count(x) OVER w AS n FROM s WINDOW w AS (PARTITION BY t ORDER BY d, value_id ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, CASE WHEN raw = 0 THEN greatest(abs(m) * 0.001, 1e-10) ELSE raw END AS sd FROM f WHERE n + 1 >= 10)
+SELECT value_id FROM g WHERE x > m + 3 * sd OR x < m - 3 * sd""")
+def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later values come first; when the earlier ones arrive, the series they touch are detected anew from the store."""
+    e = _values(table(spark, sf_dir, "events"))
+    path = _folder(spark, "late")
+    middle = e.agg(F.avg("domain")).first()[0]
+    for late in (F.col("domain") >= middle, F.col("domain") < middle):
+        e.filter(late).write.mode("append").parquet(path)
+    stored = spark.read.parquet(path)
+    touched = detect.contributing(stored, e.filter(F.col("domain") < middle))
+    return detect.deviation(touched, deviations=3.0).select("value_id")
+
+
+@query("x6_errors_give_no_value", "SELECT event_id AS run_id FROM events WHERE event_id % 4 <> 0")
+def x6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node whose evaluation fails on some rows has no value there; the others are not affected."""
+    from .pipeline import Node, Pipeline
+
+    p = Pipeline([Node("text", ("event_id", "value"), lambda event_id, value: F.when(event_id % 4 == 0, F.lit("broken")).otherwise(value.cast("string"))), Node("number", ("text",), lambda t: t.try_cast("double"))])
+    return p.run(table(spark, sf_dir, "events")).filter("number IS NOT NULL").select(F.col("event_id").alias("run_id"))
