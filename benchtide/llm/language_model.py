@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Bytes of text in a batch; one deleted training text of DELETED; steps of expectation-maximisation; buckets of context frequency.
-BATCH, DELETED, STEPS, LEVELS, FLOOR = 16 << 20, 10, 12, 24, 1e-6
+BATCH, DELETED, STEPS, LEVELS, FLOOR = 8 << 20, 10, 12, 24, 1e-6
 _START, _END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 
 
