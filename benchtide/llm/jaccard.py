@@ -12,7 +12,8 @@ have p - d of them or more: linked nodes that agree nowhere else have so many bo
 
 Links. Each member of a tile is compared with the tile's first member, and the links found join nodes to components. Only
 members of tiles that are still in several components are compared further: those outside the tile's largest component
-with all members, in blocks. All comparisons first bound the intersection by the bits of hashed bitmaps, and what passes
+with all members, in blocks; first for a few pairs that would connect them, then for every pair that is left. All
+comparisons first bound the intersection by the bits of hashed bitmaps, and what passes
 is decided by the exact intersection of sorted arrays. No pair is skipped unless both ends are connected already, so the
 components are those of all links.
 
@@ -24,6 +25,7 @@ columns play no part. Shingles and nodes are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ from . import common as C
 
 WORDS, PERCENT, GROWTH, SLACK = 4, 85, 1.5, 0.06
 BITMAP = 2048  # bits
-TILE_BLOCK = 512  # members of a tile that are compared with others at once
+TILE_BLOCK = 1024  # members of a tile that are compared with others at once
 
 _K = np.uint64(0xD6E8FEB86659FD93)
 
@@ -182,8 +184,14 @@ def _members(t: pa.Table) -> pa.Table:
     return pa.table({"tile": k[keep].view(np.int64), "first": least[keep], "node": v[keep], "size": many[keep]})
 
 
-def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.blocks(batches):
+        yield pa.RecordBatch.from_arrays([batch["row"], pa.array([zlib.compress(x.as_py() or b"", 1) for x in batch["text"].cast(pa.large_binary())], pa.binary())], ["row", "z"])
+
+
+def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for zipped in C.blocks(batches, "z"):
+        batch = pa.RecordBatch.from_arrays([pa.array([zlib.decompress(x.as_py()) for x in zipped["z"]], pa.large_binary()).view(pa.large_string())], ["text"])
         g, first = sets(C.texts_of(batch["text"]))
         bits = bitmaps(g, first)
         yield pa.RecordBatch.from_arrays(
@@ -215,36 +223,63 @@ def _exact(percent: int):
     return exact
 
 
-def _compare(percent: int):
+def _compare(percent: int, spanning: bool):
     def compare(t: pa.Table) -> pa.Table:
-        """Pairs of a block's members and the tile's unconnected members that may link. Rows: tile, block, node, root, outer, n, bits."""
+        """Pairs of a block's members and the tile's unconnected members that may link. Rows: tile, block, node, root, outer (unconnected with most of the tile), guest (from another block), n, bits.
+
+        spanning: only pairs that would connect what no pair before them in the block would, so their number doesn't exceed that of the members.
+        """
         tile, block, node, root, n = (t[c].to_numpy() for c in ("tile", "block", "node", "root", "n"))
-        outer, bits = t["outer"].to_numpy().astype(bool), _bits(t["bits"].combine_chunks())
-        order = np.lexsort((outer, block, tile))
+        outer, guest, bits = t["outer"].to_numpy().astype(bool), t["guest"].to_numpy().astype(bool), _bits(t["bits"].combine_chunks())
+        order = np.lexsort((guest, block, tile))
         edge = np.flatnonzero(np.concatenate([[True], (tile[order][1:] != tile[order][:-1]) | (block[order][1:] != block[order][:-1])]))
         out = []
         for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
             own = order[a:b]
-            x, inner = own[outer[own]], own[~outer[own]]
-            for i in x:
-                y = inner[root[inner] != root[i]]
-                if len(y):
-                    y = y[may_link(n[i], bits[i][None], n[y], bits[y], percent)]
-                    if len(y):
-                        out.append(np.stack([np.minimum(node[i], node[y]), np.maximum(node[i], node[y])]))
+            x, inner = own[outer[own]], own[~guest[own]]
+            whose, first = root[inner], root[x]  # components as they would be if all pairs linked
+            for k, i in enumerate(x):
+                near = whose != first[k]
+                y = inner[near]
+                if not len(y):
+                    continue
+                ok = may_link(n[i], bits[i][None], n[y], bits[y], percent)
+                if not ok.any():
+                    continue
+                y = y[ok]
+                if spanning:
+                    meets, at = np.unique(whose[near][ok], return_index=True)
+                    y = y[at]
+                    mine = first[k]
+                    whose[np.isin(whose, meets)] = mine
+                    first[np.isin(first, meets)] = mine
+                out.append(np.stack([np.minimum(node[i], node[y]), np.maximum(node[i], node[y])]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
     return compare
 
 
-def _links(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs(a, b): first by the bounds, then exactly."""
+def _unconnected(members: DataFrame, roots: DataFrame, info: DataFrame, percent: int, tile_block: int, lots: int, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of members of one tile but of several components that may link."""
+    rooted = members.filter("size > 2").join(roots, "node", "left").select("tile", "node", "size", F.coalesce("root", "node").alias("root"))
+    sizes = rooted.groupBy("tile", "root").agg(F.count("*").alias("k"))
+    split = sizes.groupBy("tile").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("tile", "main")
+    open_tiles = rooted.join(split, "tile").withColumn("blocks", F.ceil(F.col("size") / tile_block).cast("int"))
+    open_tiles = open_tiles.select("tile", "node", "root", (F.col("root") != F.col("main")).alias("outer"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    home = open_tiles.select("tile", F.col("own").alias("block"), "node", "root", "outer", F.lit(False).alias("guest"))
+    away = open_tiles.filter("outer AND blocks > 1").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "root", "outer", F.lit(True).alias("guest"), "own")
+    sides = home.unionByName(away.filter("block <> own").drop("own")).join(info.select("node", "n", "bits"), "node")
+    return sides.withColumn("lot", F.pmod(F.xxhash64("tile", "block"), F.lit(lots))).groupBy("lot").applyInArrow(_compare(percent, spanning), "a long, b long").distinct()
+
+
+def _links(pairs: DataFrame, info: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
+    """The linked ones of pairs(a, b): first by the bounds, unless that is done, then exactly."""
 
     def side(x: str, *columns: str) -> DataFrame:
         return info.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
 
-    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").mapInArrow(_bounded(percent), "a long, b long")
+    near = pairs if bounded else pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").mapInArrow(_bounded(percent), "a long, b long")
     return near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_exact(percent), "a long, b long")
 
 
@@ -266,24 +301,21 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     members = C.cut(postings.groupBy("bucket").applyInArrow(_members, "tile long, first long, node long, size long"))
     pairs = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     chosen = marks.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
-    text_rows = rows.select("row", "text").join(chosen.hint("shuffle_hash"), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
-    info = C.cut(text_rows.select("text").mapInArrow(_info, "node long, n long, bits binary, shingles binary"))
+    packed = rows.select("row", "text").mapInArrow(_shrink, "row long, z binary")
+    text_rows = packed.join(chosen.hint("shuffle_hash"), "row", "left_semi").groupBy("row").agg(F.first("z").alias("z"))
+    info = C.cut(text_rows.select("z").mapInArrow(_info, "node long, n long, bits binary, shingles binary"))
     links = C.cut(_links(pairs, info, percent))
-    roots = C.cut(components(links))
-
-    rooted = members.filter("size > 2").join(roots, "node", "left").select("tile", "node", "size", F.coalesce("root", "node").alias("root"))
-    sizes = rooted.groupBy("tile", "root").agg(F.count("*").alias("k"))
-    split = sizes.groupBy("tile").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("tile", "main")
-    open_tiles = rooted.join(split, "tile").withColumn("blocks", F.ceil(F.col("size") / tile_block).cast("int"))
-    inner = open_tiles.select("tile", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "root", F.lit(False).alias("outer"))
-    outer = open_tiles.filter("root <> main").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "root", F.lit(True).alias("outer"))
-    sides = inner.unionByName(outer).join(info.select("node", "n", "bits"), "node")
     lots = max(8 * parts, members.count() // 20_000)
-    more = sides.withColumn("lot", F.pmod(F.xxhash64("tile", "block"), F.lit(lots))).groupBy("lot").applyInArrow(_compare(percent), "a long, b long").distinct()
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    found = C.cut(_links(more, info, percent))
-    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found)
-    return marks.join(components(edges), "node", "left").select("doc_id", "row", "n", "node", F.coalesce("root", "node").alias("root"))
+    # nodes that link with one first member are connected; that is enough to leave most pairs out
+    hint = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    more = C.cut(_unconnected(members, hint, info, percent, tile_block, lots, True).join(pairs, ["a", "b"], "left_anti"))
+    links = C.cut(links.unionAll(_links(more, info, percent, True)))
+    roots = C.cut(components(links))
+    rest = _unconnected(members, roots, info, percent, tile_block, lots, False).join(pairs.unionAll(more), ["a", "b"], "left_anti")
+    found = C.cut(_links(rest, info, percent, True))
+    if not found.isEmpty():
+        roots = C.cut(components(found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+    return marks.join(roots, "node", "left").select("doc_id", "row", "n", "node", F.coalesce("root", "node").alias("root"))
 
 
 def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:

@@ -318,3 +318,18 @@ def test_kth_largest(spark):
     df = spark.createDataFrame([(float(x),) for x in xs], "key double")
     for k in (1, 7, 250, 500):
         assert quality.kth_largest(df, k) == sorted(xs)[-k]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 40])
+def test_components(spark, most):
+    """In one task, and in rounds over several."""
+    from benchtide.llm.graph import components
+
+    rng = np.random.default_rng(7)
+    edges = [(k, k + 1) for k in range(0, 90)] + [(200 + int(x), 300 + int(y)) for x, y in rng.integers(0, 60, (70, 2))] + [(500, 501), (501, 500), (502, 502)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(len(edges)):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5), most).collect()}
+    assert {k: v for k, v in root.items() if k != 502} == got
