@@ -1,12 +1,13 @@
 """N-gram Jaccard join: size-banded tiles, bitmap bounds, exact intersections, connected components.
 
-A text is the set of its distinct 4-word shingles. Texts with equal sets are one node. Nodes link when the Jaccard
-similarity of their sets is PERCENT/100 or more.
+A text is the set of its distinct shingles of `words` words (WORDS = 4 in the query). Texts with equal sets are one node.
+Nodes link when the Jaccard similarity of their sets is percent/100 or more (PERCENT = 85 in the query).
 
 Tiles. Two linked sets of at most U shingles differ in d = 2U(1-t)/(1+t) shingles at most. If the hash space is cut into
-p > d ranges, they have the same shingles in p - d ranges at least. So every node is put into a tile for each range: the
-key is a hash of the size band, the range and the shingles there, and all links lie within tiles. Bands grow by GROWTH; a
-node near the upper end of its band also enters the tiles of the next one. A shared passage brings texts together only
+p > d ranges, they have the same shingles in p - d ranges at least. Of these, the one with the most shingles (ties by hash)
+has p - d - 1 smaller ones beside it in either set. So every node is put into a tile for each range but its p - d - 1
+smallest: the key is a hash of the size band, the range and the shingles there, and all links lie within tiles. Bands grow by GROWTH; a
+node also enters the tiles of each larger band that sets it may link with lie in. A shared passage brings texts together only
 where it fills a whole range, so frequent passages make few false tiles. Empty ranges make a tile only for nodes that
 have p - d of them or more: linked nodes that agree nowhere else have so many both.
 
@@ -18,7 +19,7 @@ is decided by the exact intersection of sorted arrays. No pair is skipped unless
 components are those of all links.
 
 Defined results: a null text, an empty one or one without words has an empty set, links with nothing and is its own
-component. A text of fewer than four words has its whole sequence as its one shingle. Repeated rows are equal texts. A
+component. A text of fewer than `words` words has its whole sequence as its one shingle. Repeated rows are equal texts. A
 null doc_id is not chosen as a component's id unless nothing else is there. An empty table gives an empty result. Other
 columns play no part. Shingles and nodes are told apart by 64-bit hashes.
 """
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,14 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WORDS, PERCENT, GROWTH, SLACK = 4, 85, 1.5, 0.06
+WORDS, PERCENT, GROWTH, SLACK = 4, 85, 1.5, 0.4
 BITMAP = 2048  # bits
 TILE_BLOCK = 1024  # members of a tile that are compared with others at once
 
 _K = np.uint64(0xD6E8FEB86659FD93)
 
 
+@lru_cache
 def bands(percent: int = PERCENT, growth: float = GROWTH, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each size band: its largest size, the most differences d of two linked sets up to that size, and the number p of ranges."""
     upper = [1]
@@ -52,9 +55,6 @@ def bands(percent: int = PERCENT, growth: float = GROWTH, most: int = 1 << 40) -
     return u, d, np.where(d == 0, 1, d + 1 + np.ceil(SLACK * d).astype(np.int64))
 
 
-_UPPER, _DIFFER, _RANGES = bands()
-
-
 def sets(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text, sorted, end to end, and where each text's begin."""
     g, first = C.grams(C.words(texts), n)
@@ -82,16 +82,18 @@ def nodes(g: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def tiles(g: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """The keys of the tiles of each set, and which set it is."""
+    upper, differ, ranges = bands(percent)
     size = np.diff(first)
-    own = np.searchsorted(_UPPER, size)
+    own = np.searchsorted(upper, size)
+    most = size * 100 // percent  # the largest set that each may link with
     keys, whose = [], []
     inner = C.mix(g + np.uint64(0x5851F42D4C957F2D))
-    for step in (0, 1):  # the own band, and the next one for sets that may link with larger ones there
-        band = own + step
-        takes = (size > 0) & (_DIFFER[band] > 0)
+    for step in range(int((np.searchsorted(upper, most) - own).max(initial=0)) + 1):  # the own band, and larger ones for sets that may link with sets there
+        band = np.minimum(own + step, len(upper) - 1)
+        takes = (size > 0) & (differ[band] > 0)
         if step:
-            takes &= size * 100 // percent > _UPPER[own]
-        p = np.where(takes, _RANGES[band], 0)
+            takes &= most > upper[band - 1]
+        p = np.where(takes, ranges[band], 0)
         base = np.concatenate([[0], np.cumsum(p)])
         doc = np.repeat(np.arange(len(size)), np.where(takes, size, 0))
         if not len(doc):
@@ -102,10 +104,15 @@ def tiles(g: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.
         edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         total = np.add.reduceat(inner[use], edge)
         d, k = doc[edge], part[edge]
-        keys.append(C.mix(C.mix(total) + C.mix((band[d].astype(np.uint64) << np.uint64(40)) + k.astype(np.uint64))))
-        whose.append(d)
-        empty = p - np.bincount(d, minlength=len(size))
-        for x in np.flatnonzero(takes & (empty >= p - _DIFFER[band]) & (empty > 0)):
+        key = C.mix(C.mix(total) + C.mix((band[d].astype(np.uint64) << np.uint64(40)) + k.astype(np.uint64)))
+        full = np.bincount(d, minlength=len(size))
+        empty = p - full
+        order = np.lexsort((key, np.diff(np.append(edge, len(doc))), d))
+        place = np.arange(len(d)) - (np.cumsum(full) - full)[d]  # within the set, the smallest first; d never falls
+        kept = order[place >= (p - differ[band] - 1 - empty)[d]]
+        keys.append(key[kept])
+        whose.append(d[kept])
+        for x in np.flatnonzero(takes & (empty >= p - differ[band]) & (empty > 0)):
             gone = np.setdiff1d(np.arange(p[x]), k[d == x]).astype(np.uint64)
             keys.append(C.mix((np.uint64(band[x]) << np.uint64(40)) + gone))
             whose.append(np.full(len(gone), x))
@@ -137,18 +144,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in C.blocks(batches):
-        g, first = sets(C.texts_of(batch["text"]))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(np.diff(first), pa.int64()), pa.array(nodes(g, first).view(np.int64))], ["doc_id", "row", "n", "node"])
+def _marks(words: int):
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.blocks(batches):
+            g, first = sets(C.texts_of(batch["text"]), words)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(np.diff(first), pa.int64()), pa.array(nodes(g, first).view(np.int64))], ["doc_id", "row", "n", "node"])
+
+    return marks
 
 
-def _postings(buckets: int, percent: int):
+def _postings(buckets: int, words: int, percent: int):
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.blocks(batches, most=4 * C.BLOCK_BYTES):
             keys, who = [], []
             for part in C.blocks(iter([batch])):
-                g, first = sets(C.texts_of(part["text"]))
+                g, first = sets(C.texts_of(part["text"]), words)
                 k, whose = tiles(g, first, percent)
                 keys.append(k)
                 who.append(nodes(g, first)[whose])
@@ -189,15 +199,18 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["row"], pa.array([zlib.compress(x.as_py() or b"", 1) for x in batch["text"].cast(pa.large_binary())], pa.binary())], ["row", "z"])
 
 
-def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for zipped in C.blocks(batches, "z"):
-        batch = pa.RecordBatch.from_arrays([pa.array([zlib.decompress(x.as_py()) for x in zipped["z"]], pa.large_binary()).view(pa.large_string())], ["text"])
-        g, first = sets(C.texts_of(batch["text"]))
-        bits = bitmaps(g, first)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes(g, first).view(np.int64)), pa.array(np.diff(first), pa.int64()), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([g[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())],
-            ["node", "n", "bits", "shingles"],
-        )
+def _info(words: int):
+    def info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for zipped in C.blocks(batches, "z"):
+            batch = pa.RecordBatch.from_arrays([pa.array([zlib.decompress(x.as_py()) for x in zipped["z"]], pa.large_binary()).view(pa.large_string())], ["text"])
+            g, first = sets(C.texts_of(batch["text"]), words)
+            bits = bitmaps(g, first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes(g, first).view(np.int64)), pa.array(np.diff(first), pa.int64()), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([g[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())],
+                ["node", "n", "bits", "shingles"],
+            )
+
+    return info
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -287,23 +300,23 @@ def _row(doc_id: str, text: str):
     return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, tile_block: int = TILE_BLOCK) -> DataFrame:
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, tile_block: int = TILE_BLOCK, words: int = WORDS) -> DataFrame:
     """(doc_id, row, n, node, root) of each row, as read from checkpoints. row: a hash of doc_id and text. root: the component's least node."""
     from .graph import components
 
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _row(doc_id, text).alias("row"), F.col(text).cast("string").alias("text"))
-    marks = C.cut(rows.mapInArrow(_marks, "doc_id long, row long, n long, node long"))
+    marks = C.cut(rows.mapInArrow(_marks(words), "doc_id long, row long, n long, node long"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = marks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(8 * parts, total // 2_000_000)  # about 600,000 keys in each at most, however large the input
-    postings = rows.select("text").mapInArrow(_postings(buckets, percent), "bucket int, keys binary, nodes binary")
+    postings = rows.select("text").mapInArrow(_postings(buckets, words, percent), "bucket int, keys binary, nodes binary")
     members = C.cut(postings.groupBy("bucket").applyInArrow(_members, "tile long, first long, node long, size long"))
     pairs = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     chosen = marks.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
     packed = rows.select("row", "text").mapInArrow(_shrink, "row long, z binary")
     text_rows = packed.join(chosen.hint("shuffle_hash"), "row", "left_semi").groupBy("row").agg(F.first("z").alias("z"))
-    info = C.cut(text_rows.select("z").mapInArrow(_info, "node long, n long, bits binary, shingles binary"))
+    info = C.cut(text_rows.select("z").mapInArrow(_info(words), "node long, n long, bits binary, shingles binary"))
     links = C.cut(_links(pairs, info, percent))
     lots = max(8 * parts, members.count() // 20_000)
     # nodes that link with one first member are connected; that is enough to leave most pairs out
@@ -318,17 +331,17 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     return marks.join(roots, "node", "left").select("doc_id", "row", "n", "node", F.coalesce("root", "node").alias("root"))
 
 
-def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of the component) of each row."""
-    found = classes(docs, text, doc_id, percent)
+    found = classes(docs, text, doc_id, percent, words=words)
     least = found.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = found.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The rows of docs without their near duplicates: of each component the row with the smallest doc_id stays, and every row with an empty set. docs' own columns."""
-    found = classes(docs, text, doc_id, percent)
+    found = classes(docs, text, doc_id, percent, words=words)
     group = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("row"))
     r, place = C.fresh(docs, "row"), C.fresh(docs, "place")
     stay = found.groupBy(group.alias("group"), (F.col("n") > 0).alias("full")).agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias(r)).select(r, F.col("full").alias(place))

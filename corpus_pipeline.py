@@ -23,8 +23,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
-    return jaccard.dedup(docs)
+    """One document of each component of near duplicates: links are a similarity of 0.8 or more of their sets of five-word shingles."""
+    return jaccard.dedup(docs, words=5, percent=80)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from benchtide.llm import decontaminate, exact_dedup, html_extract, jaccard, language_model, license_scan, packing, quality, repeats, secret_scan
 
 SCHEMA = "doc_id long, text string, kept string, node int, row double"
@@ -167,6 +168,51 @@ def test_linked_sets_share_a_tile(size):
         assert jaccard.may_link(np.array([len(a)]), bits[:1], np.array([len(b)]), bits[1:])[0]
 
 
+@pytest.mark.parametrize("percent", [20, 50, 65, 80, 95])
+def test_linked_sets_share_a_tile_at_any_bound(percent):
+    rng = np.random.default_rng(percent)
+    seen = 0
+    for size in (2, 3, 5, 9, 40, 300):
+        for _ in range(40):
+            b = np.unique(rng.integers(0, 2**63, size * 100 // percent, dtype=np.uint64))
+            a = np.sort(rng.permutation(b)[:size])
+            own = np.unique(np.concatenate([a, rng.integers(0, 2**63, int(rng.integers(0, size + 1)), dtype=np.uint64)]))
+            for x, y in ((a, b), (own, a)):
+                if len(x) == len(y) == len(np.intersect1d(x, y)) or not jaccard.linked(x, y, percent):
+                    continue
+                keys, whose = jaccard.tiles(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), percent)
+                assert set(keys[whose == 0]) & set(keys[whose == 1])
+                seen += 1
+    assert seen
+
+
+def test_pipeline_near_duplicates(spark, odd):
+    """The pipeline's stage links five-word shingles at 0.8, by brute force."""
+    rng = np.random.default_rng(11)
+    texts = list(odd)
+    for n, changes in ((900, 19), (900, 19), (900, 22), (60, 1), (60, 2), (12, 1), (300, 6), (300, 7)):
+        base = [f"v{len(texts)}x{k}" for k in range(n)]
+        texts.append(" ".join(base))
+        for k in range(changes):
+            base[(k + 1) * n // (changes + 1)] = f"other{k}"
+        texts.append(" ".join(base))
+    texts += [" ".join(f"q{k}" for k in range(n)) for n in (40, 46, 50, 60)] + [prose(rng, 3)]
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    want = {i for i in range(len(texts)) if not sets[i] or i == root.index(root[i])}
+    assert len(odd) in want and len(odd) + 1 not in want
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, table(spark, texts), "").collect()}
+    assert kept == want
+
+
 def test_language_model(spark, odd):
     got = language_model.score(table(spark, odd), batch=50_000).collect()
     tokens = [[*(t or "").encode().lower().split(), None] for t in odd]
