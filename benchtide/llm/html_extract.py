@@ -2,10 +2,11 @@
 
 The standard library's parser streams tags and text; every block element begins a new line, and each line has the
 number of its characters per tag. The ratios are smoothed with a Gaussian over neighbouring lines, and a threshold
-splits lines of running text from the rest. The smallest element that holds the running text is the article; what
-stands in it is kept whole, short lines too, but for elements that their tag, role, class or id marks as menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments. Where no element smaller than the page's body holds the
-text, the article reaches from the first to the last line of running text.
+splits lines of running text from the rest. The innermost article or main that holds all running text, or else the
+smallest element that does, is the article, and so is the last first-level heading before it; what stands there is kept
+whole, short lines too, but for elements that their tag, role, class or id marks as menus, headers, footers, sidebars,
+notices, adverts, forms or reader comments. Where no element smaller than the page's body holds the text, the article
+reaches from the first to the last line of running text.
 
 Defined results: a null or empty page, or one without text, gives an empty text of 0 code points. Broken markup is read
 as far as the parser gets through it, which it always does. Repeated rows give repeated rows. Other columns play no part.
@@ -40,15 +41,15 @@ MARKS = re.compile(
     r"footer|foot|site-?footer|bottombar|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations?)?|comments?|replies|reply|respond|disqus|"
     r"discussion|pagination|pager|toolbar|search|skip(?:-?link)?|complementary|contentinfo|form)(?:$|[\s_-])"
 )
-SIGMA, TRUST = 1.5, 0.9
+SIGMA = 1.5
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, holder, shut): holder is the index of the innermost element that may hold an article, shut says that the line stands in what is none."""
+    """Lines of a page: (text, tags, holder, shut, title): holder is the index of the innermost element that may hold an article, shut says that the line stands in what is none, title that it stands in an h1."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.open: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, shut, holder
@@ -58,7 +59,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             _, shut, holder = self.open[-1]
-            self.lines.append((text, self.tags, holder, shut))
+            self.lines.append((text, self.tags, holder, shut, self.within("h1")))
             self.tags = 0
         self.parts = []
 
@@ -108,6 +109,12 @@ class Lines(HTMLParser):
     def within(self, tag: str) -> bool:
         return any(t == tag for t, _, _ in self.open)
 
+    def around(self, holder: int) -> Iterator[int]:
+        """The holder and those around it, the innermost first."""
+        while holder >= 0:
+            yield holder
+            holder = self.holders[holder][0]
+
     @staticmethod
     def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in ("html", "body", "article", "main") and not any(k == "class" and v and "comment" in v.lower() for k, v in attrs):
@@ -136,27 +143,18 @@ def blocks_of(html: str) -> list[str]:
     lines = [x for x in p.lines if not x[3]]
     if not lines:
         return []
-    ratio = smoothed(np.array([len(t) / max(1, n) for t, n, _, _ in lines]))
+    ratio = smoothed(np.array([len(t) / max(1, n) for t, n, *_ in lines]))
     running = ratio >= min(float(np.std(ratio)), float(np.mean(ratio)))  # of equal ratios all are running text
-    weight = np.array([len(t) for t, *_ in lines]) * running
-    inside: dict[int, float] = {}
-    for (_, _, holder, _), w in zip(lines, weight, strict=True):
-        while holder >= 0:
-            inside[holder] = inside.get(holder, 0) + w
-            holder = p.holders[holder][0]
-    total = weight.sum()
-    articles = [h for h, w in inside.items() if p.holders[h][1] in ("article", "main") and w >= 0.5 * total]
-    best = max(articles) if articles else max(h for h, w in inside.items() if w >= TRUST * total)
-
-    def holds(h: int) -> bool:
-        while h >= 0 and h != best:
-            h = p.holders[h][0]
-        return h == best
-
-    kept = [k for k, (_, _, h, _) in enumerate(lines) if holds(h)]
+    around = [[*reversed(list(p.around(h)))] for (_, _, h, *_), on in zip(lines, running, strict=True) if on]  # of each running line: its holders, the outermost first
+    common = [h for h, *others in zip(*around, strict=False) if all(x == h for x in others)]
+    best = next((h for h in reversed(common) if p.holders[h][1] in ("article", "main")), common[-1])
+    on = np.flatnonzero(running)
+    kept = [k for k, (_, _, h, *_) in enumerate(lines) if best in p.around(h)]
     if p.holders[best][1] in ("", "body"):
-        on = [k for k in kept if running[k]]
         kept = [k for k in kept if on[0] <= k <= on[-1]]
+    titles = [k for k in range(kept[0]) if lines[k][4]]
+    if titles and not any(lines[k][4] for k in kept):
+        kept = [*range(titles[-1], kept[0]), *kept]
     return [lines[k][0] for k in kept]
 
 

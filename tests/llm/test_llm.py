@@ -340,6 +340,16 @@ def test_html(spark):
     assert [got[k].text for k in (1, 2, 3, 4)] == ["", "", "plain <text>", "a\n\nb\n\nc"] and all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_html_keeps_all_running_text():
+    long = [f"Paragraph {k} runs on with enough words to be the text of an article, and it says one thing more." for k in range(5)]
+    p = [f"<p>{x}</p>" for x in long]
+    all_of = "\n\n".join
+    assert html_extract.main_text(f"<body><main><article>{p[0]}{p[1]}</article><article>{p[2]}{p[3]}</article></main></body>") == all_of(long[:4])
+    assert html_extract.main_text(f"<body><main>{p[0]}{p[1]}<article>{p[2]}{p[3]}{p[4]}</article></main></body>") == all_of(long)
+    assert html_extract.main_text(f"<body><div class=post><div class=title><h1>Headline</h1></div><div class=text>{''.join(p)}</div></div></body>") == all_of(["Headline", *long])
+    assert html_extract.main_text(f"<body><div><section>{''.join(p) * 4}</section><section>{p[0]}</section></div></body>") == all_of([*long * 4, long[0]])
+
+
 def test_quality(spark):
     rng = np.random.default_rng(9)
     texts, labels = [], []
