@@ -3,7 +3,12 @@
 Three kinds of pattern matches are the base (assign, access, hex). The method adds kind "guess": a value in a credential
 context (`pwd is ...`, `login: ...`, `bearer ...`) is cut into dictionary words, dates, repeats, keyboard walks and
 brute-force spans so that the number of guesses is least; a value whose least cost is GUESSES or more is a secret that
-a person wouldn't have put into prose by chance.
+a person wouldn't have put into prose by chance. Every such value is scored, whatever its shape and length.
+
+A value of letters in one case (or with one capital in front) whose pairs of neighbouring letters are mostly frequent ones
+of prose counts as a word of a guesser's large dictionary, so a plain word of prose is cheap and random letters are not.
+Letters beyond a-z count without their accents; pairs with other letters count as prose. A repeated piece has at most
+UNIT characters; runs, walks and repeats end within UNIT places from their first or last possible end.
 
 Defined results: a null or empty text has no spans: zero counts, the digest of the empty string and an empty `spans`.
 Positions are code points of the whole text, ends exclusive. Repeated rows give repeated rows. Other columns play no part.
@@ -14,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,7 +51,9 @@ ASSIGN_STEMS = (b"passw", b"secret", b"token", b"api")
 CONTEXT_STEMS = (b"passw", b"passphrase", b"passcode", b"pwd", b"secret", b"token", b"cred", b"auth", b"bearer", b"login", b"key")
 #: log10 of the guesses from which a value counts as a secret.
 GUESSES = 10.0
-LONGEST = 64  # longer values are secrets by length: brute force over their parts is beyond any guesser
+UNIT = 32
+#: log10 of the words in a large dictionary, and the share of a word's letter pairs that are frequent in prose.
+DICTIONARY, PROSE = 6.0, 0.7
 
 #: Rows of a keyboard, and words that guessers try first, in that order.
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "1qaz2wsx3edc4rfv5tgb6yhn7ujm", "abcdefghijklmnopqrstuvwxyz")
@@ -55,6 +63,26 @@ COMMON = (
 ).split()
 
 
+#: Pairs of letters that are frequent in English, German, French or Spanish words.
+PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke fr oo av ag if ap gr od bo sp rd do uc bu ei ov by rm ep tt oc fa ef cu rn sc gi da yo cr cl du ga qu ue ff ba ey ls va um pp ua up lu go ht ru ug ds lt pi rc rr eg au ck ew mu br bi pt ak pu ui rg ib tl ny ki rk ys ob mm fu ph og ms ye ud mb ip ub oi rl gu dr hr cc tw ft wn nu af hu nn eo vo rv nf xp gn sm fl iz ok nl my gl aw ju oa eq sy sl ps jo lf nv je nk kn gs dy hy ze ks sk oe rz ah eu zu tz ku kt lb hn hl rb ka hm ko sw wu zw ja eh lg fs gt iu rf rw".split()
+)
+
+
+def prosaic(s: str) -> bool:
+    """Whether a value is one word of letters in the case and with the pairs of letters of prose."""
+    if not s.isalpha() or not (s.islower() or s.isupper() or s.istitle()):
+        return False
+    low = "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c)).replace("ß", "ss")
+    return sum(a + b in PAIRS or not (a + b).isascii() for a, b in zip(low, low[1:], strict=False)) >= PROSE * (len(low) - 1)
+
+
+def _ends(first: int, last: int) -> Iterator[int]:
+    """first to last, or of many the UNIT first and the UNIT last."""
+    yield from range(first, min(last, first + UNIT) + 1)
+    yield from range(max(first + UNIT + 1, last - UNIT), last + 1)
+
+
 class Costs:
     """log10 guess costs of pieces, and the cheapest way to cut a value. words: in order of how early they are guessed."""
 
@@ -104,27 +132,39 @@ class Costs:
             walks[i] = walks[i + 1] + 1 if (low[i], low[i + 1]) in self.next_key else 0
             same[i] = same[i + 1] + 1 if s[i] == s[i + 1] else 0
         size = math.log10(self.alphabet(s))
+        if prosaic(s):
+            offer(0, n, DICTIONARY)
+        repeats = [0] * (UNIT + 1)
+        brute: dict[int, float] = {}  # by pieces before it: the least cost of a brute-force span that has begun and goes on here
         for i in range(n):
             best = min(table[i].values())
             table[i] = {k: c for k, c in table[i].items() if c <= best + 6 and k <= 12} or table[i]
-            for j in range(i + 1, n + 1):
-                offer(i, j, max(size * (j - i), math.log10(11) if j - i == 1 else 0))
+            offer(i, i + 1, max(size, math.log10(11)))
+            for k, c in brute.items():
+                table[i + 1][k + 1] = min(c + size, table[i + 1].get(k + 1, math.inf))
+            brute = {k: min(brute.get(k, math.inf), table[i].get(k, math.inf)) + size for k in {**brute, **table[i]}}
             for j in range(i + 3, min(n, i + self.longest) + 1):
                 if (c := self.word(s[i:j])) is not None:
                     offer(i, j, c)
             for j in range(i + 4, min(n, i + 10) + 1):
                 if s[i].isdigit() and (c := self.date(s[i:j])) is not None:
                     offer(i, j, c)
-            for j in range(i + 3, i + walks[i] + 2):
+            for j in _ends(i + 3, i + walks[i] + 1):
                 offer(i, j, math.log10(94 * 4 * (j - i)))
-            for j in range(i + 3, i + same[i] + 2):
+            for j in _ends(i + 3, i + same[i] + 1):
                 offer(i, j, size + math.log10(j - i))
-            for unit in range(2, (n - i) // 2 + 1):  # a repeated piece costs that piece, times how often
-                reach = 1
-                while s.startswith(s[i : i + unit], i + reach * unit):
-                    reach += 1
-                    offer(i, i + reach * unit, min(size * unit, self.word(s[i : i + unit]) or math.inf) + math.log10(reach))
-        return min(c + math.log10(math.factorial(k)) for k, c in table[n].items())
+            for unit in range(2, min(UNIT, (n - i) // 2) + 1):  # a repeated piece costs that piece, times how often
+                repeats[unit] = max(repeats[unit] - 1, 0)  # characters from i on that equal those a unit later
+                if not repeats[unit]:
+                    while i + repeats[unit] + unit < n and s[i + repeats[unit]] == s[i + repeats[unit] + unit]:
+                        repeats[unit] += 1
+                if same[i] >= unit - 1 or any(unit % u == 0 and repeats[u] >= unit - u for u in range(2, unit // 2 + 1)):
+                    continue  # the piece is itself a repeat, and so cheaper as such
+                if (most := repeats[unit] // unit + 1) > 1:
+                    cost = min(size * unit, self.word(s[i : i + unit]) or math.inf)
+                    for reach in _ends(2, most):
+                        offer(i, i + reach * unit, cost + math.log10(reach))
+        return min(c + math.lgamma(k + 1) / math.log(10) for k, c in table[n].items())
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -144,9 +184,7 @@ def guess_spans(text: str, costs: Costs, least: float = GUESSES) -> list[tuple[i
         return found
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".!?:")
-        if len(value) < 8 or not any(c.isdigit() for c in value) and value.isalpha() and (value.islower() or value.isupper() or value.istitle()):
-            continue  # one plain word is prose, whatever the language
-        if len(value) > LONGEST or costs.least(value) >= least:
+        if len(value) >= 8 and costs.least(value) >= least:
             found.append((m.start(1), m.start(1) + len(value), 3))
     return found
 

@@ -326,6 +326,15 @@ def test_guess_costs():
     assert secret_scan.guess_spans("my login: x9kL2QqZ7vB! and pwd: password123", c) == [(10, 21, 3)]
 
 
+def test_guess_costs_of_every_shape_and_length():
+    c = secret_scan.Costs()
+    for value in ("qkzvxwmtplrnbdhs", "QKZVXWMTPLRNBDHS", "xkqzjvwpmtrfgbdc", "x9kL2QqZ7vB" * 7):
+        assert secret_scan.guess_spans(f"pwd: {value}", c) == [(5, 5 + len(value), 3)]
+    for value in ("-" * 60, "-" * 70, "-" * 1000, "ab" * 100, "password" * 40, "forbidden", "Authentication", "einverstanden", "REQUIRED", "obligatoire", "contraseña"):
+        assert secret_scan.guess_spans(f"password: {value}", c) == []
+    assert c.least("".join(chr(33 + k * k % 89) for k in range(2_000))) > secret_scan.GUESSES
+
+
 def test_html(spark):
     pages = [
         "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu item</a></nav><div class='ad'>Buy now</div><article><h1>Head &amp; line</h1><p><b>First <i>long</i> paragraph of the text,\n with more.<br>And on.<p>Short.</p><script>var t='</p>';</script><form>Name <input></form><div class=comments><p>Nice!</p></div></article><aside>Side</aside><footer>Foot</footer></body></html>",
