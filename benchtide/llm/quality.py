@@ -2,8 +2,9 @@
 
 Two generative models over hashed n-grams are estimated: one of all raw texts, one of the target texts (labelled good
 and not toxic). A text's log importance weight is the sum, over its n-grams, of the log ratio of the two models. The
-texts that stay are drawn without replacement in proportion to their weights: Gumbel noise is added to the log weights
-and the k largest sums win (Gumbel top-k).
+texts that stay are drawn without replacement in proportion to their weights to the power 1/temperature: Gumbel noise is
+added to the log weights divided by the temperature and the k largest sums win (Gumbel top-k). At TEMPERATURE = 0.05 that
+is the weight to the power 20, which is close to a threshold at the k-th weight; temperature=1 draws by the weights.
 
 Tokens are words, in lower case, and runs of other characters; n-grams are tokens and pairs of token shapes (case,
 digits, the marks themselves, and how many times in a row a word stands there). Each counts once for a text and in two buckets. A ratio counts as
