@@ -5,10 +5,16 @@ context (`pwd is ...`, `login: ...`, `bearer ...`) is cut into dictionary words,
 brute-force spans so that the number of guesses is least; a value whose least cost is GUESSES or more is a secret that
 a person wouldn't have put into prose by chance. Every such value is scored, whatever its shape and length.
 
-A value of letters in one case (or with one capital in front) whose pairs of neighbouring letters are mostly frequent ones
-of prose counts as a word of a guesser's large dictionary, so a plain word of prose is cheap and random letters are not.
-Letters beyond a-z count without their accents; pairs with other letters count as prose. A repeated piece has at most
-UNIT characters; runs, walks and repeats end within UNIT places from their first or last possible end.
+The dictionary is that of a public tokenizer, its whole words in the order of their ids, which is about that of their
+frequency; words that guessers try first stand before them. A value of letters in one case (or with one capital in front)
+whose pairs of neighbouring letters are mostly those of the dictionary counts as a word of a guesser's largest dictionary,
+so a plain word of prose in any language is cheap and random letters are not.
+
+The cost is the least over all cuts into these pieces: words; dates; runs of one character; repeats of a piece of at most
+UNIT characters; walks over a keyboard; and brute-force spans of any length. The programme looks back over UNIT places
+and holds, for each place, the cheapest ways with so many pieces that no way with fewer pieces undercuts. Where a run,
+walk or repeat goes on, extending it costs less than any other piece there, so only those that begin near its start and
+end near its end can be cheapest, which bounds the work on long values.
 
 Defined results: a null or empty text has no spans: zero counts, the digest of the empty string and an empty `spans`.
 Positions are code points of the whole text, ends exclusive. Repeated rows give repeated rows. Other columns play no part.
@@ -17,9 +23,11 @@ Positions are code points of the whole text, ends exclusive. Repeated rows give
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,8 +60,8 @@ CONTEXT_STEMS = (b"passw", b"passphrase", b"passcode", b"pwd", b"secret", b"toke
 #: log10 of the guesses from which a value counts as a secret.
 GUESSES = 10.0
 UNIT = 32
-#: log10 of the words in a large dictionary, and the share of a word's letter pairs that are frequent in prose.
-DICTIONARY, PROSE = 6.0, 0.7
+#: log10 of the words in a guesser's largest dictionary; the share of a word's letter pairs that are frequent, and the share of words that hold a frequent pair.
+DICTIONARY, PROSE, FREQUENT = 6.0, 0.7, 0.002
 
 #: Rows of a keyboard, and words that guessers try first, in that order.
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "1qaz2wsx3edc4rfv5tgb6yhn7ujm", "abcdefghijklmnopqrstuvwxyz")
@@ -63,43 +71,67 @@ COMMON = (
 ).split()
 
 
-#: Pairs of letters that are frequent in English, German, French or Spanish words.
-PAIRS = frozenset(
-    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke fr oo av ag if ap gr od bo sp rd do uc bu ei ov by rm ep tt oc fa ef cu rn sc gi da yo cr cl du ga qu ue ff ba ey ls va um pp ua up lu go ht ru ug ds lt pi rc rr eg au ck ew mu br bi pt ak pu ui rg ib tl ny ki rk ys ob mm fu ph og ms ye ud mb ip ub oi rl gu dr hr cc tw ft wn nu af hu nn eo vo rv nf xp gn sm fl iz ok nl my gl aw ju oa eq sy sl ps jo lf nv je nk kn gs dy hy ze ks sk oe rz ah eu zu tz ku kt lb hn hl rb ka hm ko sw wu zw ja eh lg fs gt iu rf rw".split()
-)
+_LEET = str.maketrans("4@3105$7", "aaeiosst")
+_LN10 = math.log(10)
+Ways = list[tuple[int, float]]
+
+
+@lru_cache
+def dictionary(path: str | None = None) -> tuple[str, ...]:
+    """COMMON, then the whole words of a tokenizer's vocabulary in the order of their ids. Read where it is used; path: by default that of the packing operator's tokenizer."""
+    if path is None:
+        import public_tokenizers
 
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    whole = (w.removesuffix("</w>") for w in sorted(ids, key=ids.get) if w.endswith("</w>"))
+    return tuple(dict.fromkeys([*COMMON, *(w for w in whole if len(w) >= 3 and w.isalpha() and w.isascii())]))
 
-def prosaic(s: str) -> bool:
-    """Whether a value is one word of letters in the case and with the pairs of letters of prose."""
-    if not s.isalpha() or not (s.islower() or s.isupper() or s.istitle()):
-        return False
-    low = "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c)).replace("ß", "ss")
-    return sum(a + b in PAIRS or not (a + b).isascii() for a, b in zip(low, low[1:], strict=False)) >= PROSE * (len(low) - 1)
 
+def lowered(s: str) -> str:
+    """Lower case, one character for each."""
+    low = s.lower()
+    return low if len(low) == len(s) else "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
 
-def _ends(first: int, last: int) -> Iterator[int]:
-    """first to last, or of many the UNIT first and the UNIT last."""
-    yield from range(first, min(last, first + UNIT) + 1)
-    yield from range(max(first + UNIT + 1, last - UNIT), last + 1)
+
+def cheapest(ways: Ways) -> Ways:
+    """The ways (pieces, cost) that no way with as many pieces or fewer undercuts when the factorials count; a further piece then costs that one no more."""
+    out: Ways = []
+    least = math.inf
+    for k, c in sorted(ways):
+        if (total := c + math.lgamma(k + 1) / _LN10) < least:
+            least = total
+            out.append((k, c))
+    return out
 
 
 class Costs:
     """log10 guess costs of pieces, and the cheapest way to cut a value. words: in order of how early they are guessed."""
 
     def __init__(self, words: tuple[str, ...] = tuple(COMMON)):
-        self.rank = {w: k + 1 for k, w in reversed(list(enumerate(words)))}
+        self.rank = {w: k + 1 for k, w in reversed(list(enumerate(words))) if 3 <= len(w) <= UNIT and len(set(w)) > 1}
         self.longest = max(map(len, self.rank), default=0)
         rows = [r for row in KEY_ROWS for r in (row, row[::-1])]
         self.next_key = {(a, b) for r in rows for a, b in zip(r, r[1:], strict=False)}
+        held = Counter(p for w in self.rank for p in {w[k : k + 2] for k in range(len(w) - 1)})
+        self.pairs = {p for p, n in held.items() if n >= FREQUENT * len(self.rank)}
+
+    def prosaic(self, s: str) -> bool:
+        """Whether a value is one word of letters in the case and with the pairs of letters of prose. Letters count without their accents; pairs with letters beyond a-z count as prose."""
+        if not s.isalpha() or not (s.islower() or s.isupper() or s.istitle()):
+            return False
+        low = "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c)).replace("ß", "ss")
+        return sum(a + b in self.pairs or not (a + b).isascii() for a, b in zip(low, low[1:], strict=False)) >= PROSE * (len(low) - 1)
 
     @staticmethod
     def alphabet(s: str) -> int:
-        return max(1, 26 * any("a" <= c <= "z" for c in s) + 26 * any("A" <= c <= "Z" for c in s) + 10 * any("0" <= c <= "9" for c in s) + 33 * any(not c.isalnum() for c in s) + 100 * any(ord(c) > 127 for c in s))
+        return max(10, 26 * any("a" <= c <= "z" for c in s) + 26 * any("A" <= c <= "Z" for c in s) + 10 * any("0" <= c <= "9" for c in s) + 33 * any(not c.isalnum() for c in s) + 100 * any(ord(c) > 127 for c in s))
 
     def word(self, s: str) -> float | None:
-        low = s.lower()
-        plain = low.translate(str.maketrans("4@3105$7", "aaeiosst"))
-        rank = min((self.rank[x] * f for x, f in ((low, 1), (plain, 2), (low[::-1], 2)) if x in self.rank), default=None)
+        """Of a dictionary word as it is, with signs for letters, or backwards; capitals cost as many guesses as there are ways to place them."""
+        low = lowered(s)
+        rank = min((self.rank[x] * f for x, f in ((low, 1), (low.translate(_LEET), 2), (low[::-1], 2)) if x in self.rank), default=None)
         if rank is None:
             return None
         upper = sum(c.isupper() for c in s)
@@ -107,64 +139,75 @@ class Costs:
 
     @staticmethod
     def date(s: str) -> float | None:
-        if re.fullmatch(r"(?:19|20)\d\d", s):
+        """Of a year, or of a day, month and year in any order that ends or begins with the year, with one separator or none."""
+        if re.fullmatch(r"(?:19|20)[0-9]{2}", s):
             return math.log10(120)
-        m = re.fullmatch(r"(\d{1,2})([-./]?)(\d{1,2})\2((?:19|20)?\d\d)", s) or re.fullmatch(r"((?:19|20)\d\d)([-./]?)(\d{1,2})\2(\d{1,2})", s)
+        m = re.fullmatch(r"([0-9]{1,2})([-./]?)([0-9]{1,2})\2((?:19|20)?[0-9]{2})", s) or re.fullmatch(r"((?:19|20)[0-9]{2})([-./]?)([0-9]{1,2})\2([0-9]{1,2})", s)
         if not m:
             return None
-        small = sorted((int(m[1]), int(m[3]), int(m[4])))[:2] if len(m[4]) == 2 and len(m[1]) == 2 else [int(x) for x in (m[1], m[3], m[4]) if int(x) < 100]
-        return math.log10(365 * 120 * (4 if m[2] else 1)) if len(small) >= 2 and 1 <= small[0] <= 31 and 1 <= small[1] <= 31 and min(small[:2]) <= 12 else None
+        small = sorted((int(m[1]), int(m[3]), int(m[4])))[:2]
+        return math.log10(365 * 120 * (4 if m[2] else 1)) if 1 <= small[0] <= 12 and 1 <= small[1] <= 31 else None
+
+    @staticmethod
+    def walk(length: int) -> float:
+        return math.log10(94 * 4 * length)
 
     @lru_cache(maxsize=4096)  # noqa: B019  one object lives as long as its worker
     def least(self, s: str) -> float:
         """log10 of the least number of guesses: over all cuts, the product of the pieces' guesses and the factorial of their number."""
-        n = len(s)
-        table: list[dict[int, float]] = [{0: 0.0}] + [{} for _ in range(n)]
-
-        def offer(i: int, j: int, cost: float) -> None:
-            for k, c in table[i].items():
-                if c + cost < table[j].get(k + 1, math.inf):
-                    table[j][k + 1] = c + cost
-
+        n, low, size = len(s), lowered(s), math.log10(self.alphabet(s))
+        plain, back = low.translate(_LEET), low[::-1]
+        ways: list[Ways] = [[(0, 0.0)]] + [[] for _ in range(n)]
         walks, same = [0] * (n + 1), [0] * (n + 1)  # how far a walk or a run of one character reaches from here
-        low = s.lower()
         for i in range(n - 2, -1, -1):
             walks[i] = walks[i + 1] + 1 if (low[i], low[i + 1]) in self.next_key else 0
             same[i] = same[i + 1] + 1 if s[i] == s[i + 1] else 0
-        size = math.log10(self.alphabet(s))
-        if prosaic(s):
-            offer(0, n, DICTIONARY)
-        repeats = [0] * (UNIT + 1)
-        brute: dict[int, float] = {}  # by pieces before it: the least cost of a brute-force span that has begun and goes on here
+        walked, run = 0, 0  # where the walk and the run that hold this place began
+        repeats, began = [0] * (UNIT + 1), [0] * (UNIT + 1)  # characters from here on that equal those a unit later, and where they began to
+        span: Ways = []  # brute-force spans that have begun and go on here
+        if self.prosaic(s):
+            ways[n].append((1, DICTIONARY))
+
+        def offer(i: int, j: int, cost: float) -> None:
+            ways[j].extend((k + 1, c + cost) for k, c in ways[i])
+
         for i in range(n):
-            best = min(table[i].values())
-            table[i] = {k: c for k, c in table[i].items() if c <= best + 6 and k <= 12} or table[i]
+            here = ways[i] = cheapest(ways[i])
             offer(i, i + 1, max(size, math.log10(11)))
-            for k, c in brute.items():
-                table[i + 1][k + 1] = min(c + size, table[i + 1].get(k + 1, math.inf))
-            brute = {k: min(brute.get(k, math.inf), table[i].get(k, math.inf)) + size for k in {**brute, **table[i]}}
+            ways[i + 1].extend((k + 1, c + size) for k, c in span)
+            span = cheapest([(k, c + size) for k, c in [*span, *here]])
             for j in range(i + 3, min(n, i + self.longest) + 1):
-                if (c := self.word(s[i:j])) is not None:
-                    offer(i, j, c)
-            for j in range(i + 4, min(n, i + 10) + 1):
-                if s[i].isdigit() and (c := self.date(s[i:j])) is not None:
-                    offer(i, j, c)
-            for j in _ends(i + 3, i + walks[i] + 1):
-                offer(i, j, math.log10(94 * 4 * (j - i)))
-            for j in _ends(i + 3, i + same[i] + 1):
-                offer(i, j, size + math.log10(j - i))
+                if low[i:j] in self.rank or plain[i:j] in self.rank or back[n - j : n - i] in self.rank:
+                    offer(i, j, self.word(s[i:j]))
+            if "0" <= s[i] <= "9":
+                for j in range(i + 4, min(n, i + 10) + 1):
+                    if (c := self.date(s[i:j])) is not None:
+                        offer(i, j, c)
+            if i and not walks[i - 1]:
+                walked = i
+            if i and not same[i - 1]:
+                run = i
+            if i - walked <= UNIT:
+                for j in range(max(i + 3, i + walks[i] + 1 - UNIT), i + walks[i] + 2):
+                    offer(i, j, self.walk(j - i))
+            if i - run <= UNIT:
+                for j in range(max(i + 3, i + same[i] + 1 - UNIT), i + same[i] + 2):
+                    offer(i, j, size + math.log10(j - i))
             for unit in range(2, min(UNIT, (n - i) // 2) + 1):  # a repeated piece costs that piece, times how often
-                repeats[unit] = max(repeats[unit] - 1, 0)  # characters from i on that equal those a unit later
+                repeats[unit] = max(repeats[unit] - 1, 0)
                 if not repeats[unit]:
+                    began[unit] = i
                     while i + repeats[unit] + unit < n and s[i + repeats[unit]] == s[i + repeats[unit] + unit]:
                         repeats[unit] += 1
-                if same[i] >= unit - 1 or any(unit % u == 0 and repeats[u] >= unit - u for u in range(2, unit // 2 + 1)):
+                most = repeats[unit] // unit + 1
+                if most < 2 or i - began[unit] > 2 * UNIT:
+                    continue
+                known = self.word(s[i : i + unit])
+                if known is None and (same[i] >= unit - 1 or any(unit % u == 0 and repeats[u] >= unit - u for u in range(2, unit // 2 + 1))):
                     continue  # the piece is itself a repeat, and so cheaper as such
-                if (most := repeats[unit] // unit + 1) > 1:
-                    cost = min(size * unit, self.word(s[i : i + unit]) or math.inf)
-                    for reach in _ends(2, most):
-                        offer(i, i + reach * unit, cost + math.log10(reach))
-        return min(c + math.lgamma(k + 1) / math.log(10) for k, c in table[n].items())
+                for times in range(max(2, most - 2 * UNIT // unit - 1), most + 1):
+                    offer(i, i + times * unit, min(size * unit, math.inf if known is None else known) + math.log10(times))
+        return min(c + math.lgamma(k + 1) / _LN10 for k, c in ways[n])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -193,9 +236,15 @@ def text_of(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted((a, k, b) for a, b, k in spans))
 
 
-def _scan(words: tuple[str, ...], least: float):
+@lru_cache
+def costs_of(words: tuple[str, ...] | None, path: str | None) -> Costs:
+    """One for each worker process."""
+    return Costs(dictionary(path) if words is None else words)
+
+
+def _scan(words: tuple[str, ...] | None, path: str | None, least: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs = Costs(words)
+        costs = costs_of(words, path)
         for batch in batches:
             rows = []
             for text in batch["text"].to_pylist():
@@ -209,10 +258,10 @@ def _scan(words: tuple[str, ...], least: float):
     return scan
 
 
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: tuple[str, ...] = tuple(COMMON), least: float = GUESSES) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess of each row. Nothing is shuffled."""
+def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: tuple[str, ...] | None = None, path: str | None = None, least: float = GUESSES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess of each row. words: the dictionary, by default that of the tokenizer at path. Nothing is shuffled."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_scan(words, least), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
+    return rows.mapInArrow(_scan(words, path, least), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
