@@ -8,7 +8,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are worked on in blocks of about so many bytes; one longer text makes a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -34,6 +35,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def apart(column: str) -> Column:
+    """A join key in place of a column by which one side has been dealt already. Both sides are then dealt for the join alone, which lets Spark split a partition that one frequent value fills."""
+    return F.xxhash64(column).alias("apart")
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """One large_string array without nulls: a null text counts as empty."""
     if isinstance(column, pa.ChunkedArray):

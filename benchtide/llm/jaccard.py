@@ -11,10 +11,12 @@ node also enters the tiles of each larger band that sets it may link with lie in
 where it fills a whole range, so frequent passages make few false tiles. Empty ranges make a tile only for nodes that
 have p - d of them or more: linked nodes that agree nowhere else have so many both.
 
-Links. Each member of a tile is compared with the tile's first member, and the links found join nodes to components. Only
+Links. Each member of a tile is compared with the tile's first member, and the links found join nodes to components. Where a
+batch of texts has more than PIECE nodes in a tile, they are a piece with a first member of its own, and only that one
+meets the rest of the tile: so no task gathers a large tile. Only
 members of tiles that are still in several components are compared further: those outside the tile's largest component
-with all members, in blocks; first for a few pairs that would connect them, then for every pair that is left. All
-comparisons first bound the intersection by the bits of hashed bitmaps, and what passes
+with all members, block by block; first for a few pairs that would connect them, then for every pair that is left. All
+comparisons first bound the intersection by the bits of hashed bitmaps, whose width follows the set's size, and what passes
 is decided by the exact intersection of sorted arrays. No pair is skipped unless both ends are connected already, so the
 components are those of all links.
 
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WORDS, PERCENT, GROWTH, SLACK = 4, 85, 1.5, 0.4
-BITMAP = 2048  # bits
 TILE_BLOCK = 1024  # members of a tile that are compared with others at once
+PIECE = 16  # of a tile with more nodes in one batch, that batch's nodes are a piece of their own
 
 _K = np.uint64(0xD6E8FEB86659FD93)
 
@@ -121,12 +123,25 @@ def tiles(g: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.
     return np.concatenate(keys), np.concatenate(whose)
 
 
-def bitmaps(g: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """BITMAP bits for each set: those that its shingles' hashes name."""
-    n = len(first) - 1
-    bits = np.zeros((n, BITMAP), np.uint8)
-    bits[np.repeat(np.arange(n), np.diff(first)), (C.mix(g) & np.uint64(BITMAP - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, axis=1)
+def bits_of(n: int) -> int:
+    """Width of the bitmap of a set of n shingles: a power of two, so that at most a quarter of the bits are set whatever the size."""
+    return max(256, 1 << (4 * n - 1).bit_length() if n else 0)
+
+
+def bitmaps(g: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """The bits that each set's shingles name by their hashes."""
+    out, h = [], C.mix(g)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        bits = np.zeros(bits_of(int(b - a)), np.uint8)
+        bits[(h[a:b] & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(bits).tobytes())
+    return out
+
+
+def folded(bits: list[bytes], width: int | None = None) -> np.ndarray:
+    """Bitmaps as rows of one width in bytes, by default the least: a wider one is folded, which gives the bitmap of that width."""
+    width = width or min(map(len, bits))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in bits])
 
 
 def may_link(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -169,29 +184,52 @@ def _postings(buckets: int, words: int, percent: int):
             k, v = k[order], v[order]
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
             k, v = k[new], v[new]
-            edge = np.searchsorted((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
-            own = np.flatnonzero(np.diff(edge))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int32()), pa.array([C.planes(k[edge[x] : edge[x + 1]]) for x in own], pa.binary()), pa.array([v[edge[x] : edge[x + 1]].tobytes() for x in own], pa.binary())],
-                ["bucket", "keys", "nodes"],
-            )
+            edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(edge, len(k)))
+            large = np.repeat(size > PIECE, size)
+            lone = ~large
+            lone[edge] = True
+            parts = [(_spread(k, buckets), k, v, lone)]
+            if large.any():
+                parts.append((buckets + _spread(C.mix(k + np.repeat(v[edge], size).view(np.uint64)), buckets), k, v, large))
+            for bucket, *kv, own in parts:
+                bucket, kk, vv = bucket[own], kv[0][own], kv[1][own]
+                order = np.lexsort((vv, kk, bucket))
+                bucket, kk, vv = bucket[order], kk[order], vv[order]
+                at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                ends = [*at[1:], len(bucket)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[at], pa.int64()), pa.array([C.planes(kk[x:y]) for x, y in zip(at, ends, strict=True)], pa.binary()), pa.array([vv[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary())],
+                    ["bucket", "keys", "nodes"],
+                )
 
     return postings
 
 
-def _members(t: pa.Table) -> pa.Table:
-    """The members of the bucket's tiles with several nodes: tile, first (the tile's least node), node, size."""
-    k = np.concatenate([C.unplanes(x.as_py(), np.uint64) for x in t["keys"]])
-    v = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t["nodes"]])
-    order = np.lexsort((v, k))
-    k, v = k[order], v[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
-    k, v = k[new], v[new]
-    edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    size = np.diff(np.append(edge, len(k)))
-    many, least = np.repeat(size, size), np.repeat(v[edge], size)
-    keep = many > 1
-    return pa.table({"tile": k[keep].view(np.int64), "first": least[keep], "node": v[keep], "size": many[keep]})
+def _spread(k: np.ndarray, buckets: int) -> np.ndarray:
+    return ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _members(buckets: int):
+    def members(t: pa.Table) -> pa.Table:
+        """The members of the bucket's tiles with several nodes: tile, first (the least node of the tile, or of the piece), node. From `buckets` on there are pieces of large tiles, each complete in one row."""
+        rows = [(C.unplanes(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.int64)) for x, y in zip(t["keys"], t["nodes"], strict=True)]
+        if t["bucket"][0].as_py() < buckets:
+            rows = [tuple(np.concatenate(x) for x in zip(*rows, strict=True))]
+        out = []
+        for k, v in rows:
+            order = np.lexsort((v, k))
+            k, v = k[order], v[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
+            k, v = k[new], v[new]
+            edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(edge, len(k)))
+            keep = np.repeat(size, size) > 1
+            out.append((k[keep].view(np.int64), np.repeat(v[edge], size)[keep], v[keep]))
+        tile, first, node = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"tile": tile, "first": first, "node": node})
+
+    return members
 
 
 def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,25 +242,22 @@ def _info(words: int):
         for zipped in C.blocks(batches, "z"):
             batch = pa.RecordBatch.from_arrays([pa.array([zlib.decompress(x.as_py()) for x in zipped["z"]], pa.large_binary()).view(pa.large_string())], ["text"])
             g, first = sets(C.texts_of(batch["text"]), words)
-            bits = bitmaps(g, first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes(g, first).view(np.int64)), pa.array(np.diff(first), pa.int64()), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([g[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())],
+                [pa.array(nodes(g, first).view(np.int64)), pa.array(np.diff(first), pa.int64()), pa.array(bitmaps(g, first), pa.binary()), pa.array([g[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())],
                 ["node", "n", "bits", "shingles"],
             )
 
     return info
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BITMAP // 8)
-
-
 def _bounded(percent: int):
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            if x.num_rows:
-                keep = may_link(x["n_a"].to_numpy(), _bits(x["bits_a"]), x["n_b"].to_numpy(), _bits(x["bits_b"]), percent)
-                yield x.select(["a", "b"]).filter(pa.array(keep))
+            keep = []
+            for na, p, nb, q in zip(*(x[c].to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")), strict=True):
+                two = folded([p, q])
+                keep.append(bool(may_link(na, two[0], nb, two[1], percent)))
+            yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return bounded
 
@@ -236,23 +271,53 @@ def _exact(percent: int):
     return exact
 
 
+def _links(pairs: DataFrame, info: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
+    """The linked ones of pairs(a, b): first by the bounds, unless that is done, then exactly."""
+
+    def joined(pairs: DataFrame, *columns: str) -> DataFrame:
+        for x in ("b", "a"):
+            pairs = pairs.join(info.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), x)
+        return pairs
+
+    near = pairs if bounded else joined(pairs, "n", "bits").mapInArrow(_bounded(percent), "a long, b long")
+    return joined(near, "shingles").mapInArrow(_exact(percent), "a long, b long")
+
+
+def _cells(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows with equal keys, which follow one another, as one table each."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        k = np.stack([t[c].to_numpy() for c in keys])
+        edge = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+        at = 0
+        for to in edge.tolist():
+            yield t.slice(at, to - at)
+            at = to
+        rest = t.slice(at)
+    if rest is not None:
+        yield rest
+
+
 def _compare(percent: int, spanning: bool):
-    def compare(t: pa.Table) -> pa.Table:
-        """Pairs of a block's members and the tile's unconnected members that may link. Rows: tile, block, node, root, outer (unconnected with most of the tile), guest (from another block), n, bits.
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of a guest (a member outside the tile's largest component) and a member of another component that may link, of each cell of a tile.
 
-        spanning: only pairs that would connect what no pair before them in the block would, so their number doesn't exceed that of the members.
+        spanning: only pairs that would connect what no pair before them in the cell would, so their number doesn't exceed that of the members.
         """
-        tile, block, node, root, n = (t[c].to_numpy() for c in ("tile", "block", "node", "root", "n"))
-        outer, guest, bits = t["outer"].to_numpy().astype(bool), t["guest"].to_numpy().astype(bool), _bits(t["bits"].combine_chunks())
-        order = np.lexsort((guest, block, tile))
-        edge = np.flatnonzero(np.concatenate([[True], (tile[order][1:] != tile[order][:-1]) | (block[order][1:] != block[order][:-1])]))
-        out = []
-        for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
-            own = order[a:b]
-            x, inner = own[outer[own]], own[~guest[own]]
-            whose, first = root[inner], root[x]  # components as they would be if all pairs linked
+        for t in _cells(batches, ("tile", "i", "o")):
+            node, first, root, n = (t[c].to_numpy() for c in ("node", "first", "root", "n"))
+            outer, guest = (t[c].to_numpy(zero_copy_only=False) for c in ("outer", "guest"))
+            bits = folded(t["bits"].to_pylist())
+            x, inner = np.flatnonzero(guest), np.flatnonzero(~guest)
+            whose, mine = root[inner], root[x]  # components as they would be if all pairs linked
+            out = []
             for k, i in enumerate(x):
-                near = whose != first[k]
+                # other components; of two guests once; not with the first member, that is done
+                near = (whose != mine[k]) & (~outer[inner] | (node[inner] > node[i])) & (node[inner] != first[i]) & (first[inner] != node[i])
                 y = inner[near]
                 if not len(y):
                     continue
@@ -262,38 +327,33 @@ def _compare(percent: int, spanning: bool):
                 y = y[ok]
                 if spanning:
                     meets, at = np.unique(whose[near][ok], return_index=True)
-                    y = y[at]
-                    mine = first[k]
-                    whose[np.isin(whose, meets)] = mine
-                    first[np.isin(first, meets)] = mine
+                    y, own = y[at], mine[k]
+                    whose[np.isin(whose, meets)] = own
+                    mine[np.isin(mine, meets)] = own
                 out.append(np.stack([np.minimum(node[i], node[y]), np.maximum(node[i], node[y])]))
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+            if out:
+                a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return compare
 
 
-def _unconnected(members: DataFrame, roots: DataFrame, info: DataFrame, percent: int, tile_block: int, lots: int, spanning: bool) -> DataFrame:
-    """Pairs (a, b) of members of one tile but of several components that may link."""
-    rooted = members.filter("size > 2").join(roots, "node", "left").select("tile", "node", "size", F.coalesce("root", "node").alias("root"))
-    sizes = rooted.groupBy("tile", "root").agg(F.count("*").alias("k"))
-    split = sizes.groupBy("tile").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("tile", "main")
-    open_tiles = rooted.join(split, "tile").withColumn("blocks", F.ceil(F.col("size") / tile_block).cast("int"))
-    open_tiles = open_tiles.select("tile", "node", "root", (F.col("root") != F.col("main")).alias("outer"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
-    home = open_tiles.select("tile", F.col("own").alias("block"), "node", "root", "outer", F.lit(False).alias("guest"))
-    away = open_tiles.filter("outer AND blocks > 1").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "root", "outer", F.lit(True).alias("guest"), "own")
-    sides = home.unionByName(away.filter("block <> own").drop("own")).join(info.select("node", "n", "bits"), "node")
-    return sides.withColumn("lot", F.pmod(F.xxhash64("tile", "block"), F.lit(lots))).groupBy("lot").applyInArrow(_compare(percent, spanning), "a long, b long").distinct()
-
-
-def _links(pairs: DataFrame, info: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
-    """The linked ones of pairs(a, b): first by the bounds, unless that is done, then exactly."""
+def _unconnected(members: DataFrame, roots: DataFrame, info: DataFrame, percent: int, tile_block: int, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of members of one tile but of several components that may link.
 
-    def side(x: str, *columns: str) -> DataFrame:
-        return info.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-
-    near = pairs if bounded else pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").mapInArrow(_bounded(percent), "a long, b long")
-    return near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_exact(percent), "a long, b long")
+    A tile's members are dealt into blocks, and so are those outside its largest component; each pair of blocks is a cell, so a cell is small whatever the tile's size.
+    """
+    rooted = members.join(roots, "node", "left").select("tile", "first", "node", F.coalesce("root", "node").alias("root"))
+    sizes = rooted.groupBy("tile", "root").agg(F.count("*").alias("k"))
+    split = sizes.groupBy("tile").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("size"), F.count("*").alias("roots")).filter("roots > 1 AND size > 2")
+    blocks, outers = F.ceil(F.col("size") / tile_block).alias("blocks"), F.ceil((F.col("size") - F.col("most")) / tile_block).alias("outers")
+    found = rooted.select("*", C.apart("tile")).join(split.select(C.apart("tile"), "main", blocks, outers), "apart").select("tile", "first", "node", "root", (F.col("root") != F.col("main")).alias("outer"), "blocks", "outers")
+    found = found.join(info.select("node", "n", "bits"), "node")
+    i, o = F.pmod(F.xxhash64("node"), "blocks"), F.pmod(F.xxhash64("node"), "outers")
+    home = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outers") - 1), lambda x: F.struct(i.alias("i"), x.alias("o"), F.lit(False).alias("guest")))
+    away = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(x.alias("i"), o.alias("o"), F.lit(True).alias("guest")))
+    cells = found.withColumn("cell", F.explode(F.when(F.col("outer"), F.concat(home, away)).otherwise(home))).select("tile", "cell.*", "first", "node", "root", "outer", "n", "bits")
+    return cells.repartition("tile", "i", "o").sortWithinPartitions("tile", "i", "o").mapInArrow(_compare(percent, spanning), "a long, b long").distinct()
 
 
 def _row(doc_id: str, text: str):
@@ -310,24 +370,26 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = marks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(8 * parts, total // 2_000_000)  # about 600,000 keys in each at most, however large the input
-    postings = rows.select("text").mapInArrow(_postings(buckets, words, percent), "bucket int, keys binary, nodes binary")
-    members = C.cut(postings.groupBy("bucket").applyInArrow(_members, "tile long, first long, node long, size long"))
-    pairs = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    postings = rows.select("text").mapInArrow(_postings(buckets, words, percent), "bucket long, keys binary, nodes binary")
+    members = C.cut(postings.groupBy("bucket").applyInArrow(_members(buckets), "tile long, first long, node long"))
     chosen = marks.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
     packed = rows.select("row", "text").mapInArrow(_shrink, "row long, z binary")
     text_rows = packed.join(chosen.hint("shuffle_hash"), "row", "left_semi").groupBy("row").agg(F.first("z").alias("z"))
-    info = C.cut(text_rows.select("z").mapInArrow(_info(words), "node long, n long, bits binary, shingles binary"))
-    links = C.cut(_links(pairs, info, percent))
-    lots = max(8 * parts, members.count() // 20_000)
-    # nodes that link with one first member are connected; that is enough to leave most pairs out
-    hint = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-    more = C.cut(_unconnected(members, hint, info, percent, tile_block, lots, True).join(pairs, ["a", "b"], "left_anti"))
-    links = C.cut(links.unionAll(_links(more, info, percent, True)))
-    roots = C.cut(components(links))
-    rest = _unconnected(members, roots, info, percent, tile_block, lots, False).join(pairs.unionAll(more), ["a", "b"], "left_anti")
-    found = C.cut(_links(rest, info, percent, True))
-    if not found.isEmpty():
-        roots = C.cut(components(found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+    info = text_rows.select("z").mapInArrow(_info(words), "node long, n long, bits binary, shingles binary")
+    info = C.cut(info.repartition(parts, "node"))  # all joins with it find it dealt
+    stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    roots = C.cut(components(C.cut(_links(stars, info, percent))))
+    for spanning in (True, False):  # few pairs first, which connect most of what links; then every pair that is left
+        pairs = C.cut(_unconnected(members, roots, info, percent, tile_block, spanning))
+        asked = pairs.count()
+        if not asked:
+            break
+        links = C.cut(_links(pairs, info, percent, True))
+        found = links.count()
+        if found:
+            roots = C.cut(components(links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+        if found == asked:
+            break  # all pairs that were left out for being connected by these are connected
     return marks.join(roots, "node", "left").select("doc_id", "row", "n", "node", F.coalesce("root", "node").alias("root"))
 
 
@@ -335,7 +397,7 @@ def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     """doc_id, n_shingles, component_id (the smallest doc_id of the component) of each row."""
     found = classes(docs, text, doc_id, percent, words=words)
     least = found.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = found.join(least, "root", "left")
+    out = found.withColumn("apart", C.apart("root")).join(least.select(C.apart("root"), "least"), "apart", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

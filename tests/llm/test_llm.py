@@ -152,6 +152,35 @@ def test_jaccard_chains(spark):
     assert got == components(texts, list(range(len(texts))))
 
 
+def test_jaccard_large_tiles(spark):
+    """A third of the rows are near copies of one text, some of them linked by chains only: pieces of tiles, cells of several blocks."""
+    rng = np.random.default_rng(12)
+    base, texts = [f"u{k}" for k in range(60)], [prose(rng, 30) for _ in range(600)]
+    for k in range(300):
+        own = base[:]
+        for x in rng.integers(0, len(base), int(rng.integers(0, 4))):
+            own[x] = f"new{k}x{x}"
+        texts.append(" ".join(own))
+    texts += ["same " * 20_000, " ".join(f"l{k}" for k in range(20_000)), " ".join(f"m{k}" for k in range(20_000))]
+    want = components(texts, list(range(len(texts))))
+    found = jaccard.classes(table(spark, texts), tile_block=32)
+    least = {r.root: r.least for r in found.groupBy("root").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "least").collect()}
+    assert {r.doc_id: (r.n, least[r.root]) for r in found.collect()} == want
+
+
+def test_bitmaps_fold():
+    """A wide bitmap folded has the bits of a narrow one, and keeps its bound."""
+    rng = np.random.default_rng(2)
+    a = np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[:19_000], rng.integers(0, 2**63, 900, dtype=np.uint64)]))
+    c = np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64))
+    bits = jaccard.bitmaps(np.concatenate([a, b, c]), np.cumsum([0, len(a), len(b), len(c)]))
+    two = jaccard.folded([bits[0], jaccard.bitmaps(a[:100], np.array([0, 100]))[0]])
+    assert two.shape == (2, jaccard.bits_of(100) // 8) and not (two[1] & ~two[0]).any()
+    x, y, z = jaccard.folded(bits)
+    assert jaccard.may_link(len(a), x, len(b), y) and not jaccard.may_link(len(a), x, len(c), z)
+
+
 @pytest.mark.parametrize("size", [3, 8, 30, 200, 1500])
 def test_linked_sets_share_a_tile(size):
     rng = np.random.default_rng(size)
@@ -164,7 +193,7 @@ def test_linked_sets_share_a_tile(size):
             continue
         keys, whose = jaccard.tiles(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
         assert set(keys[whose == 0]) & set(keys[whose == 1])
-        bits = jaccard.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        bits = jaccard.folded(jaccard.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])))
         assert jaccard.may_link(np.array([len(a)]), bits[:1], np.array([len(b)]), bits[1:])[0]
 
 
@@ -319,15 +348,65 @@ def test_secret_scan(spark, odd):
 
 
 def test_guess_costs():
-    c = secret_scan.Costs()
+    c = secret_scan.costs_of(None, None)
     weak = ["password123", "P@ssw0rd2019", "qwertyuiop", "aaaaaaaaaaaa", "abcabcabcabc", "12-05-1987"]
     strong = ["x9$kL2!qZ7vB", "deadbeef01234567", "hT7vQz29LmXw"]
     assert max(map(c.least, weak)) < secret_scan.GUESSES < min(map(c.least, strong))
     assert secret_scan.guess_spans("my login: x9kL2QqZ7vB! and pwd: password123", c) == [(10, 21, 3)]
 
 
+def slow_least(c, s):
+    """Over all cuts of a value, by what each piece is."""
+    size = math.log10(c.alphabet(s))
+
+    def piece(x):
+        n, low = len(x), secret_scan.lowered(x)
+        found = [max(size * n, math.log10(11)), c.word(x), c.date(x)]
+        if n >= 3 and all(p in c.next_key for p in zip(low, low[1:])):
+            found.append(c.walk(n))
+        if n >= 3 and len(set(x)) == 1:
+            found.append(size + math.log10(n))
+        for u in range(2, n // 2 + 1):
+            if n % u == 0 and x == x[:u] * (n // u):
+                found.append(min(size * u, c.word(x[:u]) or math.inf) + math.log10(n // u))
+        return min(y for y in found if y is not None)
+
+    best = secret_scan.DICTIONARY if c.prosaic(s) else math.inf
+    for cut in range(1 << (len(s) - 1)):
+        at = [0, *(k + 1 for k in range(len(s) - 1) if cut >> k & 1), len(s)]
+        best = min(best, sum(piece(s[a:b]) for a, b in zip(at, at[1:])) + math.lgamma(len(at)) / math.log(10))
+    return best
+
+
+def test_guess_costs_equal_brute_force():
+    """On a thousand random values, among them parts of words, dates, walks, runs and repeats."""
+    rng = np.random.default_rng(3)
+    c = secret_scan.costs_of(None, None)
+    parts = ["pass", "word", "P@ss", "qwe", "123", "aaa", "1987", "12-05-87", "x9", "$", "mama", "abab", "drow", "0", "é", "zz"]
+    for _ in range(1000):
+        s = "".join(parts[k] for k in rng.integers(0, len(parts), 4))[: int(rng.integers(1, 10))]
+        assert c.least(s) == pytest.approx(slow_least(c, s)), s
+
+
+def test_guess_costs_of_long_values_lose_nothing_by_looking_near():
+    """Long runs, walks and repeats with other pieces at their ends: as cheap as the cut that is meant, at most."""
+    c = secret_scan.costs_of(None, None)
+    size = math.log10(36)
+    for s, most in (("a" * 500 + "password1", [size + math.log10(500), 0, size]), ("passw" + "0" * 90 + "1987", [2 * size * 2.5, size + math.log10(90), math.log10(120)]), ("qw" * 200 + "xyz7", [c.walk(400), c.walk(3), size]), ("x7k2" * 90 + "monkey", [4 * size + math.log10(90), math.log10(20)])):
+        assert c.least(s) <= sum(most) + math.lgamma(len(most) + 1) / math.log(10) + 1e-9
+
+
+def test_secrets_outside_the_base(spark):
+    """Planted values that no fixed pattern finds, and values that people put into prose; nulls and repeated rows."""
+    found = ["my login: x9kL2QqZ7vB!", "pwd => tR8-vq_Zk3#mW", "the passphrase is 7fHq2LwZx9"]
+    clean = ["password: elephant99", "login: keyboard77", "pwd: yesterday2018", "password is forbidden", "credentials: " + "-" * 900, None, ""]
+    got = {r.doc_id: r for r in secret_scan.scan(table(spark, [*found, *clean, found[0], "token: " + "7fHq2LwZx9" * 3000])).collect()}
+    assert all(got[k].n_guess == 1 and got[k].n_assign == 0 for k in range(3)) and not any(got[k].n_guess for k in range(3, 10))
+    assert got[10].spans == got[0].spans and got[11].n_assign == 1
+
+
 def test_guess_costs_of_every_shape_and_length():
-    c = secret_scan.Costs()
+    c = secret_scan.costs_of(None, None)
     for value in ("qkzvxwmtplrnbdhs", "QKZVXWMTPLRNBDHS", "xkqzjvwpmtrfgbdc", "x9kL2QqZ7vB" * 7):
         assert secret_scan.guess_spans(f"pwd: {value}", c) == [(5, 5 + len(value), 3)]
     for value in ("-" * 60, "-" * 70, "-" * 1000, "ab" * 100, "password" * 40, "forbidden", "Authentication", "einverstanden", "REQUIRED", "obligatoire", "contraseña"):
@@ -378,6 +457,46 @@ def test_quality(spark):
     assert empty.count() == 0
 
 
+def test_draws_follow_the_weights(spark):
+    """Over many seeds the texts are drawn as often as their weights say, the first by softmax, the second by the rest's."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    w = [0.0, 0.5, 1.0, 1.5, -1.0]
+    p = np.exp(w) / np.exp(w).sum()
+    rows = spark.createDataFrame([(k, f"t{k}", x) for k, x in enumerate(w)], "doc_id long, text string, w double").crossJoin(spark.range(4000).withColumnRenamed("id", "seed"))
+    for temperature in (1.0, 2.0):
+        q = p ** (1 / temperature) / (p ** (1 / temperature)).sum()
+        two = [sum(q[i] * q[j] / (1 - q[i]) for i in range(5) if i != j) + q[j] for j in range(5)]
+        key = quality._key(F.col("w"), F.col("doc_id"), F.col("text"), temperature, F.col("seed"))
+        place = rows.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy(key.desc())))
+        got = {r.doc_id: (r.one, r.two) for r in place.groupBy("doc_id").agg(F.avg((F.col("place") == 1).cast("int")).alias("one"), F.avg((F.col("place") <= 2).cast("int")).alias("two")).collect()}
+        for k in range(5):
+            assert abs(got[k][0] - q[k]) < 0.03 and abs(got[k][1] - two[k]) < 0.03
+
+
+def test_ratios_are_those_of_two_models():
+    raw, target = np.array([1000, 1000, 1000, 0, 10]), np.array([100, 300, 3, 0, 1])
+    share = target.sum() / raw.sum()
+    got = quality.ratios(np.stack([raw, target]), standard=4.0)
+    want = np.log((target + 0.5) / (raw * share + 0.5))
+    assert got[1] == pytest.approx(want[1]) and got[2] == pytest.approx(want[2]) and got[3] == got[4] == 0
+
+
+def test_quality_of_odd_tables(spark, odd):
+    """Repeated rows go or stay together, null labels count as none, a k of 0 or beyond the table, ties at k."""
+    ids = [None, 5, 5, *range(10, 10 + len(odd) - 3)]
+    docs = table(spark, odd, ids)
+    lab = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2, None) for i in range(10, 60)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = Counter((r.doc_id, r.text) for r in quality.resample(docs, lab).collect())
+    every = Counter(zip(ids, odd, strict=True))
+    assert all(every[x] == n for x, n in kept.items())
+    assert quality.resample(docs, lab, k=0).count() == 0 and quality.resample(docs, lab, k=10_000).count() == len(odd)
+    tied = table(spark, ["same text"] * 6 + ["other"], [1] * 6 + [2])
+    assert quality.resample(tied, lab, k=3).count() in (6, 7)
+    assert quality.resample(docs, lab).columns == docs.columns
+
+
 def test_kth_largest(spark):
     xs = np.random.default_rng(1).normal(size=500).round(2)
     df = spark.createDataFrame([(float(x),) for x in xs], "key double")
