@@ -20,7 +20,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -133,8 +132,8 @@ def blocks_of_items(benchmark: DataFrame, text: str, item_id: str, tile: int, bl
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / block))
     for k in range(n):
-        own: pd.DataFrame = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").toPandas()
-        yield Items(own["item_id"].tolist(), own["text"].tolist(), tile)
+        own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
+        yield Items(own["item_id"].to_pylist(), own["text"].to_pylist(), tile)
 
 
 _FOUND = "doc_id long, item_id long, coverage double, covered_tokens long, item_tokens long, tiles long, longest_tile long"

@@ -3,13 +3,14 @@
 Two generative models over hashed n-grams are estimated: one of all raw texts, one of the target texts (labelled good
 and not toxic). A text's log importance weight is the sum, over its n-grams, of the log ratio of the two models. The
 texts that stay are drawn without replacement in proportion to their weights to the power 1/temperature: Gumbel noise is
-added to the log weights divided by the temperature and the k largest sums win (Gumbel top-k). At TEMPERATURE = 0.05 that
-is the weight to the power 20, which is close to a threshold at the k-th weight; temperature=1 draws by the weights.
+added to the log weights divided by the temperature and the k largest sums win (Gumbel top-k). At the default temperature
+of 1 texts are drawn by their weights.
 
 Tokens are words, in lower case, and runs of other characters; n-grams are tokens and pairs of token shapes (case,
-digits, the marks themselves, and how many times in a row a word stands there). Each counts once for a text and in two buckets. A ratio counts as
-1 (both models back off to the pooled one) unless the labelled texts that are no target set it apart significantly, so
-neither the chance frequencies of rare words nor the copies of one text add up.
+digits, the marks themselves, and how many times in a row a word stands there). Each counts once for a text and in two
+buckets. Both models back off: where a bucket's counts in target and raw texts differ by less than STANDARD standard
+errors, the target model takes the raw model's estimate and the ratio is 1. So neither the chance frequencies of rare
+words nor the length of a text add up.
 
 By default k is the number of texts above the weight that best parts good and other labelled texts, held out from the
 target model.
@@ -36,8 +37,8 @@ from . import common as C
 
 BITS = 19
 ROW, BUCKETS, LABELS, CHUNK, LANES = 1 << BITS, 2 << BITS, 50_000, 1 << 14, 1024
-#: A ratio counts where it differs from 1 by STANDARD errors and by a factor of FACTOR, both at least.
-STANDARD, FACTOR, TEMPERATURE = 5.0, 1.5, 0.05
+#: A ratio counts where target and raw counts differ by STANDARD errors; of a million buckets sixty do by chance.
+STANDARD, TEMPERATURE = 4.0, 1.0
 
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -79,16 +80,16 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the partition's n-grams in all, in target (kind 1) and in other labelled texts (kind 2), by chunks of buckets."""
+    """Counts of the partition's n-grams in all and in target texts, by chunks of buckets."""
     from pyspark import TaskContext
 
-    counts = np.zeros((3, BUCKETS), np.int64)
+    counts = np.zeros((2, BUCKETS), np.int64)
     for batch in C.blocks(batches):
         bucket, doc = features(C.texts_of(batch["text"]))
-        kind = batch["kind"].to_numpy(zero_copy_only=False)
-        for k in range(3):
-            if k == 0 or (kind == k).any():
-                counts[k] += np.bincount((bucket[:, kind[doc] == k] if k else bucket).ravel(), minlength=BUCKETS)
+        target = batch["target"].to_numpy(zero_copy_only=False).astype(bool)
+        counts[0] += np.bincount(bucket.ravel(), minlength=BUCKETS)
+        if target.any():
+            counts[1] += np.bincount(bucket[:, target[doc]].ravel(), minlength=BUCKETS)
     if counts[0].any():
         lane = TaskContext.get().partitionId() % LANES
         yield _rows(range(BUCKETS // CHUNK), lane, counts)
@@ -100,33 +101,30 @@ def _rows(chunks: range, lane: int, counts: np.ndarray) -> pa.RecordBatch:
 
 
 def _add(t: pa.Table) -> pa.Table:
-    total = np.zeros(3 * CHUNK, np.int64)
+    total = np.zeros(2 * CHUNK, np.int64)
     for x in t["counts"]:
         total += np.frombuffer(x.as_py(), "<i8")
-    return pa.Table.from_batches([_rows(range(t["chunk"][0].as_py(), t["chunk"][0].as_py() + 1), 0, total.reshape(3, CHUNK))])
+    return pa.Table.from_batches([_rows(range(t["chunk"][0].as_py(), t["chunk"][0].as_py() + 1), 0, total.reshape(2, CHUNK))])
 
 
 def models(rows: DataFrame) -> np.ndarray:
-    """Counts over rows(text, kind) as an array of 3 x BUCKETS, whatever the input's size."""
+    """Counts over rows(text, target) as an array of 2 x BUCKETS, whatever the input's size."""
     kind = "chunk int, lane int, counts binary"
-    parts = rows.select("text", "kind").mapInArrow(_count, kind)
+    parts = rows.select("text", "target").mapInArrow(_count, kind)
     parts = parts.groupBy("chunk", "lane").applyInArrow(_add, kind)
-    found = parts.groupBy("chunk").applyInArrow(_add, kind).collect()
-    counts = np.zeros((3, BUCKETS), np.int64)
-    for r in found:
-        counts[:, r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, "<i8").reshape(3, CHUNK)
+    counts = np.zeros((2, BUCKETS), np.int64)
+    for r in parts.groupBy("chunk").applyInArrow(_add, kind).toLocalIterator():
+        counts[:, r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, "<i8").reshape(2, CHUNK)
     return counts
 
 
-def ratios(counts: np.ndarray, standard: float = STANDARD, factor: float = FACTOR) -> np.ndarray:
-    """log(target model / raw model) for each bucket."""
-    raw, target, rest = counts.astype(float)
+def ratios(counts: np.ndarray, standard: float = STANDARD) -> np.ndarray:
+    """log(target model / raw model) for each bucket: of add-half estimates, and 0 where the target model backs off to the raw one."""
+    raw, target = counts.astype(float)
     share = target.sum() / max(1.0, raw.sum())
-    w = np.log((target + 0.5) / (raw * share + 0.5))
-    a, b = max(1.0, target.sum()), max(1.0, rest.sum())
-    expected = (target + rest) * (b / (a + b))  # of the other labelled texts, if they were like the target
-    clear = np.abs(rest - expected) >= standard * np.sqrt(expected * (a / (a + b)) + 1)
-    return np.where(clear & (np.abs(w) >= np.log(factor)), w, 0).astype(np.float32)
+    expected = raw * share
+    clear = np.abs(target - expected) >= standard * np.sqrt(expected * (1 - share) + 1)
+    return np.where(clear, np.log((target + 0.5) / (expected + 0.5)), 0).astype(np.float32)
 
 
 def weights(bucket: np.ndarray, doc: np.ndarray, ratio: np.ndarray, n: int) -> np.ndarray:
@@ -182,7 +180,7 @@ class Fit(NamedTuple):
     cut: float
 
 
-def _key(score: Column, doc_id: Column, text: Column, temperature: float, seed: int) -> Column:
+def _key(score: Column, doc_id: Column, text: Column, temperature: float, seed: int | Column) -> Column:
     u = (F.pmod(F.xxhash64(doc_id, text, F.lit(seed)), F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
     return score / temperature - F.log(-F.log(u))
 
@@ -195,15 +193,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     sample = labels.filter(part < (1 << 20) * min(1.0, most_labels / max(1, n))).groupBy("doc_id").agg(F.min("good").alias("good"))
     sample = sample.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left")
-    kind = F.when(F.col("fit"), F.when(F.col("good"), 1).otherwise(2)).otherwise(0)
-    counts = models(rows.select("text", kind.alias("kind")))
+    counts = models(rows.select("text", F.coalesce(F.col("fit") & F.col("good"), F.lit(False)).alias("target")))
     score = scorer(docs.sparkSession.sparkContext.broadcast(ratios(counts)))
     out = rows.withColumn("log_weight", score("text"))
     out = C.cut(out.select("doc_id", "good", "fit", "log_weight", _key(F.col("log_weight"), F.col("doc_id"), F.col("text"), temperature, seed).alias("key")))
     if k is None:
-        held = out.filter("good IS NOT NULL AND NOT fit").select("log_weight", "good").toPandas()  # of the sample of labels
-        if held["good"].nunique() == 2 and counts[1].any():
-            k = out.filter(F.col("log_weight") > parting(held["log_weight"].to_numpy(float), held["good"].to_numpy(bool))).count()
+        held = out.filter("good IS NOT NULL AND NOT fit").select("log_weight", "good").toArrow()  # of the sample of labels
+        is_good = held["good"].to_numpy().astype(bool)
+        if is_good.any() and not is_good.all() and counts[1].any():
+            k = out.filter(F.col("log_weight") > parting(held["log_weight"].to_numpy(), is_good)).count()
     total = out.count()
     k = total if k is None else min(k, total)
     cut = float("-inf") if k == total else float("inf") if k <= 0 else kth_largest(out, k)
