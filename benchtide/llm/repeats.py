@@ -93,9 +93,10 @@ def _runs(window: int, anchor: int):
             data, at = C.flat(C.texts_of(batch["text"]))
             h, text, first, last, place, key = runs(data, at, window, anchor)
             own = C.mix(h.piece(first, last + window) + C.mix(_pack(place - first, 0 * place, last - first).astype(np.uint64))) if len(first) else key
+            kind = C.mix(own + C.mix(key))
             base = at[text]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), batch["row"].take(pa.array(text)), pa.array(_pack(place - base, first - base, last - base))], ["anchor", "content", "row", "run"]
+                [pa.array(key.view(np.int64)), pa.array(kind.view(np.int64)), batch["row"].take(pa.array(text)), pa.array(_pack(place - base, first - base, last - base))], ["anchor", "kind", "row", "run"]
             )
 
     return find
@@ -164,26 +165,27 @@ def _remove(window: int, with_text: bool):
 
 def spans(rows: DataFrame, texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(row, spans): first << 32 | last of runs of repeated windows, of each text that has some. rows: row, text; texts: row, doc_id, z."""
-    every = rows.mapInArrow(_runs(window, anchor), "anchor long, content long, row long, run long")
-    several = every.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
-    again = C.cut(every.join(several, "anchor", "left_semi"))
-    kinds = C.cut(again.groupBy("anchor", "content").agg(F.count("*").alias("k"), F.min(F.struct("row", "run")).alias("one")))
+    every = rows.mapInArrow(_runs(window, anchor), "anchor long, kind long, row long, run long")
+    several = every.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select(C.apart("anchor"))
+    again = C.cut(every.withColumn("apart", C.apart("anchor")).join(several, "apart", "left_semi").drop("apart"))
+    kinds = C.cut(again.groupBy("kind").agg(F.min("anchor").alias("anchor"), F.count("*").alias("k"), F.min(F.struct("row", "run")).alias("one")))
     # equal runs
     first, last = F.col("place") - F.col("before"), F.col("place") - F.col("before") + F.col("more")
     parts = [F.shiftright("run", 20).alias("place"), (F.shiftright("run", 10).bitwiseAND(F.lit(1023))).alias("before"), F.col("run").bitwiseAND(F.lit(1023)).alias("more")]
-    whole = again.join(kinds.filter("k > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("row", *parts).select("row", F.shiftleft(first, 32).bitwiseOR(last).alias("span"))
+    equal = again.withColumn("apart", C.apart("kind")).join(kinds.filter("k > 1").select(C.apart("kind")), "apart", "left_semi")
+    whole = equal.select("row", *parts).select("row", F.shiftleft(first, 32).bitwiseOR(last).alias("span"))
     # runs that are equal in part
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
-    asked = kinds.join(mixed, "anchor", "left_semi").select("one.*").groupBy("row").agg(F.collect_list("run").alias("runs"))
+    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(C.apart("anchor"))
+    asked = kinds.withColumn("apart", C.apart("anchor")).join(mixed, "apart", "left_semi").select("one.*").groupBy("row").agg(F.collect_list("run").alias("runs"))
     cores = texts.join(asked, "row").select("row", "z", "runs").mapInArrow(_cores(window), "core long, left binary, right binary, low int, high int, row long, base long")
     cores = C.cut(cores.withColumn("piece", F.xxhash64("core", "left", "right", "low", "high")))
     pieces = cores.groupBy("core", "piece").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.first("low").alias("low"), F.first("high").alias("high"), F.count("*").alias("k"))
-    shared = cores.groupBy("core").agg((F.min("piece") != F.max("piece")).alias("mixed")).filter("mixed").select("core")
-    inner = pieces.join(shared, "core", "left_semi").select("core", "piece", "left", "right", F.explode(F.sequence("low", "high")).alias("i"))
+    shared = cores.groupBy("core").agg((F.min("piece") != F.max("piece")).alias("mixed")).filter("mixed").select(C.apart("core"))
+    inner = pieces.withColumn("apart", C.apart("core")).join(shared, "apart", "left_semi").select("core", "piece", "left", "right", F.explode(F.sequence("low", "high")).alias("i"))
     key = F.xxhash64("core", "i", F.expr("substring(left, length(left) - i + 1, i)"), F.expr(f"substring(right, 1, {STEP - 1} - i)"))
     inner = inner.select("piece", "i", key.alias("key"))
-    repeated = inner.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    partly = inner.join(repeated, "key", "left_semi").select("piece", "i")
+    repeated = inner.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select(C.apart("key"))
+    partly = inner.withColumn("apart", C.apart("key")).join(repeated, "apart", "left_semi").select("piece", "i")
     fully = cores.groupBy("piece").agg(F.count("*").alias("k"), F.first("low").alias("low"), F.first("high").alias("high")).filter("k > 1").select("piece", F.explode(F.sequence("low", "high")).alias("i"))
     marks = partly.unionAll(fully).groupBy("piece").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
     start = F.col("base") - F.col("i")
@@ -203,4 +205,6 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: i
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(C.table(spark, sf_dir, "documents"))
+    """The contract's columns, and: repeats, whether bytes are removed; partly, whether others stay (a copy loses all, a document with a shared passage only that); text, what is left, with cut characters as U+FFFD."""
+    left = dedup(C.table(spark, sf_dir, "documents"), with_text=True)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeats"), F.expr("n_removed > 0 AND n_removed < n_bytes").alias("partly"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
