@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,18 +60,21 @@ def relative_difference(df: DataFrame, filter: str = "mean", threshold: float =
 
 
 def cool_down(changes: DataFrame, points: int, by: Sequence[str] = ("fingerprint",), place: str = "place") -> DataFrame:
-    """After a change the next `points` places of its series are skipped, from the first change on. Only flagged rows are grouped."""
-    keys = list(by)
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, free, out = pdf.sort_values(place), -math.inf, []
-        for k, p in enumerate(pdf[place]):
-            if p >= free:
-                out.append(k)
-                free = p + points + 1
-        return pdf.iloc[out]
-
-    return changes.groupBy(*keys).applyInPandas(keep, changes.schema)
+    """After a change the next `points` places of its series are skipped, from the first change on. Only flagged rows are dealt, and a pass over them in order remembers one place."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, free = None, -math.inf
+        for batch in batches:
+            kept = []
+            for *key, at in zip(*(batch[c].to_pylist() for c in (*by, place)), strict=True):
+                if key != now:
+                    now, free = key, -math.inf
+                kept.append(at >= free)
+                if at >= free:
+                    free = at + points + 1
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return changes.repartition(*by).sortWithinPartitions(*by, place).mapInArrow(keep, changes.schema)
 
 
 def deviation(df: DataFrame, window: int = 40, deviations: float = 4.0, direction: str = "BOTH", min_points: int = 10, by: Sequence[str] = ("fingerprint",), domain: str | None = "domain", value: str = "range", ident: str = "value_id") -> DataFrame:

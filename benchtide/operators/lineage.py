@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df as files in the checkpoint folder that the session names; an own one only where it names none, as in tests."""
+    """df as files in the checkpoint folder that the session names; an own one only where it names none and all runs on this machine, as in tests."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="benchtide-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="benchtide-"))
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df saved and dealt by a column, so that no later join on it deals it again."""
+    return saved(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
+
+
 def closure(edges: DataFrame, start: DataFrame, up: bool = False, with_start: bool = False) -> DataFrame:
-    """(root, id): all that is reached from each of start(id), along the edges or up against them. Each round joins the new pairs only, and pairs seen before are dropped, so diamonds don't multiply."""
+    """(root, id): all that is reached from each of start(id), along the edges or up against them. The edges are saved once; each round joins the new pairs only, and pairs seen before are dropped, so diamonds don't multiply."""
     a, b = ("child_id", "parent_id") if up else ("parent_id", "child_id")
-    step = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
+    step = dealt(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "id")
     front = saved(start.select(F.col("id").alias("root"), "id").distinct())
     seen, first, rounds = front, front, 0
     while True:
@@ -50,15 +58,19 @@ def with_outside_parent(edges: DataFrame, doomed: DataFrame) -> DataFrame:
 
 
 def cascade(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(id) of all that goes when start(id) goes: a child goes with its last parent."""
-    gone = saved(start.select("id").distinct())
+    """(id) of all that goes when start(id) goes: a child goes with its last parent. A round looks at the children of what went in the round before, and counts the parents that they have lost."""
+    edges = dealt(edges.select("child_id", "parent_id").distinct(), "parent_id")
+    parents = dealt(edges.groupBy("child_id").agg(F.count("*").alias("parents")), "child_id")
+    gone = front = saved(start.select("id").distinct())
+    lost = None
     while True:
-        left = edges.join(gone.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select(F.col("child_id").alias("id"))
-        more = edges.join(gone.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select(F.col("child_id").alias("id")).distinct()
-        more = saved(more.join(gone, "id", "left_anti").join(left, "id", "left_anti"))
-        if more.isEmpty():
+        hit = saved(edges.join(front.select(F.col("id").alias("parent_id")), "parent_id").groupBy("child_id").agg(F.count("*").alias("lost")))
+        if hit.isEmpty():
             return gone
-        gone = saved(gone.unionAll(more))
+        lost = hit if lost is None else lost.unionAll(hit)
+        total = lost.join(hit.select("child_id"), "child_id", "left_semi").groupBy("child_id").agg(F.sum("lost").alias("lost"))
+        front = saved(total.join(parents, "child_id").filter("lost = parents").select(F.col("child_id").alias("id")).join(gone, "id", "left_anti"))
+        gone = gone.unionAll(front)
 
 
 def subtree(edges: DataFrame, start: DataFrame, protected: DataFrame | None = None) -> DataFrame:

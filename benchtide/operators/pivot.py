@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from benchtide.operators.lineage import closure, saved
+
+
+def quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    array = F.to_json(F.array(text))
+    return array.substr(F.lit(2), F.length(array) - 2)
 
 
 def grouped(values: DataFrame, by: Sequence[str] = ("run_id",), node: str = "node", idx: str = "idx", data: str = "data") -> DataFrame:
     """One JSON object per group, {node: value, or array by ordinal}. data holds JSON texts."""
     cells = values.groupBy(*by, node).agg(F.sort_array(F.collect_list(F.struct(idx, data))).alias("xs"))
     text = F.when(F.size("xs") == 1, F.col("xs")[0][data]).otherwise(F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x[data]), ","), F.lit("]")))
-    pair = F.concat(F.lit('"'), F.col(node), F.lit('":'), text)
+    pair = F.concat(quoted(F.col(node)), F.lit(":"), text)
     return cells.select(*by, F.col(node).alias("_n"), pair.alias("_p")).groupBy(*by).agg(F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_p"))), lambda x: x["_p"]), ","), F.lit("}")).alias("row"))
 
 
@@ -29,17 +38,39 @@ def single(xs):
     return F.when(F.size(xs) == 1, xs[0])
 
 
-def sort_keys(values: DataFrame, sort_node: str, by: Sequence[str] = ("run_id",), node: str = "node", value: str = "value") -> DataFrame:
-    """The least number and the least text of a node for each group."""
-    number = F.col(value).try_cast("double")
-    return values.filter(F.col(node) == sort_node).groupBy(*by).agg(F.min(number).alias("sort_number"), F.min(F.when(number.isNull(), F.col(value))).alias("sort_text"))
+_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?$"
+
+
+def sort_keys(values: DataFrame, sort_node: str, by: Sequence[str] = ("run_id",), node: str = "node", data: str = "data") -> DataFrame:
+    """For each group the least JSON number and the least JSON text of a node; null for groups without it. data holds JSON texts, so a string of digits is no number."""
+    own = F.when(F.col(node) == sort_node, F.col(data))
+    return values.groupBy(*by).agg(F.min(F.when(own.rlike(_NUMBER), own.try_cast("double"))).alias("sort_number"), F.min(own).alias("sort_text"))
 
 
-def sort_order():
-    """Numbers ascending, those without last, then texts."""
+def sort_order() -> list[Column]:
+    """Numbers ascending, then texts; groups without the node last."""
     return [F.col("sort_number").asc_nulls_last(), F.col("sort_text").asc_nulls_last()]
 
 
+def ranked(df: DataFrame, *order: Column | str, rank: str = "rank") -> DataFrame:
+    """df with each row's place in an order, from 1. Ranges are sorted side by side; what leaves the executors is one count for each range."""
+    placed = saved(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(rank, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_part", "_before")
+
+
+def grouped_under(values: DataFrame, edges: DataFrame, ancestor: str, nodes: Sequence[str], match: Mapping[str, str] | None = None, sort_node: str | None = None, group: str = "run_id", node: str = "node", data: str = "data") -> DataFrame:
+    """Grouped values as a user asks for them: those of some nodes, in the groups that are an ancestor's descendants and hold the given JSON text at each node of match, ranked by a node. values has run_id, node, idx, data; group ids are ids of the edges."""
+    under = closure(edges, edges.filter(F.col("parent_id") == ancestor).select(F.col("parent_id").alias("id"))).select(F.col("id").alias(group))
+    own = values.join(under, group, "left_semi")
+    for k, v in (match or {}).items():
+        own = own.join(values.filter((F.col(node) == k) & (F.col(data) == v)).select(group), group, "left_semi")
+    rows = grouped(own.filter(F.col(node).isin(*nodes)), by=(group,))
+    return rows if sort_node is None else ranked(rows.join(sort_keys(own, sort_node, by=(group,)), group), *sort_order(), group)
+
+
 def table_columns(names: Sequence[str]) -> list[str]:
     """Columns of a table of grouped rows: those not starting with _, sorted without regard to case."""
     return sorted({n for n in names if not n.startswith("_")}, key=lambda n: (n.lower(), n))

@@ -24,19 +24,37 @@ def dashboard(folders: DataFrame, runs: DataFrame, nodes: DataFrame, changes: Da
     return out.na.fill(0, ["uploads", "nodes", "changes"])
 
 
-def change_text(kind: Column, value: Column, bound: Column, ratio: Column, deviations: Column, magnitude: Column, pvalue: Column) -> Column:
-    """One line on a change, by the kind of its detector."""
-    return (
-        F.when(kind == "ft", F.concat(F.lit("value "), F.format_string("%.2f", value), F.lit(" bound "), F.format_string("%.2f", bound)))
-        .when(kind == "rd", F.format_string("%.1f%%", ratio))
-        .when(kind == "sd", F.concat(F.format_string("%.2f", deviations), F.lit(" deviations")))
-        .when(kind == "ed", F.concat(F.format_string("magnitude %.2f", magnitude), F.format_string(" p %.4f", pvalue)))
+#: The kinds of detectors as reports name them.
+KINDS = {"ft": "FIXED_THRESHOLD", "rd": "RELATIVE_DIFFERENCE", "sd": "STDDEV_ANOMALY", "ed": "EDIVISIVE"}
+
+
+def change_text(name: Column, kind: Column, details: Mapping[str, Column], fingerprint: Column) -> Column:
+    """One line on a change: the detector's name and kind, its details, and the fingerprint where there is one. details: value, bound, direction, ratio, deviations, magnitude, pvalue, as far as they are known; a ? stands for others."""
+
+    def shown(key: str, form: str | None = None) -> Column:
+        x = details.get(key)
+        if x is None:
+            return F.lit("?")
+        return F.coalesce(x.cast("string") if form is None else F.when(x.isNotNull(), F.format_string(form, x)), F.lit("?"))
+
+    detail = (
+        F.when(kind == "ft", F.concat(F.lit("value="), shown("value"), F.lit(" "), shown("direction"), F.lit(" bound "), shown("bound")))
+        .when(kind == "rd", F.concat(F.lit("ratio="), shown("ratio", "%.1f%%")))
+        .when(kind == "sd", F.concat(shown("direction"), F.lit(" ("), shown("deviations"), F.lit(" deviations)")))
+        .when(kind == "ed", F.concat(F.lit("magnitude="), shown("magnitude", "%.2f"), F.lit(", p-value="), shown("pvalue", "%.4f")))
+        .otherwise("no data")
     )
+    known = F.coalesce(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[kind], kind, F.lit("unknown"))
+    return F.concat(F.coalesce(name, F.lit("unknown")), F.lit(" ("), known, F.lit("): "), detail, F.when(fingerprint.isNotNull(), F.concat(F.lit(", fingerprint="), fingerprint)).otherwise(""))
 
 
-def change_summary(changes: DataFrame, by: Sequence[str] = ("run_id",), detail: str = "detail") -> DataFrame:
-    """Changes of each run: how many, and their texts in order."""
-    return changes.groupBy(*by).agg(F.count("*").alias("n_changes"), F.array_join(F.sort_array(F.collect_list(detail)), "; ").alias("details"))
+def change_summary(runs: DataFrame, changes: DataFrame, by: Sequence[str] = ("run_id",), detail: str = "detail") -> DataFrame:
+    """For each of runs: how many changes it has, and a text with a head line and a line for each of them, in order."""
+    found = changes.groupBy(*by).agg(F.count("*").alias("n_changes"), F.sort_array(F.collect_list(detail)).alias("_lines"))
+    out = runs.select(*by).distinct().join(found, list(by), "left")
+    n = F.coalesce("n_changes", F.lit(0))
+    text = F.when(n == 0, "No changes detected.").otherwise(F.concat(n.cast("string"), F.when(n == 1, " change").otherwise(" changes"), F.lit(" detected:\n  "), F.array_join("_lines", "\n  ")))
+    return out.select(*by, n.alias("n_changes"), text.alias("details"))
 
 
 def shown(df: DataFrame, limit: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from benchtide.sources import documents as docs
 from benchtide.sources import spec, store
 
 from .catalog import query
-from .fixtures import ITEMS_SQL, event_documents, node_tables, order_documents, order_items, table
+from .fixtures import ITEMS_SQL, NODES_SQL, ORDER_TYPE, event_documents, node_tables, order_documents, order_items, table, without_digits
 
 
 @query("s2_validated_ingest", "SELECT event_type AS folder, count(*) AS good, count(*) FILTER (event_id % 10 = 0) AS rejected FROM events GROUP BY 1")
@@ -29,7 +31,11 @@ def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.newest_first(docs.runs_of(o.withColumn("testgroup", F.col("testid") % 10), 7, "testgroup").drop("testgroup"), 100, 20)
 
 
-@query("s4_spec_import")
+_SPEC_SQL = f"""{NODES_SQL}, n AS (SELECT p_brand AS folder, node_id, name, CASE WHEN type IN ('root','jq','js','nata','split','fp','ft','rd','sd','ed') THEN type ELSE 'jq' END AS type FROM nodes JOIN part ON p_partkey = node_id),
+e AS (SELECT n.folder, child_id, parent_id, EXISTS (SELECT 1 FROM n m WHERE m.folder = n.folder AND m.node_id = parent_id) AS known FROM edges JOIN n ON n.node_id = child_id)"""
+
+
+@query("s4_spec_import", f"""WITH {_SPEC_SQL} SELECT n.folder, type, count(*) AS nodes, (SELECT count(*) FROM e WHERE e.folder = n.folder AND known) AS sources, (SELECT count(*) FROM e WHERE e.folder = n.folder AND NOT known) AS unresolved FROM n GROUP BY 1, 2""")
 def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A spec for each brand, read back: nodes and unresolved sources by type."""
     specs = _specs(spark, sf_dir)
@@ -53,9 +59,12 @@ def _by_child():
     return Window.partitionBy("child_id").orderBy("parent_id")
 
 
-@query("s5_spec_export")
+@query("s5_spec_export", f"""WITH {_SPEC_SQL}, s AS (SELECT child_id, string_agg(parent_id::BIGINT, ',' ORDER BY parent_id) AS sources FROM e GROUP BY 1)
+SELECT folder, count(*)::INT AS nodes, string_agg(node_id || ' ' || type || ' ' || name || ' .' || name || ' [' || coalesce(sources, '') || ']', ';' ORDER BY type <> 'root', node_id) AS listed FROM n LEFT JOIN s ON child_id = node_id GROUP BY 1""")
 def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _specs(spark, sf_dir).select("folder", F.size("nodes").alias("nodes"), F.col("nodes")[0]["type"].alias("first_type"))
+    """What the exported spec of each brand says when it is read back: every node with its kind, operation and sources, in order."""
+    listed = F.transform("nodes", lambda x: F.concat_ws(" ", x["id"].cast("string"), x["type"], x["name"], x["operation"], F.concat(F.lit("["), F.array_join(x["sources"].cast("array<string>"), ","), F.lit("]"))))
+    return _specs(spark, sf_dir).select("folder", F.size("nodes").alias("nodes"), F.array_join(listed, ";").alias("listed"))
 
 
 @query("s7_node_scan", "SELECT l_returnflag AS node, count(*) AS n FROM lineitem GROUP BY 1")
@@ -71,14 +80,16 @@ def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.by_id(v, 77).unionAll(store.by_path(v, "click=1"))
 
 
-@query("s9_catalog_lookup")
+@query("s9_catalog_lookup", f"""WITH {NODES_SQL}, n AS (SELECT *, type AS folder, mode AS original FROM nodes)
+SELECT '17' AS asked, node_id, name, type, mode FROM n WHERE node_id = 17 UNION ALL SELECT 'red widget', node_id, name, type, mode FROM n WHERE name = 'red widget'
+UNION ALL SELECT 'jq:red widget', node_id, name, type, mode FROM n WHERE name = 'red widget' AND folder = 'jq' UNION ALL SELECT 'jq:AUTO:red widget', node_id, name, type, mode FROM n WHERE name = 'red widget' AND folder = 'jq' AND original = 'AUTO'
+UNION ALL SELECT 'blue widget:red widget', node_id, name, type, mode FROM n WHERE name = 'red widget' AND node_id IN (SELECT child_id FROM edges e JOIN n p ON p.node_id = e.parent_id WHERE p.name = 'blue widget')""")
 def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All readings of a name with a parent's name before it."""
+    """Every form of a name: an id, a node, a folder's node, a folder's node of another origin, and a parent's node."""
     nodes, edges = node_tables(spark, sf_dir)
-    nodes = nodes.withColumn("folder", F.col("type"))
-    edges = edges.withColumn("folder", F.lit(None).cast("string"))
-    edges = edges.drop("folder").join(nodes.select(F.col("node_id").alias("parent_id"), "folder"), "parent_id")
-    return spec.find(nodes, edges, "jq:red widget").select("node_id", "name", "type", "mode")
+    nodes = nodes.withColumns({"folder": F.col("type"), "original": F.col("mode")})
+    found = [spec.find(nodes, edges, x).select(F.lit(x).alias("asked"), "node_id", "name", "type", "mode") for x in ("17", "red widget", "jq:red widget", "jq:AUTO:red widget", "blue widget:red widget")]
+    return reduce(DataFrame.unionAll, found)
 
 
 @query("s10_schema_paths", "SELECT event_id AS run_id, '.\"$schema\"' AS path, '\"urn:' || event_type || '\"' AS value FROM events")
@@ -134,9 +145,12 @@ def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_items(spark, sf_dir).select("run_id", F.size("items").cast("long").alias("n"), F.element_at("items", -1)["part"].alias("last"))
 
 
-@query("p7_bounded_descent")
+@query("p7_bounded_descent", """SELECT event_id AS run_id, '$.value' AS path, value AS number, NULL AS text FROM events UNION ALL SELECT event_id, '$.meta.type', NULL, '"' || event_type || '"' FROM events
+UNION ALL SELECT event_id, '$.meta."user-id"', user_id, NULL FROM events UNION ALL SELECT event_id, '$.props.k', (props::JSON->>'k')::DOUBLE, NULL FROM events""")
 def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.paths(event_documents(spark, sf_dir), depth=2).filter(F.col("path") == "$.meta.type").select("run_id", "value")
+    """All that lies within two steps of the root."""
+    number = F.col("value").try_cast("double")
+    return extract.paths(event_documents(spark, sf_dir), depth=2).select("run_id", "path", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
 
 
 @query("p8_type_dispatch", "SELECT event_id AS run_id, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS n FROM events")
@@ -193,9 +207,9 @@ def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(fp.alias("fingerprint")).agg(F.count("*").alias("n"))
 
 
-@query("p17_structure")
+@query("p17_structure", f"SELECT DISTINCT o_orderpriority AS folder, '{ORDER_TYPE}' AS structure FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.structure(order_documents(spark, sf_dir))
+    return extract.structure(order_documents(spark, sf_dir)).select("folder", without_digits(F.col("structure")).alias("structure"))
 
 
 @query("p18_json_path", f"WITH {ITEMS_SQL} SELECT l_orderkey AS run_id, string_agg(l_partkey::VARCHAR, ',' ORDER BY idx) FILTER (l_returnflag = 'R') AS every, count(*) AS n FROM items GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ITEMS = "array<struct<line int, part bigint, supp bigint, qty double, price double, disc double, flag string, status string>>"
@@ -95,3 +95,11 @@ EDGES_SQL = """value_edges AS (
 
 ITEMS_SQL = """items AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS idx
   FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))"""
+
+#: The merged type of all order documents, without the digits of its numbers.
+ORDER_TYPE = "OBJECT<items: ARRAY<OBJECT<disc: DECIMAL, flag: STRING, line: BIGINT, part: BIGINT, price: DECIMAL, qty: DECIMAL, status: STRING, supp: BIGINT>>, order: OBJECT<cust: BIGINT, status: STRING, `total-price`: DECIMAL>>"
+
+
+def without_digits(structure: Column) -> Column:
+    """How many digits a number has depends on the rows."""
+    return F.regexp_replace(structure, r"\([0-9]+,[0-9]+\)", "")

@@ -20,21 +20,35 @@ class Node:
     many: bool = False
 
 
+def is_identity(node: Node) -> bool:
+    """Whether a node hands its only source on: it has no function, or one that returns the very column it is given."""
+    if node.fn is None:
+        return True
+    if len(node.sources) != 1 or node.many:
+        return False
+    given = F.col(f"`{node.sources[0]}`")
+    return node.fn(given) is given
+
+
 def bound(node: Node) -> Column:
-    """Parameters bind to sources by name where all names match, else by place; one parameter for several sources gets a struct of them; sources with one name get _2, _3 ... behind it."""
+    """Parameters bind to sources by name where all names match, else by place; one parameter for several sources gets a struct of them. A source is written as name or name#id; of sources with one name the first keeps it, and the others are name_id."""
+
+    def column(source: str) -> Column:
+        return F.col(f"`{source}`")
+
     if node.fn is None:
-        return F.col(node.sources[0])
+        return column(node.sources[0])
     names: list[str] = []
     for s in node.sources:
-        plain = s.rpartition(".")[2]
-        names.append(plain if plain not in names else f"{plain}_{1 + sum(x == plain or x.startswith(f'{plain}_') for x in names)}")
+        plain, _, ident = s.rpartition(".")[2].partition("#")
+        names.append(plain if plain not in names else f"{plain}_{ident}")
     given = dict(zip(names, node.sources, strict=True))
     wanted = [p.name for p in inspect.signature(node.fn).parameters.values() if p.kind is not p.VAR_POSITIONAL]
     if len(wanted) == 1 and len(names) > 1:
-        return node.fn(F.struct(*[F.col(s).alias(n) for n, s in given.items()]))
+        return node.fn(F.struct(*[column(s).alias(n) for n, s in given.items()]))
     if wanted and set(wanted) <= set(names):
-        return node.fn(*[F.col(given[w]) for w in wanted])
-    return node.fn(*[F.col(s) for s in node.sources])
+        return node.fn(*[column(given[w]) for w in wanted])
+    return node.fn(*[column(s) for s in node.sources])
 
 
 @dataclass

@@ -45,10 +45,16 @@ def u5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.extra(left, right)
 
 
-@query("j12_name_resolution", "SELECT 'PartNo' || (p_partkey // 4) AS label, 'part_no' || (p_partkey // 4) AS known, 6 AS rank FROM part WHERE p_partkey % 4 = 1")
+@query("j12_name_resolution", """SELECT 'PartNo' || p_partkey || 'x' AS label, CASE p_partkey % 8 WHEN 0 THEN 'PartNo' || p_partkey || 'x' WHEN 1 THEN 'PartNo' || p_partkey || 'x0' WHEN 2 THEN 'PartNo' || p_partkey || 'x1' WHEN 3 THEN 'PartNo' || p_partkey || 'x2' WHEN 4 THEN 'PartNo' || p_partkey || 'x3'
+WHEN 5 THEN 'partNo' || p_partkey || 'x' ELSE 'part_no' || p_partkey || 'x' END AS known, p_partkey % 8 AS rank FROM part WHERE p_partkey % 8 < 7""")
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").filter("p_partkey % 4 = 1").select(F.floor(F.col("p_partkey") / 4).cast("string").alias("k"))
-    return reconcile.resolved(p.select(F.concat(F.lit("PartNo"), "k").alias("label")), p.select(F.concat(F.lit("part_no"), "k").alias("label")))
+    """Every part's name, known in one of the seven forms or (of eight, the last) in none; later forms are known beside earlier ones."""
+    key, form = F.concat(F.col("p_partkey").cast("string"), F.lit("x")), F.col("p_partkey") % 8
+    name = F.concat(F.lit("PartNo"), key)
+    forms = [name, *[F.concat(name, F.lit(str(k))) for k in range(4)], F.concat(F.lit("partNo"), key), F.concat(F.lit("part_no"), key)]
+    p = table(spark, sf_dir, "part")
+    known = p.select(F.explode(F.array(*[F.when((form == k) | ((F.lit(k) == 6) & (form < 6)), f) for k, f in enumerate(forms)])).alias("label")).filter("label IS NOT NULL")
+    return reconcile.resolved(p.select(name.alias("label")), known).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("j14_upsert", "SELECT coalesce(a.k, b.k) AS path, CASE WHEN a.k IS NULL THEN 'insert' WHEN b.k IS NULL THEN 'delete' WHEN a.v = b.v THEN 'keep' ELSE 'update' END AS action, coalesce(b.v, a.v) AS data FROM (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 5 <> 0) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 7 <> 0) b ON a.k = b.k")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from benchtide.operators import detect, extract, maintenance, pivot, reports
+from benchtide.operators import detect, extract, lineage, maintenance, pivot, reports
 from benchtide.sources import documents as docs
 from benchtide.sources import outbox
 
 from .catalog import query
-from .fixtures import ITEMS_SQL, event_series, order_documents, order_items, table
+from .fixtures import EDGES_SQL, ITEMS_SQL, ORDER_TYPE, event_series, order_documents, order_items, table, value_edges, without_digits
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +30,24 @@ def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot.grouped(v)
 
 
+def _json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with data as JSON: numbers for part, texts of digits for supp, texts for flag."""
+    return _values(spark, sf_dir).withColumn("data", F.when(F.col("node") == "part", F.col("value")).otherwise(pivot.quoted(F.col("value"))))
+
+
+_JSON = f"""{_VALUES}, j AS (SELECT *, CASE WHEN node = 'part' THEN value ELSE '"' || value || '"' END AS data FROM v)"""
+
+
+@query("g1_grouped_under", f"""WITH {_JSON}, own AS (SELECT * FROM j WHERE run_id IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3) AND run_id IN (SELECT run_id FROM j WHERE node = 'flag' AND data = '"R"')),
+c AS (SELECT run_id, node, CASE WHEN count(*) = 1 THEN any_value(data) ELSE '[' || string_agg(data, ',' ORDER BY idx) || ']' END AS t FROM own WHERE node IN ('part', 'flag') GROUP BY 1, 2),
+k AS (SELECT run_id, min(CASE WHEN node = 'part' THEN data::DOUBLE END) AS a, min(CASE WHEN node = 'part' THEN data END) AS b FROM own GROUP BY 1), g AS (SELECT run_id, '{{' || string_agg('"' || node || '":' || t, ',' ORDER BY node) || '}}' AS row FROM c GROUP BY 1)
+SELECT 'o' || run_id AS run_id, row, row_number() OVER (ORDER BY a, b, 'o' || run_id) AS rank FROM g JOIN k USING (run_id)""")
+def g1_under(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In one call: what lies under a nation, of two nodes, where a flag is R, in the order of the parts."""
+    values = _json_values(spark, sf_dir).withColumn("run_id", F.concat(F.lit("o"), F.col("run_id").cast("string")))
+    return pivot.grouped_under(values, value_edges(spark, sf_dir), "n3", ("part", "flag"), {"flag": '"R"'}, "part").select("run_id", "row", "rank")
+
+
 @query("g2_label_values", f"""WITH {_VALUES}, c AS (SELECT run_id, node, CASE WHEN count(*) = 1 THEN any_value(value) ELSE '[' || string_agg(value, ',' ORDER BY idx) || ']' END AS t FROM v WHERE node IN ('part', 'supp') GROUP BY 1, 2)
 SELECT run_id, '{{' || string_agg('"' || node || '":' || t, ',' ORDER BY node) || '}}' AS row FROM c GROUP BY 1""")
 def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,28 +95,49 @@ def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dashboard(spark, sf_dir).agg(F.count("*").alias("folders"), F.sum("uploads").alias("uploads"), F.sum("changes").alias("changes"), F.max("last_upload").alias("newest"))
 
 
-@query("g7_merged_structure")
+@query("g7_merged_structure", f"SELECT 'all' AS all, '{ORDER_TYPE}' AS structure")
 def g7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.structure(order_documents(spark, sf_dir).withColumn("all", F.lit("all")), by=("all",))
+    return extract.structure(order_documents(spark, sf_dir).withColumn("all", F.lit("all")), by=("all",)).select("all", without_digits(F.col("structure")).alias("structure"))
 
 
-@query("g8_sort_keys", f"WITH {_VALUES} SELECT run_id, min(value::DOUBLE) AS sort_number, NULL::VARCHAR AS sort_text FROM v WHERE node = 'part' GROUP BY 1")
+@query("g8_sort_keys", f"""WITH {_JSON}, n AS (SELECT unnest(['part', 'supp', 'flag', 'none']) AS by_node), g AS (SELECT DISTINCT run_id FROM j)
+SELECT by_node, g.run_id, min(CASE WHEN node = 'part' THEN data::DOUBLE END) AS sort_number, min(data) AS sort_text FROM g CROSS JOIN n LEFT JOIN j ON j.run_id = g.run_id AND node = by_node GROUP BY 1, 2""")
 def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pivot.sort_keys(_values(spark, sf_dir), "part")
+    """By numbers, by texts of digits, by texts, and by a node that no group has."""
+    v = _json_values(spark, sf_dir)
+    parts = [pivot.sort_keys(v, n).select(F.lit(n).alias("by_node"), "run_id", "sort_number", "sort_text") for n in ("part", "supp", "flag", "none")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
-@query("o1_sorted_pivot", f"WITH {_VALUES}, k AS (SELECT run_id, min(try_cast(value AS DOUBLE)) AS a, min(CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN value END) AS b FROM v WHERE node = 'flag' GROUP BY 1) SELECT run_id, row_number() OVER (ORDER BY a NULLS LAST, b NULLS LAST, run_id) AS rank FROM k QUALIFY rank <= 500")
+@query("o1_sorted_pivot", f"""WITH {_JSON}, k AS (SELECT run_id, min(CASE WHEN data[1] = '"' THEN data END) FILTER (node = 'flag' AND data <> '"N"') AS b FROM j GROUP BY 1) SELECT run_id, row_number() OVER (ORDER BY b NULLS LAST, run_id) AS rank FROM k""")
 def o1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 500 rows of a pivot in the order of a node."""
-    top = pivot.sort_keys(_values(spark, sf_dir), "flag").orderBy(*pivot.sort_order(), "run_id").limit(500)
-    return top.select("run_id", F.row_number().over(Window.orderBy(*pivot.sort_order(), "run_id")).cast("long").alias("rank"))
-
-
-@query("g10_storage_profile", """SELECT 'documents' AS name, count(*) AS n_rows, coalesce(sum(strlen(coalesce(text, '')) + strlen(coalesce(source, ''))), 0)::BIGINT AS data_bytes FROM documents
-UNION ALL SELECT 'pages', count(*), sum(strlen(html) + strlen(url))::BIGINT FROM pages UNION ALL SELECT 'events', count(*), sum(strlen(props))::BIGINT FROM events UNION ALL SELECT 'orders', count(*), sum(strlen(o_orderpriority))::BIGINT FROM orders""")
+    """All rows of a pivot in the order of a node; those without it come last."""
+    v = _json_values(spark, sf_dir).withColumn("node", F.when((F.col("node") == "flag") & (F.col("value") == "N"), "other").otherwise(F.col("node")))
+    return pivot.ranked(pivot.sort_keys(v, "flag"), *pivot.sort_order(), "run_id").select("run_id", "rank")
+
+
+#: The text columns of each table.
+_TEXTS = {
+    "region": ["r_name"],
+    "nation": ["n_name"],
+    "customer": ["c_name", "c_mktsegment"],
+    "supplier": ["s_name"],
+    "part": ["p_name", "p_brand", "p_type"],
+    "orders": ["o_orderstatus", "o_orderpriority"],
+    "lineitem": ["l_returnflag", "l_linestatus"],
+    "events": ["event_type", "props"],
+    "documents": ["text", "lang", "source"],
+    "embeddings": [],
+    "pages": ["url", "html"],
+    "benchmark": ["text"],
+    "labels": [],
+    "conversations": ["role", "text"],
+}
+
+
+@query("g10_storage_profile", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, coalesce(sum({' + '.join(f'coalesce(strlen({c}), 0)' for c in columns) or '0'}), 0)::BIGINT AS data_bytes FROM {t}" for t, columns in _TEXTS.items()))
 def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = {"documents": ["text", "source"], "pages": ["html", "url"], "events": ["props"], "orders": ["o_orderpriority"]}
-    return reports.storage_profile({n: (table(spark, sf_dir, n), c) for n, c in columns.items()}).orderBy(F.col("data_bytes").desc())
+    return reports.storage_profile({n: (table(spark, sf_dir, n), c) for n, c in _TEXTS.items()}).orderBy(F.col("data_bytes").desc())
 
 
 @query("u3_union_of_profiles", "SELECT count(*) AS tables, sum(n)::BIGINT AS n_rows FROM (SELECT count(*) AS n FROM region UNION ALL SELECT count(*) FROM nation UNION ALL SELECT count(*) FROM customer UNION ALL SELECT count(*) FROM supplier)")
@@ -119,17 +157,29 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CH = """ch AS (SELECT event_type AS folder, user_id AS run_id, event_id AS change_id, CASE WHEN value < 1 THEN 'below' ELSE 'above' END AS detector, CASE WHEN value < 1 THEN 'below' ELSE 'above' END || ' ' || printf('%.2f', value) AS detail, event_id % 3 <> 0 AS dispatch, ts AS detected_at FROM events WHERE value < 1 OR value > 20)"""
 
 
-@query("g11_change_summary", f"WITH {_CH} SELECT run_id, count(*) AS n_changes, string_agg(detail, '; ' ORDER BY detail) AS details FROM ch GROUP BY 1")
+_LINES = """lines AS (SELECT user_id AS run_id, event_type || '-limit (FIXED_THRESHOLD): value=' || value || ' ' || CASE WHEN value < 1 THEN 'below' ELSE 'above' END || ' bound ' || CASE WHEN value < 1 THEN 1.0::DOUBLE ELSE 20.0::DOUBLE END
+|| CASE WHEN event_id % 2 = 0 THEN ', fingerprint={"event_type":"' || event_type || '"}' ELSE '' END AS detail FROM events WHERE value < 1 OR value > 20)"""
+
+
+@query("g11_change_summary", f"""WITH {_LINES} SELECT u.run_id, count(detail) AS n_changes, CASE count(detail) WHEN 0 THEN 'No changes detected.' WHEN 1 THEN '1 change detected:' || chr(10) || '  ' || min(detail) ELSE count(detail) || ' changes detected:' || chr(10) || '  ' || string_agg(detail, chr(10) || '  ' ORDER BY detail) END AS details
+FROM (SELECT DISTINCT user_id AS run_id FROM events) u LEFT JOIN lines USING (run_id) GROUP BY 1""")
 def g11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.change_summary(_changes(spark, sf_dir))
+    """The changes of each user's events; users without one are told so."""
+    e = table(spark, sf_dir, "events").withColumns({"range": F.col("value"), "run_id": F.col("user_id")})
+    fp = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"event_type":"'), F.col("event_type"), F.lit('"}')))
+    text = reports.change_text(F.concat("event_type", F.lit("-limit")), F.lit("ft"), {"value": F.col("value"), "bound": F.col("bound"), "direction": F.col("direction")}, fp)
+    return reports.change_summary(e, detect.fixed_threshold(e, 1.0, 20.0).withColumn("detail", text))
 
 
-@query("p31_change_text", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'value ' || printf('%.2f', value) || ' bound ' || printf('%.2f', 20.0) WHEN 1 THEN printf('%.1f', value) || '%' WHEN 2 THEN printf('%.2f', value) || ' deviations' ELSE 'magnitude ' || printf('%.2f', value) || ' p ' || printf('%.4f', 0.05) END AS detail FROM (SELECT event_id, floor(value * 2) / 2 AS value FROM events)")
+@query("p31_change_text", """SELECT event_id, event_type || CASE event_id % 5 WHEN 0 THEN ' (FIXED_THRESHOLD): value=' || value || ' above bound 20.0' WHEN 1 THEN ' (RELATIVE_DIFFERENCE): ratio=' || printf('%.1f', value) || '%' WHEN 2 THEN ' (STDDEV_ANOMALY): above (' || value || ' deviations)'
+WHEN 3 THEN ' (EDIVISIVE): magnitude=' || printf('%.2f', value) || ', p-value=0.0500' ELSE ' (jq): no data' END || CASE WHEN event_id % 3 = 0 THEN ', fingerprint={"user":' || user_id || '}' ELSE '' END AS detail FROM (SELECT event_id, event_type, user_id, floor(value * 2) / 2 AS value FROM events)""")
 def p31(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("value", F.floor(F.col("value") * 2) / 2)
-    kind = F.element_at(F.array(*map(F.lit, ("ft", "rd", "sd", "ed"))), (F.col("event_id") % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("ft", "rd", "sd", "ed", "jq"))), (F.col("event_id") % 5 + 1).cast("int"))
     x = F.col("value")
-    return e.select("event_id", reports.change_text(kind, x, F.lit(20.0), x, x, x, F.lit(0.05)).alias("detail"))
+    details = {"value": x, "bound": F.lit(20.0), "direction": F.lit("above"), "ratio": x, "deviations": x, "magnitude": x, "pvalue": F.lit(0.05)}
+    fp = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("user_id").alias("user"))))
+    return e.select("event_id", reports.change_text(F.col("event_type"), kind, details, fp).alias("detail"))
 
 
 @query("g12_shown", "SELECT count(*) AS n, least(count(*), 50) AS showing FROM orders")
@@ -162,7 +212,7 @@ def o7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o8_by_name", "SELECT n_name AS name, row_number() OVER (ORDER BY n_name) AS place FROM nation")
 def o8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.row_number().over(Window.orderBy("n_name")).cast("long").alias("place"))
+    return pivot.ranked(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "name", rank="place")
 
 
 @query("f2_node_filter", "SELECT l_returnflag AS node, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1")
@@ -180,10 +230,13 @@ def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs
 
 
-@query("f4_descendants_of", "SELECT o_orderkey AS run_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+@query("f4_descendants_of", f"WITH RECURSIVE {EDGES_SQL}, c AS (SELECT child_id AS id FROM value_edges WHERE parent_id = 'n3' UNION SELECT e.child_id FROM c JOIN value_edges e ON e.parent_id = c.id) SELECT o_orderkey AS run_id FROM orders WHERE 'o' || o_orderkey IN (SELECT id FROM c)")
 def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    under = table(spark, sf_dir, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").join(under, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("run_id"))
+    """Orders that descend from a nation, however far."""
+    e = value_edges(spark, sf_dir)
+    under = lineage.closure(e, e.filter("child_id = 'n3'").select(F.col("child_id").alias("id"))).select("id")
+    orders = table(spark, sf_dir, "orders").withColumn("id", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))
+    return orders.join(under, "id", "left_semi").select(F.col("o_orderkey").alias("run_id"))
 
 
 @query("f5_detection_only", "SELECT event_id FROM events WHERE CASE event_type WHEN 'click' THEN 'ft' WHEN 'view' THEN 'jq' ELSE 'sd' END IN ('ft', 'rd', 'sd', 'ed')")
@@ -225,7 +278,7 @@ def t6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).groupBy("run_id", "detector").agg(F.count("*").alias("n"), F.count_if("dispatch").alias("dispatched"))
 
 
-@query("x3_series_function")
+@query("x3_series_function", "SELECT '{\"event_type\":\"' || event_type || '\"}' AS fingerprint, arg_max(event_id, struct_pack(v := value, i := event_id)) AS value_id FROM events WHERE value IS NOT NULL GROUP BY 1")
 def x3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A detector of one's own from the registry: the highest value of each series."""
     from .pipeline import SERIES, series_function

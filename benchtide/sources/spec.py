@@ -38,12 +38,13 @@ def export(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def find(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """Nodes by name: `node`, `folder:node` or `parent:node`; a name may have several readings, and all are returned."""
-    first, _, last = name.rpartition(":")
-    own = nodes.filter(F.col("name") == last)
-    if not first:
-        return own
-    by_folder = own.filter(F.col("folder") == first)
-    parents = nodes.filter(F.col("name") == first).select("folder", F.col("node_id").alias("parent_id"))
-    by_parent = own.join(edges.join(parents, ["folder", "parent_id"]).select("folder", F.col("child_id").alias("node_id")), ["folder", "node_id"], "left_semi")
-    return by_folder.unionByName(by_parent).distinct()
+    """Nodes by `17` (the id), `node`, `folder:node` or `parent:node` (all readings are returned), or `folder:original:node`, original being the folder in which the node was made. Other forms find nothing."""
+    parts = name.split(":")
+    own = nodes.filter(F.col("name") == parts[-1])
+    if len(parts) == 1:
+        return nodes.filter(F.col("node_id") == int(name)) if name.isascii() and name.isdigit() else own
+    if len(parts) == 2:
+        parents = nodes.filter(F.col("name") == parts[0]).select(F.col("node_id").alias("parent_id"))
+        children = edges.join(parents, "parent_id", "left_semi").select(F.col("child_id").alias("node_id"))
+        return own.filter(F.col("folder") == parts[0]).unionByName(own.join(children, "node_id", "left_semi")).distinct()
+    return own.filter((F.col("folder") == parts[0]) & (F.col("original") == parts[1])) if len(parts) == 3 else own.limit(0)
