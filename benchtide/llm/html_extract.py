@@ -1,12 +1,17 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser streams tags and text; every block element begins a new line, and each line has the
-number of its characters per tag. The ratios are smoothed with a Gaussian over neighbouring lines, and a threshold
-splits lines of running text from the rest. The innermost article or main that holds all running text, or else the
-smallest element that does, is the article, and so is the last first-level heading before it; what stands there is kept
-whole, short lines too, but for elements that their tag, role, class or id marks as menus, headers, footers, sidebars,
-notices, adverts, forms or reader comments. Where no element smaller than the page's body holds the text, the article
-reaches from the first to the last line of running text.
+number of its characters per tag. The ratios of all lines of the page, menus and footers too, are smoothed with a Gaussian
+over neighbouring lines, and a threshold splits them into clusters of running text and the rest; lines at a cluster's ends
+that only their neighbours lift above the threshold are cut off. The clusters select the
+region: the innermost element that holds all of them, or the innermost article or main around it. What stands there is kept
+whole, short lines too, and so is the last first-level heading before it where the region has none. Where only the page's
+body holds all clusters, the region reaches from the first to the last line of running text.
+
+Roles of elements only take out what is never the article, and clusters there select nothing: nav, aside, footer, form,
+menu, dialog, a header outside an article, what is hidden, ARIA roles of such parts, and containers (not headings,
+paragraphs, list items or cells) one of whose classes or whose id consists of words for such parts and words that say
+nothing, as in `related-posts`, but not `related-work`.
 
 Defined results: a null or empty page, or one without text, gives an empty text of 0 code points. Broken markup is read
 as far as the parser gets through it, which it always does. Repeated rows give repeated rows. Other columns play no part.
@@ -28,24 +33,31 @@ from .common import table
 
 #: Elements of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video textarea select option button datalist".split())
+SILENT = frozenset("script style noscript template head title svg iframe object canvas audio video textarea select option datalist".split())
 OUTSIDE = frozenset("nav aside footer form menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = HEADINGS | frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HOLDERS = frozenset("article main section div td body".split())
-#: Words in a class, id or role that mark what is not the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promo(?:tion)?s?|sidebars?|side-?bar|aside|rail|widgets?|menus?|nav|navbar|navigation|navigationbar|breadcrumbs?|header|masthead|site-?header|topbar|"
-    r"footer|foot|site-?footer|bottombar|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations?)?|comments?|replies|reply|respond|disqus|"
-    r"discussion|pagination|pager|toolbar|search|skip(?:-?link)?|complementary|contentinfo|form)(?:$|[\s_-])"
+#: Elements whose classes and id are looked at.
+CONTAINERS = frozenset("div section ul ol dl table span ins header center".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
+#: Words for parts that are not the article; words for its edges, which count outside articles only; words that say nothing.
+PARTS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion sidebar aside rail widget widgets menu menus nav navbar navigation navigationbar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal modals overlay "
+    "newsletter newsletters subscribe subscription signup login share sharing social related recommend recommended recommendations comment comments reply replies respond disqus discussion pagination pager toolbar search skip form".split()
 )
+EDGES = frozenset("header head banner masthead topbar footer foot bottombar".split())
+PLAIN = frozenset("box boxes wrap wrapper container section area block list item items inner outer top bottom left right primary secondary bar side link links button buttons post posts site page global content module unit slot group row col panel holder region sticky fixed mobile desktop message text body title icons id class the".split())
+ARTICLE = frozenset("post entry article content story".split())
+#: End tags of these don't close an article, main, body or cell around them.
+WEAK = frozenset("p li div b i span a ul".split())
 SIGMA = 1.5
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, holder, shut, title): holder is the index of the innermost element that may hold an article, shut says that the line stands in what is none, title that it stands in an h1."""
+    """Lines of a page: (text, tags, holder, shut, title): holder is the index of the innermost element that may hold an article, shut says that the line stands in what is none, title that it stands in an h1. Each tag takes constant time, however deep it lies."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -53,13 +65,26 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.open: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, shut, holder
+        self.places: dict[str, list[int]] = {}  # of each tag: where it stands in open
         self.holders: list[tuple[int, str]] = [(-1, "")]  # of each holder: the one around it, and its tag
 
+    def push(self, tag: str, shut: bool, holder: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, shut, holder))
+
+    def cut(self, to: int) -> None:
+        while len(self.open) > to:
+            self.places[self.open.pop()[0]].pop()
+
+    def last(self, *tags: str) -> int:
+        """Where the innermost open element of these tags stands; 0 for none."""
+        return max(self.places[t][-1] if self.places.get(t) else 0 for t in tags)
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             _, shut, holder = self.open[-1]
-            self.lines.append((text, self.tags, holder, shut, self.within("h1")))
+            self.lines.append((text, self.tags, holder, shut, self.last("h1") > 0))
             self.tags = 0
         self.parts = []
 
@@ -72,19 +97,20 @@ class Lines(HTMLParser):
         if block:
             self.flush()
             if self.open[-1][0] in ("p", *HEADINGS) or tag == self.open[-1][0] and tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                self.open.pop()
+                self.cut(len(self.open) - 1)
         if tag in VOID:
             return
+        marked = self.marked(tag, attrs)
         if not (block or tag in SILENT):
-            if not self.marked(tag, attrs):
+            if not marked:
                 return
             self.flush()
         _, shut, holder = self.open[-1]
-        shut = shut or tag in SILENT or tag in OUTSIDE or (tag == "header" and not self.within("article")) or self.marked(tag, attrs)
+        shut = shut or tag in SILENT or tag in OUTSIDE or (tag == "header" and not self.last("article")) or marked
         if tag in HOLDERS:
             self.holders.append((holder, tag))
             holder = len(self.holders) - 1
-        self.open.append((tag, shut, holder))
+        self.push(tag, shut, holder)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -93,39 +119,34 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS or tag in SILENT:
             self.flush()
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                if tag not in BLOCKS and tag not in SILENT:
-                    self.flush()
-                del self.open[k:]
-                return
-            if self.open[k][0] in ("article", "main", "body", "td") and tag in ("p", "li", "div", "b", "i", "span", "a", "ul"):
-                return  # a stray end tag doesn't close what stands around it
+        at = self.last(tag)
+        if not at or tag in WEAK and self.last("article", "main", "body", "td") > at:
+            return
+        if tag not in BLOCKS and tag not in SILENT:
+            self.flush()
+        self.cut(at)
 
     def handle_data(self, data: str) -> None:
         if self.open[-1][0] not in SILENT:
             self.parts.append(data)
 
-    def within(self, tag: str) -> bool:
-        return any(t == tag for t, _, _ in self.open)
-
-    def around(self, holder: int) -> Iterator[int]:
-        """The holder and those around it, the innermost first."""
-        while holder >= 0:
-            yield holder
-            holder = self.holders[holder][0]
-
-    @staticmethod
-    def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in ("html", "body", "article", "main") and not any(k == "class" and v and "comment" in v.lower() for k, v in attrs):
-            return False
+    def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in ("html", "body", "article", "main"):
+            return tag == "article" and any(k == "class" and v and "comment" in v.lower() for k, v in attrs)
         for k, v in attrs:
-            if k in ("class", "id", "role") and v and MARKS.search(v.lower()):
+            if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and v and v.lower() in ROLES:
                 return True
-            if k == "hidden" or k == "aria-hidden" and v == "true":
+            if k in ("class", "id") and v and tag in CONTAINERS and any(map(self.part, v.lower().split())):
                 return True
         return False
 
+    def part(self, name: str) -> bool:
+        """Whether a class or id names a part that is not the article: each of its words is one for such parts, or says nothing, and one at least is for such parts."""
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if any(w in PARTS for w in words):
+            return all(w in PARTS or w in EDGES or w in PLAIN for w in words)
+        return any(w in EDGES for w in words) and all(w in EDGES or w in PLAIN for w in words) and not any(w in ARTICLE for w in words) and not self.last("article", "main")
+
 
 def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """x convolved with a Gaussian; the ends count only the lines that there are."""
@@ -134,27 +155,51 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(x, g)[r:-r] / np.convolve(np.ones(len(x)), g)[r:-r]
 
 
+def running(lines: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
+    """Which lines are running text: those in a cluster by the smoothed ratio of characters to tags, but for lines at its ends that only their neighbours lift."""
+    ratio = np.array([len(t) / max(1, n) for t, n, *_ in lines])
+    soft = smoothed(ratio)
+    least = min(float(np.std(soft)), float(np.mean(soft)))  # of equal ratios all are running text
+    on, own = soft >= least, ratio >= least
+    edge = np.concatenate([[0], np.cumsum(on[1:] != on[:-1])])  # of lines: which cluster or gap they belong to
+    place = np.arange(len(on))
+    first, last = np.full(edge[-1] + 1, len(on)), np.full(edge[-1] + 1, -1)
+    np.minimum.at(first, edge[own], place[own])
+    np.maximum.at(last, edge[own], place[own])
+    return on & (place >= first[edge]) & (place <= last[edge])
+
+
 def blocks_of(html: str) -> list[str]:
     """The article's blocks in page order."""
     p = Lines()
     p.feed(html)
     p.close()
     p.flush()
-    lines = [x for x in p.lines if not x[3]]
-    if not lines:
+    lines = p.lines
+    inside = np.array([not x[3] for x in lines], bool)
+    if not inside.any():
         return []
-    ratio = smoothed(np.array([len(t) / max(1, n) for t, n, *_ in lines]))
-    running = ratio >= min(float(np.std(ratio)), float(np.mean(ratio)))  # of equal ratios all are running text
-    around = [[*reversed(list(p.around(h)))] for (_, _, h, *_), on in zip(lines, running, strict=True) if on]  # of each running line: its holders, the outermost first
-    common = [h for h, *others in zip(*around, strict=False) if all(x == h for x in others)]
-    best = next((h for h in reversed(common) if p.holders[h][1] in ("article", "main")), common[-1])
-    on = np.flatnonzero(running)
-    kept = [k for k, (_, _, h, *_) in enumerate(lines) if best in p.around(h)]
+    on = running(lines) & inside
+    on = on if on.any() else inside
+    count = [0] * len(p.holders)  # lines of clusters in each holder; a holder comes after the one around it
+    for k in np.flatnonzero(on):
+        count[lines[k][2]] += 1
+    for h in range(len(count) - 1, 0, -1):
+        count[p.holders[h][0]] += count[h]
+    best = inner = max(h for h, n in enumerate(count) if n == count[0])
+    while best > 0 and p.holders[best][1] not in ("article", "main"):
+        best = p.holders[best][0]
+    best = best if best > 0 else inner
+    under = [h == best for h in range(len(count))]
+    for h in range(best + 1, len(count)):
+        under[h] = under[p.holders[h][0]]
+    kept = [k for k in np.flatnonzero(inside).tolist() if under[lines[k][2]]]
     if p.holders[best][1] in ("", "body"):
-        kept = [k for k in kept if on[0] <= k <= on[-1]]
-    titles = [k for k in range(kept[0]) if lines[k][4]]
+        first, last = np.flatnonzero(on)[[0, -1]]
+        kept = [k for k in kept if first <= k <= last]
+    titles = [k for k in range(kept[0]) if lines[k][4] and inside[k]]
     if titles and not any(lines[k][4] for k in kept):
-        kept = [*range(titles[-1], kept[0]), *kept]
+        kept = [titles[-1], *kept]
     return [lines[k][0] for k in kept]
 
 

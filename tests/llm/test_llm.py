@@ -438,6 +438,52 @@ def test_html_keeps_all_running_text():
     assert html_extract.main_text(f"<body><div><section>{''.join(p) * 4}</section><section>{p[0]}</section></div></body>") == all_of([*long * 4, long[0]])
 
 
+def soup(rng, n):
+    """Pages without roles: menus, teasers and footers in plain elements around an article of paragraphs and short lines. (html, blocks of the article)"""
+    for _ in range(n):
+        blocks = [f"Head {rng.integers(99)}"]
+        for _ in range(int(rng.integers(3, 9))):
+            blocks.append(" ".join(f"word{k}" for k in rng.integers(0, 500, int(rng.integers(25, 90)))))
+            if rng.random() < 0.3:
+                blocks.append("Short line")
+        menu = "".join(f"<div><a href='/{k}'>Go {k}</a></div>" for k in range(int(rng.integers(5, 15))))
+        foot = "".join(f"<li><a href='/{k}'>Foot <b>{k}</b></a></li>" for k in range(int(rng.integers(8, 15))))
+        body = "".join(f"<p>{b}</p>" if k else f"<h1>{b}</h1>" for k, b in enumerate(blocks))
+        yield f"<html><body><div class=x1>{menu}</div><div class=x2>{body}</div><div class=x3><ul>{foot}</ul></div></body></html>", blocks
+
+
+def test_html_regions_come_from_the_ratio(monkeypatch):
+    """On pages without roles the ratio finds every block of the article and nothing else; without it, no page is right."""
+    pages = list(soup(np.random.default_rng(4), 60))
+    assert all(html_extract.blocks_of(h) == b for h, b in pages)
+    monkeypatch.setattr(html_extract, "running", lambda lines: np.ones(len(lines), bool))
+    assert not any(html_extract.blocks_of(h) == b for h, b in pages)
+
+
+def test_html_keeps_what_only_looks_like_a_part():
+    long = "This paragraph runs on with enough words to be the text of an article, and it says one thing more."
+    inner = f"<div class='related-work'><p>{long}</p></div><p class='search'>{long} Search.</p><h2 class='share'>Share of the market</h2><p>{long} <button>Press</button> <math><mi>x</mi></math></p><div class='post-header'><h3>Kept</h3></div>"
+    gone = "<div class='related-posts'><p>Gone, though it is long enough to count as running text in any page.</p></div><div id='comments'><p>Gone as well, a reader's view of what stands above it here.</p></div><p hidden>Gone</p>"
+    want = [long, f"{long} Search.", "Share of the market", f"{long} Press x", "Kept"]
+    assert html_extract.blocks_of(f"<body><article>{inner}{gone}</article><div class='site-header'>Top</div></body>") == want
+
+
+def test_html_odd_pages(spark):
+    """Empty tables, repeated rows, null columns, very long and deeply nested pages in time that grows with their size."""
+    import time
+
+    schema = "page_id long, url string, html string, text string"
+    assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
+    long = "<p>word</p>" * 50_000
+    deep = "<div>" * 20_000 + "deep text" + "</p></b></div>" * 20_000
+    at = time.time()
+    assert html_extract.blocks_of(deep) == ["deep text"] and len(html_extract.blocks_of(long)) == 50_000
+    assert html_extract.blocks_of("<b><p>" + "<article><div>" * 5_000 + "x" + "</b></p>" * 5_000) == ["x"]
+    assert time.time() - at < 20
+    rows = [(1, "u", "<p>a &amp; b</p>", "y"), (1, "u", "<p>a &amp; b</p>", "y"), (None, None, None, None)]
+    assert sorted((str(r.page_id), r.text, r.n_chars) for r in html_extract.extract(spark.createDataFrame(rows, schema)).collect()) == [("1", "a & b", 5), ("1", "a & b", 5), ("None", "", 0)]
+
+
 def test_quality(spark):
     rng = np.random.default_rng(9)
     texts, labels = [], []
