@@ -41,6 +41,7 @@ from . import common as C
 
 WORDS, PERCENT, GROWTH, SLACK = 4, 85, 1.5, 0.4
 TILE_BLOCK = 1024  # members of a tile that are compared with others at once
+FEW = 250_000  # pairs whose nodes (two numbers a pair) may be broadcast; more are joined by a shuffle
 PIECE = 16  # of a tile with more nodes in one batch, that batch's nodes are a piece of their own
 
 _K = np.uint64(0xD6E8FEB86659FD93)
@@ -125,7 +126,7 @@ def tiles(g: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.
 
 def bits_of(n: int) -> int:
     """Width of the bitmap of a set of n shingles: a power of two, so that at most a quarter of the bits are set whatever the size."""
-    return max(256, 1 << (4 * n - 1).bit_length() if n else 0)
+    return max(1024, 1 << (4 * n - 1).bit_length() if n else 0)
 
 
 def bitmaps(g: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -272,15 +273,17 @@ def _exact(percent: int):
 
 
 def _links(pairs: DataFrame, info: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
-    """The linked ones of pairs(a, b): first by the bounds, unless that is done, then exactly."""
+    """The linked ones of pairs(a, b): first by the bounds, unless that is done, then exactly. Sets are fetched for nodes of pairs that pass the bounds only."""
 
-    def joined(pairs: DataFrame, *columns: str) -> DataFrame:
+    def joined(pairs: DataFrame, info: DataFrame) -> DataFrame:
         for x in ("b", "a"):
-            pairs = pairs.join(info.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), x)
+            pairs = pairs.join(info.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in info.columns if c != "node")), x)
         return pairs
 
-    near = pairs if bounded else joined(pairs, "n", "bits").mapInArrow(_bounded(percent), "a long, b long")
-    return joined(near, "shingles").mapInArrow(_exact(percent), "a long, b long")
+    near = C.cut(pairs if bounded else joined(pairs, info.select("node", "n", "bits")).mapInArrow(_bounded(percent), "a long, b long"))
+    asked = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
+    asked = F.broadcast(asked) if near.count() <= FEW else asked
+    return joined(near, info.select("node", "shingles").join(asked, "node", "left_semi")).mapInArrow(_exact(percent), "a long, b long")
 
 
 def _cells(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -333,19 +336,22 @@ def _compare(percent: int, spanning: bool):
                 out.append(np.stack([np.minimum(node[i], node[y]), np.maximum(node[i], node[y])]))
             if out:
                 a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t["tile"][0].as_py())), pa.array(a), pa.array(b)], ["tile", "a", "b"])
 
     return compare
 
 
 def _unconnected(members: DataFrame, roots: DataFrame, info: DataFrame, percent: int, tile_block: int, spanning: bool) -> DataFrame:
-    """Pairs (a, b) of members of one tile but of several components that may link.
+    """(tile, a, b): pairs of members of a tile but of several components that may link. Of tiles with the same members one stands for all.
 
     A tile's members are dealt into blocks, and so are those outside its largest component; each pair of blocks is a cell, so a cell is small whatever the tile's size.
     """
     rooted = members.join(roots, "node", "left").select("tile", "first", "node", F.coalesce("root", "node").alias("root"))
-    sizes = rooted.groupBy("tile", "root").agg(F.count("*").alias("k"))
-    split = sizes.groupBy("tile").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("size"), F.count("*").alias("roots")).filter("roots > 1 AND size > 2")
+    mark = F.xxhash64("node", "first")
+    low, high = (F.pmod(x, F.lit(1 << 40)) for x in (mark, F.shiftright(mark, 24)))
+    sizes = rooted.groupBy("tile", "root").agg(F.count("*").alias("k"), F.try_sum(low).alias("low"), F.try_sum(high).alias("high"))
+    split = sizes.groupBy("tile").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("size"), F.count("*").alias("roots"), *(F.coalesce(F.try_sum(c), "tile").alias(c) for c in ("low", "high"))).filter("roots > 1 AND size > 2")
+    split = split.groupBy("size", "low", "high").agg(F.min(F.struct("tile", "main", "most")).alias("one")).select("one.*", "size")
     blocks, outers = F.ceil(F.col("size") / tile_block).alias("blocks"), F.ceil((F.col("size") - F.col("most")) / tile_block).alias("outers")
     found = rooted.select("*", C.apart("tile")).join(split.select(C.apart("tile"), "main", blocks, outers), "apart").select("tile", "first", "node", "root", (F.col("root") != F.col("main")).alias("outer"), "blocks", "outers")
     found = found.join(info.select("node", "n", "bits"), "node")
@@ -353,7 +359,7 @@ def _unconnected(members: DataFrame, roots: DataFrame, info: DataFrame, percent:
     home = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outers") - 1), lambda x: F.struct(i.alias("i"), x.alias("o"), F.lit(False).alias("guest")))
     away = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(x.alias("i"), o.alias("o"), F.lit(True).alias("guest")))
     cells = found.withColumn("cell", F.explode(F.when(F.col("outer"), F.concat(home, away)).otherwise(home))).select("tile", "cell.*", "first", "node", "root", "outer", "n", "bits")
-    return cells.repartition("tile", "i", "o").sortWithinPartitions("tile", "i", "o").mapInArrow(_compare(percent, spanning), "a long, b long").distinct()
+    return cells.repartition("tile", "i", "o").sortWithinPartitions("tile", "i", "o").mapInArrow(_compare(percent, spanning), "tile long, a long, b long")
 
 
 def _row(doc_id: str, text: str):
@@ -375,21 +381,20 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     chosen = marks.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
     packed = rows.select("row", "text").mapInArrow(_shrink, "row long, z binary")
     text_rows = packed.join(chosen.hint("shuffle_hash"), "row", "left_semi").groupBy("row").agg(F.first("z").alias("z"))
-    info = text_rows.select("z").mapInArrow(_info(words), "node long, n long, bits binary, shingles binary")
-    info = C.cut(info.repartition(parts, "node"))  # all joins with it find it dealt
+    info = C.cut(text_rows.select("z").mapInArrow(_info(words), "node long, n long, bits binary, shingles binary"))
     stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     roots = C.cut(components(C.cut(_links(stars, info, percent))))
+    within = members
     for spanning in (True, False):  # few pairs first, which connect most of what links; then every pair that is left
-        pairs = C.cut(_unconnected(members, roots, info, percent, tile_block, spanning))
-        asked = pairs.count()
-        if not asked:
-            break
-        links = C.cut(_links(pairs, info, percent, True))
-        found = links.count()
-        if found:
+        pairs = C.cut(_unconnected(within, roots, info, percent, tile_block, spanning))
+        links = C.cut(_links(pairs.select("a", "b").distinct(), info, percent, True))
+        if not links.isEmpty():
             roots = C.cut(components(links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
-        if found == asked:
-            break  # all pairs that were left out for being connected by these are connected
+        # where each pair that was looked at links, those that were left out for it are connected
+        unsure = pairs.join(links, ["a", "b"], "left_anti").select("tile").distinct()
+        if not spanning or unsure.isEmpty():
+            break
+        within = members.withColumn("apart", C.apart("tile")).join(unsure.select(C.apart("tile")), "apart", "left_semi").drop("apart")
     return marks.join(roots, "node", "left").select("doc_id", "row", "n", "node", F.coalesce("root", "node").alias("root"))
 
 
