@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df as files in the checkpoint folder that the session names; an own one only where it names none and all runs on this machine, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; an own one only where it names none and all runs on this machine, as in tests."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir", "")
-        if not folder and not sc.master.startswith("local["):
+        if not folder and sc.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="benchtide-"))
+    return sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

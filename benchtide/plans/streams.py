@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from benchtide.functions import jsonish as J
 from benchtide.operators import detect
+from benchtide.operators.lineage import shared_folder
 from benchtide.streaming import ingest, online
 
 from .catalog import query
@@ -16,13 +17,8 @@ from .fixtures import table
 
 
 def _folder(spark: SparkSession, what: str) -> str:
-    """A new folder in the shared checkpoint folder that the session names; an own one only where it names none, as in tests."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="benchtide-"))
-    return f"{sc.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
