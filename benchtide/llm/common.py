@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from benchtide.operators.lineage import saved
+
 #: Texts are worked on in blocks of about so many bytes; one longer text makes a block of its own.
 BLOCK_BYTES = 2 << 20
 
@@ -20,11 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as files in the shared checkpoint folder. An own folder is made only where the session names none, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="benchtide-"))
-    return df.checkpoint()
+    """df as files in the shared checkpoint folder."""
+    return saved(df)
 
 
 def fresh(df: DataFrame, name: str) -> str:

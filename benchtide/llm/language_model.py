@@ -14,8 +14,8 @@ expectation-maximisation, whose steps exchange a few sums per bucket.
 Tokens: words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case, then one end. n-grams are told apart by 63-bit hashes.
 
 Defined results: a null text counts as empty and has the end as its only token. A null doc_id is dealt like the text
-"". Repeated rows count and are scored each on its own. An empty table gives an empty result; without training texts the
-scores are those of a uniform model over one unknown word. Other columns play no part.
+"". Repeated rows count and are scored each on its own. An empty table gives an empty result; without training texts
+each token has the probability 1/3, the share of the uniform part. Other columns play no part.
 """
 
 from __future__ import annotations
