@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .series import newest, order
+from .series import BLOCK, in_blocks, newest
 
 
 def fingerprint_filter(df: DataFrame, predicate: Column | str | None) -> DataFrame:
@@ -32,7 +32,7 @@ def fixed_threshold(df: DataFrame, least: float | None = None, most: float | Non
     return df.withColumns({"bound": bound, "direction": direction}).filter(F.col("direction").isNotNull())
 
 
-def relative_difference(df: DataFrame, filter: str = "mean", threshold: float = 0.2, window: int = 1, min_previous: int = 5, by: Sequence[str] = ("fingerprint",), domain: str | None = "domain", value: str = "range", ident: str = "value_id") -> DataFrame:
+def relative_difference(df: DataFrame, filter: str = "mean", threshold: float = 0.2, window: int = 1, min_previous: int = 5, by: Sequence[str] = ("fingerprint",), domain: str | None = "domain", value: str = "range", ident: str = "value_id", block: int = BLOCK) -> DataFrame:
     """Every point whose window differs from the baseline before it by more than the threshold.
 
     The frame is the last window + P values up to the point, P = max(window, min_previous); the baseline is the mean of
@@ -42,21 +42,21 @@ def relative_difference(df: DataFrame, filter: str = "mean", threshold: float =
     if domain is None:
         return df.limit(0).select("*", *[F.lit(None).cast("double").alias(c) for c in ("previous", "last", "value", "ratio")])
     previous = max(window, min_previous)
-    w = Window.partitionBy(*by).orderBy(*order(domain, ident))
+    w = Window.partitionBy(*by, "_block").orderBy("_place")
     base, test = w.rowsBetween(-(previous + window - 1), -window), w.rowsBetween(-(window - 1), 0)
     one = {"min": F.min, "max": F.max, "mean": F.avg}.get(filter, F.sum)
-    out = df.withColumns(
+    out = in_blocks(df, previous + window - 1, by, domain, ident, block).withColumns(
         {
             "_n": F.count(value).over(w.rowsBetween(-(previous + window - 1), 0)),
             "_mean": F.avg(value).over(base),
             "value": one(value).over(test),
             "_old": F.collect_list(value).over(w.rowsBetween(-(previous + window - 1), -previous)),
         }
-    ).filter(F.col("_n") == previous + window)
+    ).filter(F.col("_own") & (F.col("_n") == previous + window))
     out = out.withColumn("_ratio", F.col("value") / F.col("_mean")).filter((F.col("_ratio") < 1 - threshold) | (F.col("_ratio") > 1 + threshold))
     changed = F.filter(F.reverse("_old"), lambda x: F.when(F.col("_ratio") < 1, x < F.col("_mean")).otherwise(x > F.col("_mean")))
     out = out.withColumns({"previous": F.element_at("_old", window), "last": F.coalesce(F.try_element_at(changed, F.lit(1)), F.element_at("_old", 1)), "ratio": 100 * (F.col("_ratio") - 1)})
-    return out.drop("_n", "_mean", "_old", "_ratio")
+    return out.drop("_n", "_mean", "_old", "_ratio", "_place", "_block", "_own")
 
 
 def cool_down(changes: DataFrame, points: int, by: Sequence[str] = ("fingerprint",), place: str = "place") -> DataFrame:
@@ -77,17 +77,16 @@ def cool_down(changes: DataFrame, points: int, by: Sequence[str] = ("fingerprint
     return changes.repartition(*by).sortWithinPartitions(*by, place).mapInArrow(keep, changes.schema)
 
 
-def deviation(df: DataFrame, window: int = 40, deviations: float = 4.0, direction: str = "BOTH", min_points: int = 10, by: Sequence[str] = ("fingerprint",), domain: str | None = "domain", value: str = "range", ident: str = "value_id") -> DataFrame:
+def deviation(df: DataFrame, window: int = 40, deviations: float = 4.0, direction: str = "BOTH", min_points: int = 10, by: Sequence[str] = ("fingerprint",), domain: str | None = "domain", value: str = "range", ident: str = "value_id", block: int = BLOCK) -> DataFrame:
     """Values further than `deviations` sample standard deviations from the mean of the `window` values before them. Rows without a number don't count."""
-    w = Window.partitionBy(*by).orderBy(*order(domain, ident))
-    before = w.rowsBetween(-window, -1)
-    out = df.filter(F.col(value).isNotNull()).withColumns({"mean": F.avg(value).over(before), "stddev": F.stddev_samp(value).over(before), "_n": F.count(value).over(before)})
-    out = out.filter((F.col("_n") + 1 >= min_points) & (F.col("_n") >= 2))
+    before = Window.partitionBy(*by, "_block").orderBy("_place").rowsBetween(-window, -1)
+    out = in_blocks(df.filter(F.col(value).isNotNull()), window, by, domain, ident, block).withColumns({"mean": F.avg(value).over(before), "stddev": F.stddev_samp(value).over(before), "_n": F.count(value).over(before)})
+    out = out.filter(F.col("_own") & (F.col("_n") + 1 >= min_points) & (F.col("_n") >= 2))
     out = out.withColumn("stddev", F.when(F.col("stddev") == 0, F.greatest(F.abs("mean") * 0.001, F.lit(1e-10))).otherwise(F.col("stddev")))
     high, low = F.col("mean") + deviations * F.col("stddev"), F.col("mean") - deviations * F.col("stddev")
     side = F.when((F.col(value) > high) & F.lit(direction in ("UPPER", "BOTH")), "above").when((F.col(value) < low) & F.lit(direction in ("LOWER", "BOTH")), "below")
     out = out.withColumns({"direction": side, "threshold": F.when(side == "above", high).otherwise(low), "deviations": F.abs(F.col(value) - F.col("mean")) / F.col("stddev")})
-    return out.filter(F.col("direction").isNotNull()).drop("_n")
+    return out.filter(F.col("direction").isNotNull()).drop("_n", "_place", "_block", "_own")
 
 
 def hazard(before: Column, after: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from benchtide.operators.lineage import closure, saved
+from benchtide.operators.lineage import closure
+from benchtide.operators.series import ranked
 
 
 def quoted(text: Column) -> Column:
@@ -52,15 +52,6 @@ def sort_order() -> list[Column]:
     return [F.col("sort_number").asc_nulls_last(), F.col("sort_text").asc_nulls_last()]
 
 
-def ranked(df: DataFrame, *order: Column | str, rank: str = "rank") -> DataFrame:
-    """df with each row's place in an order, from 1. Ranges are sorted side by side; what leaves the executors is one count for each range."""
-    placed = saved(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
-    part = F.shiftright("_m", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(rank, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_part", "_before")
-
-
 def grouped_under(values: DataFrame, edges: DataFrame, ancestor: str, nodes: Sequence[str], match: Mapping[str, str] | None = None, sort_node: str | None = None, group: str = "run_id", node: str = "node", data: str = "data") -> DataFrame:
     """Grouped values as a user asks for them: those of some nodes, in the groups that are an ancestor's descendants and hold the given JSON text at each node of match, ranked by a node. values has run_id, node, idx, data; group ids are ids of the edges."""
     under = closure(edges, edges.filter(F.col("parent_id") == ancestor).select(F.col("parent_id").alias("id"))).select(F.col("id").alias(group))

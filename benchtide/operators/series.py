@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from benchtide.operators.lineage import saved
+
+#: Rows in a block of a series, see in_blocks.
+BLOCK = 10_000
+
 
 def order(domain: str | None = "domain", ident: str = "value_id", created: str = "created_at", descending: bool = False) -> list[Column]:
     """Sort columns: the domain's number (nulls last), its text, then the id; without a domain the time of creation."""
@@ -25,6 +30,37 @@ def matched(fingerprints: DataFrame, ranges: DataFrame, domains: DataFrame | Non
     return out if domains is None else out.join(domains, list(group), "left")
 
 
+def ranked(df: DataFrame, *order: Column | str, rank: str = "rank") -> DataFrame:
+    """df with each row's place in an order, from 1. Ranges are sorted side by side; what leaves the executors is one count for each range."""
+    placed = saved(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(rank, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_part", "_before")
+
+
+def placed(df: DataFrame, by: Sequence[str] = ("fingerprint",), domain: str | None = "domain", ident: str = "value_id") -> DataFrame:
+    """place: each row's place in its series, from 1. However long, no series is sorted in one task."""
+    rows = ranked(df, *by, *order(domain, ident), rank="_rank")
+    ahead = rows.groupBy(*by).agg((F.min("_rank") - 1).alias("_ahead"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    joined = rows.alias("a").join(ahead.alias("b"), same)
+    return joined.select("a.*", (F.col("_rank") - F.col("_ahead")).alias("place")).drop("_rank")
+
+
+def in_blocks(df: DataFrame, before: int, by: Sequence[str] = ("fingerprint",), domain: str | None = "domain", ident: str = "value_id", block: int = BLOCK) -> DataFrame:
+    """df for windows that look back `before` rows at most, in blocks of the common order of all series, so that a long series is many groups and a group has a bounded size.
+
+    Windows go by (by..., _block) in the order of _place. The last `before` rows of a block stand at the head of the next
+    one too, where _own is false; they are there to be looked at only.
+    """
+    size = max(block, before, 1)
+    rows = ranked(df, *by, *order(domain, ident), rank="_place")
+    home, late = F.expr(f"(_place - 1) div {size}"), F.expr(f"(_place - 1) % {size}") >= size - before
+    both = rows.withColumn("_block", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home))))
+    return both.withColumn("_own", F.col("_block") == home)
+
+
 def around(df: DataFrame, pivots: DataFrame, n: int, preceding: bool = True, by: Sequence[str] = ("fingerprint",), domain: str = "domain", ident: str = "value_id") -> DataFrame:
     """For each pivot (by..., pivot) the n nearest rows with a domain up to it, or from it on; ties with it belong to them. rank counts from the pivot."""
     side = F.col(domain) <= F.col("pivot") if preceding else F.col(domain) >= F.col("pivot")

@@ -78,9 +78,7 @@ r AS (SELECT t, value_id, domain, place, ratio FROM p JOIN ({_RD.format(one="avg
 k AS (SELECT t, min(place) AS place FROM r GROUP BY 1 UNION ALL SELECT k.t, min(r.place) FROM k JOIN r ON r.t = k.t AND r.place >= k.place + 6 GROUP BY 1)
 SELECT '{{"event_type":"' || t || '"}}' AS fingerprint, value_id, domain, place, ratio FROM r JOIN k USING (t, place)""")
 def w4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    s = event_series(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("fingerprint").orderBy("domain", "value_id")))
+    s = series.placed(event_series(spark, sf_dir))
     d = detect.relative_difference(s, threshold=0.5).select("fingerprint", "value_id", "domain", F.col("place").cast("long").alias("place"), F.round("ratio", 6).alias("ratio"))
     return detect.cool_down(d, 5)
 

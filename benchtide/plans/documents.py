@@ -127,10 +127,15 @@ def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_documents(spark, sf_dir).select("run_id", F.array_join(parts, ",").alias("parts"), F.size(none).alias("missing"))
 
 
-@query("p4_entries", "SELECT o_orderstatus AS value, 'status' AS key, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1")
+@query("p4_entries", """WITH o AS (SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
+SELECT 'status' AS key, o_orderstatus AS text, NULL::DOUBLE AS number, count(*) AS n FROM o GROUP BY 2
+UNION ALL SELECT 'total-price', NULL, o_totalprice::DOUBLE, count(*) FROM o GROUP BY 3 UNION ALL SELECT 'cust', NULL, o_custkey::DOUBLE, count(*) FROM o GROUP BY 3""")
 def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys, and how often each has each value."""
     e = extract.entries(order_documents(spark, sf_dir), J.at(J.parsed(F.col("data")), "$.order", "variant"))
-    return e.filter("key = 'status'").groupBy("key", F.try_variant_get("value", "$", "string").alias("value")).agg(F.count("*").alias("n"))
+    number = F.try_variant_get("value", "$", "double")
+    text = F.when(number.isNull(), F.try_variant_get("value", "$", "string"))
+    return e.groupBy("key", text.alias("text"), number.alias("number")).agg(F.count("*").alias("n"))
 
 
 @query("p5_element_filter", f"WITH {ITEMS_SQL} SELECT l_orderkey AS run_id, count(*) FILTER (l_quantity > 25 AND l_returnflag <> 'N') AS n, count(*) FILTER (regexp_matches(l_returnflag, '^[ar]', 'i')) AS m FROM items GROUP BY 1")
@@ -219,10 +224,15 @@ def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_documents(spark, sf_dir).select("run_id", F.when(F.size(every) > 0, F.array_join(every, ",")).alias("every"), F.size(v).cast("long").alias("n"))
 
 
-@query("p19_path_enumeration", """SELECT event_id AS run_id, '$.value' AS path, CASE WHEN value = floor(value) AND FALSE THEN '' ELSE '' END AS empty FROM events
-UNION ALL SELECT event_id, '$.meta', '' FROM events UNION ALL SELECT event_id, '$.props', '' FROM events""")
+@query("p19_path_enumeration", """SELECT event_id AS run_id, '$.value' AS path, NULL AS text, value::DOUBLE AS number FROM events
+UNION ALL SELECT event_id, '$.meta.type', event_type, NULL FROM events UNION ALL SELECT event_id, '$.meta."user-id"', NULL, user_id::DOUBLE FROM events
+UNION ALL SELECT event_id, '$.props.k', NULL, json_extract_string(props, '$.k')::DOUBLE FROM events""")
 def p19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.paths(event_documents(spark, sf_dir), depth=1).select("run_id", "path", F.lit("").alias("empty"))
+    """All paths to depth 3 with what is there: a number, or a text without its quotes."""
+    p = extract.paths(event_documents(spark, sf_dir))
+    number = F.col("value").try_cast("double")
+    text = F.when(number.isNull(), F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"])
+    return p.select("run_id", "path", text.alias("text"), number.alias("number"))
 
 
 @query("p20_first_valid", "SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, CASE WHEN l_linenumber % 3 <> 0 AND l_linenumber % 2 <> 0 THEN l_quantity::VARCHAR ELSE l_returnflag END AS value FROM lineitem")

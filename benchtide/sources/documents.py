@@ -26,10 +26,10 @@ def validated(df: DataFrame, data: str = "data") -> tuple[DataFrame, DataFrame]:
 
 
 def jdbc_runs(spark: SparkSession, url: str, table: str, test_id: int, parts: int = 16, fetch: int = 5, **options: str) -> DataFrame:
-    """Runs of one test that aren't trashed, read in parallel by ranges of id; filters reach the database."""
-    least, most = spark.read.jdbc(url, f"(SELECT min(id) AS a, max(id) AS b FROM {table} WHERE testid = {int(test_id)}) q", properties=options).first()
-    df = spark.read.jdbc(url, table, column="id", lowerBound=least or 0, upperBound=(most or 0) + 1, numPartitions=parts, properties={"fetchsize": str(fetch), **options})
-    return runs_of(df, test_id)
+    """Runs of one test that aren't trashed, read in parallel by ranges of id. The database filters them. No such run: no rows."""
+    kept = f"SELECT * FROM {table} WHERE testid = {int(test_id)} AND (trashed IS NULL OR NOT trashed)"
+    least, most = spark.read.jdbc(url, f"(SELECT min(id) AS a, max(id) AS b FROM ({kept}) r) q", properties=options).first()
+    return spark.read.jdbc(url, f"({kept}) q", column="id", lowerBound=least or 0, upperBound=(most or 0) + 1, numPartitions=parts, properties={"fetchsize": str(fetch), **options})
 
 
 def runs_of(df: DataFrame, test_id: int, test: str = "testid", trashed: str = "trashed") -> DataFrame:

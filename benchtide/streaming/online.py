@@ -6,30 +6,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Values whose windows are laid out at once.
+STEP = 10_000
 OUT = "fingerprint string, value_id long, range double, mean double, stddev double, direction string"
 
 
 def online_deviation(values: DataFrame, window: int = 40, deviations: float = 4.0, direction: str = "BOTH", min_points: int = 10) -> DataFrame:
     """values: fingerprint, value_id, range, domain. Equals the batch detector where each batch continues the last one's order."""
 
+    def judged(past: np.ndarray, ids: np.ndarray, xs: np.ndarray) -> Iterator[tuple[int, float, float, float, str]]:
+        line = np.concatenate([np.full(window, np.nan), past, xs])
+        before = sliding_window_view(line, window)[len(past) : -1]  # of each new value, NaN where there was none
+        known = ~np.isnan(before)
+        n = known.sum(axis=1)
+        enough = (n >= 2) & (n + 1 >= min_points)
+        before, known, n, ids, xs = before[enough], known[enough], n[enough], ids[enough], xs[enough]
+        mean = np.where(known, before, 0).sum(axis=1) / n
+        sd = np.sqrt((np.where(known, before - mean[:, None], 0) ** 2).sum(axis=1) / (n - 1))
+        sd = np.where(sd > 0, sd, np.maximum(np.abs(mean) * 0.001, 1e-10))
+        high = (xs > mean + deviations * sd) & (direction in ("UPPER", "BOTH"))
+        low = (xs < mean - deviations * sd) & (direction in ("LOWER", "BOTH"))
+        for k in np.flatnonzero(high | low):
+            yield int(ids[k]), float(xs[k]), float(mean[k]), float(sd[k]), "above" if high[k] else "below"
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
-        rows = []
+        past = np.array(state.get[0] if state.exists else [], float)
+        rows: list[tuple] = []
         new = pd.concat(list(batches)).sort_values(["domain", "value_id"])
-        for value_id, x in zip(new["value_id"], new["range"], strict=True):
-            if pd.isna(x):
-                continue
-            if len(past) >= 2 and len(past) + 1 >= min_points:
-                mean, sd = float(np.mean(past)), float(np.std(past, ddof=1))
-                sd = sd if sd > 0 else max(abs(mean) * 0.001, 1e-10)
-                side = "above" if x > mean + deviations * sd and direction in ("UPPER", "BOTH") else "below" if x < mean - deviations * sd and direction in ("LOWER", "BOTH") else None
-                if side:
-                    rows.append((key[0], value_id, x, mean, sd, side))
-            past = [*past, float(x)][-window:]
-        state.update((past,))
+        new = new[new["range"].notna()]
+        ids, xs = new["value_id"].to_numpy(), new["range"].to_numpy(float)
+        for a in range(0, len(xs), STEP):
+            rows += [(key[0], *r) for r in judged(past, ids[a : a + STEP], xs[a : a + STEP])]
+            past = np.concatenate([past, xs[a : a + STEP]])[-window:]
+        state.update((past.tolist(),))
         yield pd.DataFrame(rows, columns=["fingerprint", "value_id", "range", "mean", "stddev", "direction"])
 
     return values.groupBy("fingerprint").applyInPandasWithState(step, OUT, "past array<double>", "append", GroupStateTimeout.NoTimeout)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from benchtide.operators import detect, lineage, reconcile
+from benchtide.operators.series import in_blocks, placed
 
 
 def series(spark, xs, fp="{}"):
@@ -36,6 +37,43 @@ def test_deviation(spark):
     assert detect.deviation(series(spark, [100] * 12 + [101]), direction="LOWER").count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_blocks_give_the_same_as_whole_series(spark, block):
+    """Against loops over whole series: three short ones, one of a single value, and one that holds most rows."""
+    rng = np.random.default_rng(3)
+    all_xs = {fp: rng.lognormal(3, 0.4, n).tolist() for fp, n in (("a", 120), ("b", 9), ("c", 8), ("d", 1), ("e", 6))}
+    all_xs["b"][4] = all_xs["a"][50] = None
+    d = None
+    for fp, xs in all_xs.items():
+        s = series(spark, xs, fp)
+        d = s if d is None else d.unionAll(s)
+    want = set()
+    for fp, xs in all_xs.items():
+        for k in range(7, len(xs)):
+            old, new = xs[k - 7 : k - 2], xs[k - 2 : k + 1]
+            if None not in old + new and abs(np.mean(new) / np.mean(old) - 1) > 0.2:
+                want.add((fp, k))
+    got = detect.relative_difference(d, window=3, min_previous=5, block=block)
+    assert {(r.fingerprint, r.value_id) for r in got.collect()} == want and got.count() == len(want) > 10
+    assert not [c for c in got.columns if c.startswith("_")]
+    want = set()
+    for fp, xs in all_xs.items():
+        ys = [(k, x) for k, x in enumerate(xs) if x is not None]
+        for i in range(4, len(ys)):
+            past = [x for _, x in ys[max(0, i - 10) : i]]
+            if abs(ys[i][1] - np.mean(past)) > 1.5 * np.std(past, ddof=1):
+                want.add((fp, ys[i][0]))
+    got = detect.deviation(d, window=10, deviations=1.5, min_points=5, block=block)
+    assert {(r.fingerprint, r.value_id) for r in got.collect()} == want and got.count() == len(want) > 5
+    assert {(r.fingerprint, r.value_id): r.place for r in placed(d).collect()} == {(fp, k): k + 1 for fp, xs in all_xs.items() for k in range(len(xs))}
+
+
+def test_a_long_series_is_many_groups(spark):
+    d = in_blocks(series(spark, range(1000)), 9, block=100)
+    assert d.filter("_own").count() == 1000
+    assert {r["count"] for r in d.groupBy("_block").count().collect()} == {100, 109, 9}
+
+
 @pytest.mark.parametrize(("xs", "points"), [([100 + i % 3 for i in range(10)] + [200 + i % 3 for i in range(10)], [10]), ([100 + i % 3 for i in range(20)], []), ([100 + i % 3 for i in range(10)] + [200 + i % 3 for i in range(10)] + [50 + i % 3 for i in range(10)], [10, 20])])
 def test_change_points(spark, xs, points):
     d = detect.e_divisive(series(spark, xs).withColumn("domain", F.col("domain").cast("string")), window=5, most_p=0.05).orderBy("index").collect()

@@ -81,3 +81,14 @@ def test_spec_round_trip(spark):
     assert [(r.node_id, r.type) for r in spec.nodes(back).collect()] == [(1, "root"), (2, "jq"), (3, "jq")]
     known, unknown = spec.edges(back)
     assert known.count() == 2 and [r.parent_id for r in unknown.collect()] == [9]
+
+
+def test_jdbc_runs(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/runs;create=true"
+    rows = [(k, 7 if k % 3 else 8, None if k % 5 == 0 else k % 5 == 1, f'{{"k":{k}}}') for k in range(40)]
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.createDataFrame(rows, "ID long, TESTID int, TRASHED boolean, DATA string").write.jdbc(url, "run", properties=options)
+    found = documents.jdbc_runs(spark, url, "run", 7, parts=4, **options)
+    assert found.rdd.getNumPartitions() == 4
+    assert sorted(r.id for r in found.select(F.col("id").alias("id")).collect()) == [k for k, test, trashed, _ in rows if test == 7 and not trashed]
+    assert documents.jdbc_runs(spark, url, "run", 9, **options).count() == 0

@@ -15,7 +15,7 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.skipif(not os.path.isdir(TESTDATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["w1_fixed_threshold", "p22_zip_records", "j2_cross_combination", "g1_grouped_values", "w2_relative_difference", "w5_deviation", "j6_descendants", "m4_ephemeral", "j11_reconcile", "t1_continuous_ingest", "t10_online_deviation"])
+@pytest.mark.parametrize("name", ["w1_fixed_threshold", "p22_zip_records", "j2_cross_combination", "g1_grouped_values", "p4_entries", "p19_path_enumeration", "w2_relative_difference", "w3_change_localisation", "w4_cool_down", "w5_deviation", "j6_descendants", "m4_ephemeral", "j11_reconcile", "t1_continuous_ingest", "t10_online_deviation"])
 def test_against_duckdb(spark, name):
     import duckdb
 
