@@ -1,6 +1,7 @@
 """Scores, the pipeline and scans against brute force on odd tables."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -148,3 +149,36 @@ def test_license_scan_of_odd_tables(spark):
     assert Counter(i for i, *_ in got) == {0: 1, 1: 2, 3: 1} and all(c == 1.0 for *_, c in got)
     where = {i: w for i, w, _ in got}
     assert where[1] == where[3] == 0 and 29_000 < where[0] <= 30_000
+
+
+def _windows(words, s):
+    """The windows of 2 * s shingles that begin every s shingles, as sets."""
+    g = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+    return [(a, set(g[a : a + 2 * s])) for a in range(0, max(len(g), 1), s)]
+
+
+def test_full_licenses_equal_brute_force(spark):
+    """Every template against every window of every text: whole, reflowed, with a word changed here and there, cut short, and two in a row."""
+    rng = np.random.default_rng(43)
+    full = {k: v for k, v in license_scan.TEMPLATES.items() if k.endswith("-full")}
+    texts = []
+    for own in full.values():
+        words = own.split()
+        texts += [f"{prose(rng, 90)} {own} {prose(rng, 60)}", own.upper().replace(" ", "\n * ", 40), " ".join(words[: len(words) * 17 // 20]), " ".join(words[: len(words) // 2])]
+        for every in (60, 33, 12):
+            texts.append(" ".join("changed" if k % every == every - 1 else w for k, w in enumerate(words)))
+    texts += [" ".join(full.values()), prose(rng, 2000)]
+    want = {}
+    split = re.compile(r"[0-9A-Za-z_\u0080-\U0010ffff]+").findall
+    for name, template in license_scan.TEMPLATES.items():
+        t = split(template.lower())
+        t = {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+        s = 1 << (len(t) - 1).bit_length()
+        for i, text in enumerate(texts):
+            share, at = max((len(t & w) / len(t), -a) for a, w in _windows(split(text.lower()), s))
+            if share >= 0.8:
+                want[i, name] = (share, -at)
+    got = {(r.doc_id, r.license): (r.containment, r.first_word) for r in license_scan.scan(table(spark, texts)).collect()}
+    assert got.keys() == want.keys() and {n for _, n in got} >= set(full)
+    assert all(got[k] == (pytest.approx(want[k][0]), want[k][1]) for k in want)
+    assert len(want) > 3 * len(full) and not [i for i, _ in want if i == len(texts) - 1]
