@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, jaccard, language_model, license_scan, packing, quality, repeats, secret_scan
+from . import byte_bpe, decontaminate, exact_dedup, fill_in_middle, html_extract, jaccard, language_model, license_scan, packing, quality, repeats, secret_scan, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": language_model.op1_lm_scoring,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_html_extraction": html_extract.op9_html_extraction,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.OP7_SQL}
+ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.OP7_SQL, "op12_fill_in_middle": fill_in_middle.OP12_SQL}
