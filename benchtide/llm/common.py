@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchtide.operators.lineage import saved
+from benchtide.operators.lineage import saved, shared_folder
 
 #: Texts are worked on in blocks of about so many bytes; one longer text makes a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -25,6 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     return saved(df)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in a new folder of the shared one, so that later reads take only the columns they need."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever its letters' case."""
     taken = {c.lower() for c in df.columns}

@@ -7,25 +7,30 @@ added to the log weights divided by the temperature and the k largest sums win (
 of 1 texts are drawn by their weights.
 
 Tokens are words, in lower case, and runs of other characters; n-grams are tokens and pairs of token shapes (case,
-digits, the marks themselves, and how many times in a row a word stands there). Each counts once for a text and in two
-buckets. Both models back off: where a bucket's counts in target and raw texts differ by less than STANDARD standard
-errors, the target model takes the raw model's estimate and the ratio is 1. So neither the chance frequencies of rare
-words nor the length of a text add up.
+digits, the marks themselves, and how many times in a row a word stands there). Each counts once for a text.
 
-By default k is the number of texts above the weight that best parts good and other labelled texts, held out from the
-target model.
+The target model shrinks to the raw one by what its counts can tell. A bucket is either like the raw texts, so that its
+target count is Poisson around what the raw count lets expect, or has a rate of its own (a gamma prior of shape BROAD);
+the share of the latter is learned from all buckets by expectation-maximisation. The target model mixes both estimates by
+their posterior. So few labels give ratios near 1, many give sharp ones, and nothing switches in between.
+
+By default k is the expected number of texts whose noisy weights lie above the bound that best parts good and other
+labelled texts held out from the target model, by the mean of the two expected hit rates. Where no bound parts them by
+more than chance (KS, 5 %), all texts stay.
 
 What is bounded: the labelled rows used, LABELS of them at most in expectation, dealt by a hash of doc_id; the models,
 BUCKETS numbers each. Counts, weights and the choice cover every row.
 
 Defined results: a null or empty text has weight 0. The noise is a hash of doc_id and text, so repeated rows stay or go
-together, as do ties at the k-th weight. Labels repeated for a doc_id count as bad if
-one of them does. Without labelled rows of either class all texts stay. An empty table gives an empty result.
+together, as do ties at the k-th weight. Labels repeated for a doc_id count as bad if one of them does; a null quality
+leaves a label out. Without labelled rows of either class, and where nothing parts them, all texts stay. An empty table
+gives an empty result. Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -35,10 +40,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BITS = 19
-ROW, BUCKETS, LABELS, CHUNK, LANES = 1 << BITS, 2 << BITS, 50_000, 1 << 14, 1024
-#: A ratio counts where target and raw counts differ by STANDARD errors; of a million buckets sixty do by chance.
-STANDARD, TEMPERATURE = 4.0, 1.0
+BITS = 20
+BUCKETS, LABELS, CHUNK, LANES = 1 << BITS, 50_000, 1 << 14, 1024
+#: Shape of the prior of buckets with a rate of their own (Jeffreys'), rounds of expectation-maximisation, and the share it starts from.
+BROAD, ROUNDS, SHARE, TEMPERATURE = 0.5, 30, 0.01, 1.0
 
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -52,10 +57,10 @@ def _share(flag: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The two buckets of each n-gram of the texts, an n-gram once for a text, and the text of each. (What one long text repeats says as much as what stands there once.)"""
+    """The bucket of each n-gram of the texts, an n-gram once for a text, and the text of each. (What one long text repeats says as much as what stands there once.)"""
     data, at = C.flat(texts)
     if not len(data):
-        return np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     kind = _KIND[data]
     start, end = C.runs(kind, at)
     h = C.hashes(C._LOWER[data], start, end)
@@ -73,10 +78,10 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     shape = np.where(word, shape, h)
     pair = doc[1:] == doc[:-1]
     form = C.mix(C.mix(shape[:-1] + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93) + shape[1:])[pair]
-    both = np.concatenate([doc, doc[:-1][pair]]).astype(np.uint64) << np.uint64(2 * BITS) | np.concatenate([C.mix(h + np.uint64(1)), form]) >> np.uint64(64 - 2 * BITS)
+    both = np.concatenate([doc, doc[:-1][pair]]).astype(np.uint64) << np.uint64(BITS) | np.concatenate([C.mix(h + np.uint64(1)), form]) >> np.uint64(64 - BITS)
     both.sort()
     both = both[np.concatenate([[True], both[1:] != both[:-1]])].astype(np.int64)
-    return np.stack([both & (ROW - 1), ROW + (both >> BITS & (ROW - 1))]), both >> 2 * BITS
+    return both & (BUCKETS - 1), both >> BITS
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +92,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.blocks(batches):
         bucket, doc = features(C.texts_of(batch["text"]))
         target = batch["target"].to_numpy(zero_copy_only=False).astype(bool)
-        counts[0] += np.bincount(bucket.ravel(), minlength=BUCKETS)
+        counts[0] += np.bincount(bucket, minlength=BUCKETS)
         if target.any():
-            counts[1] += np.bincount(bucket[:, target[doc]].ravel(), minlength=BUCKETS)
+            counts[1] += np.bincount(bucket[target[doc]], minlength=BUCKETS)
     if counts[0].any():
         lane = TaskContext.get().partitionId() % LANES
         yield _rows(range(BUCKETS // CHUNK), lane, counts)
@@ -118,21 +123,37 @@ def models(rows: DataFrame) -> np.ndarray:
     return counts
 
 
-def ratios(counts: np.ndarray, standard: float = STANDARD) -> np.ndarray:
-    """log(target model / raw model) for each bucket: of add-half estimates, and 0 where the target model backs off to the raw one."""
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function by Stirling's series, six places up."""
+    y = x + 6
+    out = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3)
+    for k in range(6):
+        out = out - np.log(x + k)
+    return out
+
+
+def ratios(counts: np.ndarray, broad: float = BROAD, rounds: int = ROUNDS) -> np.ndarray:
+    """log(target model / raw model) for each bucket, 0 for all without target texts. counts: of raw and of target texts."""
     raw, target = counts.astype(float)
-    share = target.sum() / max(1.0, raw.sum())
-    expected = raw * share
-    clear = np.abs(target - expected) >= standard * np.sqrt(expected * (1 - share) + 1)
-    return np.where(clear, np.log((target + 0.5) / (expected + 0.5)), 0).astype(np.float32)
+    if not target.any():
+        return np.zeros(len(raw), np.float32)
+    seen = np.flatnonzero(raw)
+    t, e = target[seen], raw[seen] * (target.sum() / raw.sum())
+    like = t * np.log(e) - e  # Poisson and negative binomial, without what they share
+    own = _log_gamma(t + broad) - math.lgamma(broad) + broad * np.log(broad / (broad + e)) + t * np.log(e / (broad + e))
+    share = SHARE
+    for _ in range(rounds):
+        odds = np.clip(own - like + math.log(share / (1 - share)), -700, 700)
+        posterior = 1 / (1 + np.exp(-odds))
+        share = float(np.clip(posterior.mean(), 1e-6, 0.5))
+    out = np.zeros(len(raw), np.float32)
+    out[seen] = np.log1p(posterior * ((t + broad) / (e + broad) - 1))
+    return out
 
 
 def weights(bucket: np.ndarray, doc: np.ndarray, ratio: np.ndarray, n: int) -> np.ndarray:
-    """Log importance weights of n texts: an n-gram has the ratio of that of its buckets which is nearer to 1, or 1 if they disagree, so a chance neighbour in one bucket does no harm."""
-    if not len(doc):
-        return np.zeros(n)
-    a, b = ratio[bucket]
-    return np.bincount(doc, np.where(a * b <= 0, 0, np.where(np.abs(a) < np.abs(b), a, b)), n)
+    """Log importance weights of n texts."""
+    return np.bincount(doc, ratio[bucket], n) if len(doc) else np.zeros(n)
 
 
 def scorer(spread):
@@ -147,14 +168,21 @@ def scorer(spread):
     return score
 
 
-def parting(scores: np.ndarray, good: np.ndarray) -> float:
-    """The weight that best parts good and other labelled texts, by the mean of the two hit rates; of equal ones the middle of the widest gap."""
-    order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order]
-    right = np.cumsum(~g) / max(1, (~g).sum()) + 1 - np.cumsum(g) / max(1, g.sum())
-    right[:-1][s[1:] == s[:-1]] = -1  # equal weights can't be parted
-    best = int(np.argmax(right[:-1])) if len(s) > 1 else 0
-    return float((s[best] + s[min(best + 1, len(s) - 1)]) / 2)
+def drawn_above(bound: float, log_weight: np.ndarray, temperature: float) -> np.ndarray:
+    """The probability that a text's noisy weight lies above a bound."""
+    return -np.expm1(-np.exp(np.clip(log_weight / temperature - bound, -700, 700)))
+
+
+def parting(log_weight: np.ndarray, good: np.ndarray, temperature: float = TEMPERATURE) -> float | None:
+    """The bound of noisy weights that best parts good and other labelled texts in expectation; None where none parts them by more than chance."""
+    n, m = int(good.sum()), int((~good).sum())
+    if not n or not m:
+        return None
+    places = np.unique(np.quantile(log_weight / temperature, np.linspace(0, 1, 200)))
+    bounds = np.unique(np.concatenate([places + x for x in (-1, 0, 1, 2, 3)]))
+    parts = [(p[good].mean() - p[~good].mean()) for p in (drawn_above(c, log_weight, temperature) for c in bounds)]
+    best = int(np.argmax(parts))
+    return float(bounds[best]) if parts[best] > 1.36 * math.sqrt((n + m) / (n * m)) else None
 
 
 def kth_largest(keys: DataFrame, k: int) -> float:
@@ -173,10 +201,11 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 
 class Fit(NamedTuple):
-    """score: the weight of a text column. weights: doc_id, log_weight and key (weight with noise) of every row, as a checkpoint. cut: rows with a key of at least this stay."""
+    """rows: docs' rows with their log_weight and key (weight with noise), as a table in the shared folder, without the text on request; these two columns' names; cut: rows with a key of at least this stay."""
 
-    score: Callable[[Column], Column]
-    weights: DataFrame
+    rows: DataFrame
+    log_weight: str
+    key: str
     cut: float
 
 
@@ -185,37 +214,42 @@ def _key(score: Column, doc_id: Column, text: Column, temperature: float, seed:
     return score / temperature - F.log(-F.log(u))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int | None = None, most_labels: int = LABELS, temperature: float = TEMPERATURE, seed: int = 7) -> Fit:
-    """Both models, the weights of all rows, and where the k largest noisy weights begin. k: by default the number of rows above the parting weight."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int | None = None, most_labels: int = LABELS, temperature: float = TEMPERATURE, seed: int = 7, keep_text: bool = True) -> Fit:
+    """Both models, the weights of all rows, and where the k largest noisy weights begin. k: by default as many as the bound lets expect that best parts labels."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good")).na.drop()
     n = labels.count()
     part = F.pmod(F.xxhash64("doc_id", F.lit("labels")), F.lit(1 << 20))
     sample = labels.filter(part < (1 << 20) * min(1.0, most_labels / max(1, n))).groupBy("doc_id").agg(F.min("good").alias("good"))
-    sample = sample.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left")
-    counts = models(rows.select("text", F.coalesce(F.col("fit") & F.col("good"), F.lit(False)).alias("target")))
+    names = {}
+    for name in ("_id", "_good", "_fit", "log_weight", "key"):
+        names[name] = C.fresh(docs.select("*", *[F.lit(0).alias(x) for x in names.values()]), name)
+    ident, good, held, weight, key = names.values()
+    sample = sample.select(F.col("doc_id").alias(ident), F.col("good").alias(good), (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 1).alias(held))
+    own, words = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")
+    rows = docs.withColumn(ident, own).join(F.broadcast(sample), ident, "left")
+    counts = models(rows.select(words.alias("text"), F.coalesce(~F.col(held) & F.col(good), F.lit(False)).alias("target")))
     score = scorer(docs.sparkSession.sparkContext.broadcast(ratios(counts)))
-    out = rows.withColumn("log_weight", score("text"))
-    out = C.cut(out.select("doc_id", "good", "fit", "log_weight", _key(F.col("log_weight"), F.col("doc_id"), F.col("text"), temperature, seed).alias("key")))
-    if k is None:
-        held = out.filter("good IS NOT NULL AND NOT fit").select("log_weight", "good").toArrow()  # of the sample of labels
-        is_good = held["good"].to_numpy().astype(bool)
-        if is_good.any() and not is_good.all() and counts[1].any():
-            k = out.filter(F.col("log_weight") > parting(held["log_weight"].to_numpy(), is_good)).count()
+    out = C.stored(rows.withColumn(weight, score(words)).withColumn(key, _key(F.col(weight), own, words, temperature, seed)).drop(*[] if keep_text else [text]))
     total = out.count()
-    k = total if k is None else min(k, total)
-    cut = float("-inf") if k == total else float("inf") if k <= 0 else kth_largest(out, k)
-    return Fit(score, out.select("doc_id", "log_weight", "key"), cut)
-
-
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", temperature: float = TEMPERATURE, seed: int = 7, **more) -> DataFrame:
+    if k is None:
+        k = total
+        seen = out.filter(F.col(held)).select(F.col(weight).alias("w"), F.col(good).alias("g")).toArrow()  # of the sample of labels
+        bound = parting(seen["w"].to_numpy(), seen["g"].to_numpy().astype(bool), temperature)
+        if bound is not None:
+            above = F.col(weight) / temperature - bound
+            k = max(1, round(out.agg(F.sum(-F.expm1(-F.exp(F.greatest(F.least(above, F.lit(700.0)), F.lit(-700.0)))))).first()[0]))
+    k = min(k, total)
+    cut = float("-inf") if k == total else float("inf") if k <= 0 else kth_largest(out.select(F.col(key).alias("key")), k)
+    return Fit(out.drop(ident, good, held), weight, key, cut)
+
+
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **more) -> DataFrame:
     """The rows of docs that are drawn, with docs' own columns. No text is shuffled."""
-    found = fit(docs, labels, text, doc_id, temperature=temperature, seed=seed, **more)
-    words = F.col(text).cast("string")
-    return docs.filter(_key(found.score(words), F.col(doc_id).cast("long"), words, temperature, seed) >= found.cut)
+    found = fit(docs, labels, text, doc_id, **more)
+    return found.rows.filter(F.col(found.key) >= found.cut).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that stay, with their weights."""
-    found = fit(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
-    return found.weights.filter(F.col("key") >= found.cut)
+    found = fit(C.table(spark, sf_dir, "documents").select("doc_id", "text"), C.table(spark, sf_dir, "labels"), keep_text=False)
+    return found.rows.filter(F.col(found.key) >= found.cut).select("doc_id", "log_weight", "key")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from benchtide.llm import common as C
 from benchtide.llm import decontaminate, exact_dedup, html_extract, jaccard, language_model, license_scan, packing, quality, repeats, secret_scan
 
 SCHEMA = "doc_id long, text string, kept string, node int, row double"
@@ -521,12 +522,121 @@ def test_draws_follow_the_weights(spark):
             assert abs(got[k][0] - q[k]) < 0.03 and abs(got[k][1] - two[k]) < 0.03
 
 
-def test_ratios_are_those_of_two_models():
-    raw, target = np.array([1000, 1000, 1000, 0, 10]), np.array([100, 300, 3, 0, 1])
+def test_ratios_grow_with_what_is_counted():
+    """Near 0 for few labels, near the plain ratio for many, nothing in between that jumps."""
+    before = 0.0
+    for n in range(0, 400):
+        raw, target = np.full(5000, 1000), np.full(5000, n)
+        raw[:50], target[:50] = 1000, 0
+        got = quality.ratios(np.stack([raw, target]))
+        assert got[0] <= before + 1e-6 and before - got[0] < 1.5 and np.abs(got[50:]).max() < 0.02
+        before = float(got[0])
     share = target.sum() / raw.sum()
-    got = quality.ratios(np.stack([raw, target]), standard=4.0)
-    want = np.log((target + 0.5) / (raw * share + 0.5))
-    assert got[1] == pytest.approx(want[1]) and got[2] == pytest.approx(want[2]) and got[3] == got[4] == 0
+    assert got[0] == pytest.approx(math.log(0.5 / (1000 * share + 0.5)), abs=0.02)
+    assert not quality.ratios(np.zeros((2, 9), int)).any()
+
+
+def slow_features(text):
+    """The buckets of one text, token by token."""
+    spread = lambda x: int(C.mix(np.array([x % 2**64], np.uint64))[0])
+    found, shapes, last, again = set(), [], None, 0
+    for token in re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^\x09-\x0d\x20 0-9A-Za-z_\x80-\xff]+", (text or "").encode()):
+        raw = np.frombuffer(token.lower(), np.uint8)
+        h = int(C.hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+        found.add(spread(h + 1) >> 64 - quality.BITS)
+        if re.match(rb"[0-9A-Za-z_\x80-\xff]", token):
+            upper, digit = len(re.findall(rb"[A-Z]", token)), len(re.findall(rb"[0-9]", token))
+            shape = (3 if not re.search(rb"[a-z]", token) else 4) if upper >= 2 else upper
+            shape += (8 if digit == len(token) else 16) if digit else 0
+            again = again + 1 if h == last else 0
+            shape = 32 + min(int(math.log2(again)), 6) if again else shape
+            last = h
+        else:
+            shape = h
+        shapes.append(shape)
+    for a, b in zip(shapes, shapes[1:]):
+        found.add(spread(spread(a + 7) * 0xD6E8FEB86659FD93 + b) >> 64 - quality.BITS)
+    return found
+
+
+def slow_quality(texts, target, labelled):
+    """log weights of texts, and the default k: target has the texts of the target model, labelled (place, good) those held out."""
+    features = [slow_features(t) for t in texts]
+    raw, own = Counter(), Counter()
+    for k, f in enumerate(features):
+        raw.update(f)
+        own.update(f if k in target else ())
+    share, log_own = 0.01, {}
+    expected = {b: n * sum(own.values()) / sum(raw.values()) for b, n in raw.items()}
+    for b, e in expected.items():
+        t = own[b]
+        log_own[b] = math.lgamma(t + 0.5) - math.lgamma(0.5) + 0.5 * math.log(0.5 / (0.5 + e)) + t * math.log(e / (0.5 + e)) - (t * math.log(e) - e)
+    for _ in range(quality.ROUNDS):
+        post = {b: 1 / (1 + math.exp(-max(-700, min(700, x + math.log(share / (1 - share)))))) for b, x in log_own.items()}
+        share = min(max(sum(post.values()) / len(post), 1e-6), 0.5)
+    ratio = {b: math.log(1 - p + p * (own[b] + 0.5) / (expected[b] + 0.5)) for b, p in post.items()}
+    w = [sum(ratio[b] for b in f) for f in features]
+    above = lambda c, x: 1 - math.exp(-math.exp(min(x - c, 700)))
+    good, bad = [w[k] for k, g in labelled if g], [w[k] for k, g in labelled if not g]
+    places = np.quantile(good + bad, np.linspace(0, 1, 200))
+    gain, bound = max((np.mean([above(c, x) for x in good]) - np.mean([above(c, x) for x in bad]), -c) for c in {p + x for p in places for x in (-1, 0, 1, 2, 3)})
+    if gain <= 1.36 * math.sqrt((len(good) + len(bad)) / (len(good) * len(bad))):
+        return w, len(texts)
+    return w, max(1, round(sum(above(-bound, x) for x in w)))
+
+
+def labelled_corpus(rng, n=360):
+    """Texts of good, noisy and toxic kinds with ids, and labels of most of them: (texts, labels)."""
+    texts, labels = [], []
+    for k in range(n):
+        t = prose(rng, 20 + k % 50)
+        t = t if k % 3 else t.replace(" ", " ## ") if k % 2 else f"{t[:40]} idiot scum moron {t[40:]}"
+        texts.append(t)
+        if k % 5:
+            labels.append((k, int(k % 3 > 0 or k % 2), int(k % 3 == 0 and k % 2)))
+    return texts, labels
+
+
+def split_labels(spark, labels):
+    """Which labelled documents teach the target model, and which are held out with what label, as the operator deals them."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.held for r in df.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 1).alias("held")).collect()}
+    good = {i: bool(q and not t) for i, q, t in labels}
+    return df, {i for i in good if good[i] and not out[i]}, [(i, good[i]) for i in good if out[i]]
+
+
+def test_weights_and_k_equal_brute_force(spark):
+    texts, labels = labelled_corpus(np.random.default_rng(17))
+    texts += [None, "", "Same SAME same same 12 a1 !! é_", prose(np.random.default_rng(18), 30_000)]
+    lab, target, held = split_labels(spark, labels)
+    want, k = slow_quality(texts, target, held)
+    found = quality.fit(table(spark, texts), lab)
+    got = {r.doc_id: (r[found.log_weight], r[found.key] >= found.cut) for r in found.rows.collect()}
+    assert [got[i][0] for i in range(len(texts))] == pytest.approx(want, rel=1e-4, abs=1e-4)
+    assert 100 < k < len(texts) and sum(x for _, x in got.values()) in (k - 1, k, k + 1)
+    kept = {i for i, (_, x) in got.items() if x}
+    share = {x: np.mean([i in kept for i, g in held if g == x]) for x in (True, False)}
+    assert share[True] > 0.8 and share[False] < 0.2
+
+
+@pytest.mark.parametrize("n", [12, 30, 60, 120])
+def test_few_labels(spark, n):
+    """However few labels there are, texts stay, and good ones no more seldom than others; no number of labels is a cliff."""
+    texts, labels = labelled_corpus(np.random.default_rng(19), 600)
+    kept = {r.doc_id for r in quality.resample(table(spark, texts), spark.createDataFrame(labels[:n], "doc_id long, quality int, toxic int")).collect()}
+    good = [i for i, q, t in labels if q and not t]
+    bad = [i for i, q, t in labels if not q or t]
+    assert len(kept) > 150 and np.mean([i in kept for i in good]) >= np.mean([i in kept for i in bad])
+
+
+def test_labels_that_part_nothing(spark):
+    """All weights equal, or labels dealt by chance: all texts stay."""
+    chance = spark.createDataFrame([(k, k * 7 % 3 % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    assert quality.resample(table(spark, ["one text"] * 300), chance).count() == 300
+    rng = np.random.default_rng(20)
+    assert quality.resample(table(spark, [prose(rng, 50) for _ in range(300)]), chance).count() == 300
 
 
 def test_quality_of_odd_tables(spark, odd):
