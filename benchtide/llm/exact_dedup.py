@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import cut, fresh, table
+from .common import cut, fresh, stored, table
 
 #: Misra-Gries keeps 1/SUPPORT counters; every digest with more than SUPPORT of the rows is found, so at most 1/SUPPORT winners are broadcast.
 SUPPORT = 0.0005
+#: Row numbers of rows that go, in a broadcast: 8 MB of them.
+LOSERS = 1_000_000
 
 
 def digest(text: str) -> Column:
@@ -47,14 +49,19 @@ def decisions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", suppo
     return hot.unionByName(cold).select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("best.row") == F.col("row")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: float = SUPPORT) -> DataFrame:
-    """The rows of docs that stay, with docs' own columns. Texts of large groups don't enter the shuffle: only those with the winner's doc_id do."""
-    d, best, place = fresh(docs, "digest"), fresh(docs, "best_id"), fresh(docs, "place")
-    frequent = winners(_digests(docs, text, doc_id), support).select(F.col("digest").alias(d), F.col("best.doc_id").alias(best), F.lit(True).alias(place))
-    marked = docs.withColumn(d, digest(text)).join(F.broadcast(frequent), d, "left")
-    left = marked.filter(F.col(place).isNull() | F.col(doc_id).eqNullSafe(F.col(best))).drop(best, place)
-    group = W.Window.partitionBy(d).orderBy(F.col(doc_id).desc_nulls_last())
-    return left.withColumn(place, F.row_number().over(group)).filter(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: float = SUPPORT, most: int = LOSERS) -> DataFrame:
+    """The rows of docs that stay, with docs' own columns. Decided on digests; the texts, stored once, only lose rows: those of large groups by the broadcast winners, others by their row numbers, broadcast up to `most` of them and joined by a shuffle beyond."""
+    d, row = fresh(docs, "digest"), fresh(docs, "row")
+    rows = stored(docs.select("*", digest(f"`{text}`").alias(d), F.monotonically_increasing_id().alias(row)))
+    digests = rows.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(d).alias("digest"), F.col(row).alias("row"))
+    frequent = cut(winners(digests, support).select("digest", F.col("best.row").alias("best")))
+    best = W.Window.partitionBy("digest")
+    cold = digests.join(F.broadcast(frequent), "digest", "left_anti").select("row", (F.max(F.struct("doc_id", "row")).over(best)["row"] != F.col("row")).alias("loses"))
+    losers = cut(cold.filter("loses").select(F.col("row").alias(row)))
+    few = losers.count() <= most
+    hot = fresh(rows, "best")
+    marked = rows.join(F.broadcast(frequent.select(F.col("digest").alias(d), F.col("best").alias(hot))), d, "left").filter(F.col(hot).isNull() | (F.col(hot) == F.col(row)))
+    return marked.join(F.broadcast(losers) if few else losers, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 Rejected documents go, of equal and of nearly equal texts one stays, documents that hold benchmark items go, and what is
 left becomes token sequences.
+
+Defined results: a null or empty text is a document without words, which the classifier weighs 0; equal texts, a null
+doc_id, repeated rows, empty tables and columns of other names are treated as each stage's operator says. All stages but
+the last keep the columns of documents. Without labels, and where they part nothing, the first stage keeps all.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from benchtide.llm import decontaminate, exact_dedup, jaccard, packing, quality
-from benchtide.llm.common import cut
+from benchtide.llm.common import stored
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +56,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))  # later stages read their input several times
+        docs = stored(stage(spark, docs, sf_dir))  # later stages read their input several times
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,10 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from test_llm import SCHEMA, odd, prose, table  # noqa: F401
+from test_llm import SCHEMA, labelled_corpus, odd, prose, slow_quality, split_labels, table  # noqa: F401
 
 import corpus_pipeline
-from benchtide.llm import decontaminate, language_model, license_scan, packing
+from benchtide.llm import decontaminate, language_model, license_scan, packing, quality
 
 
 def slow_scores(texts, train, deleted, steps):
@@ -94,25 +94,40 @@ def near_classes(texts):
     return root
 
 
-def test_pipeline_equals_brute_force(spark, odd, tmp_path):  # noqa: F811
-    """Without labels all documents reach the second stage; what follows is known by brute force."""
+@pytest.mark.parametrize("taught", [False, True])
+def test_pipeline_equals_brute_force(spark, odd, tmp_path, taught):  # noqa: F811
+    """All five stages, without labels and with labels of both classes, over a table with a null doc_id, repeated rows and columns whose names operators use inside."""
+    from pyspark.sql import functions as F
     from tokenizers import Tokenizer
 
     rng = np.random.default_rng(21)
     item = [f"b{k}" for k in range(40)]
     leaks = [f"{prose(rng, 30)} {' '.join(item)}", " ".join(item[20:] + item[:20])]
-    texts = [*odd, *leaks]
-    docs = table(spark, texts)
+    own, labels = labelled_corpus(rng)
+    texts = [*own, *odd, *leaks, "known by nobody", prose(rng, 60), prose(rng, 60)]
+    ids = [*range(len(texts) - 3), None, 5000, 5000]
+    texts[-1] = texts[-2]
+    docs = table(spark, texts, ids)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    lab, target, held = split_labels(spark, labels)
+    (lab if taught else lab.limit(0)).write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(7, " ".join(item)), (8, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    last = {t or "": i for i, t in enumerate(texts)}  # of equal texts the largest doc_id
-    ids = sorted(last.values())
-    root = near_classes([texts[i] or "" for i in ids])
-    want = [i for k, i in enumerate(ids) if root[k] == k and texts[i] not in leaks]
+    drawn = {*range(len(texts))}
+    if taught:
+        weights, k = slow_quality(texts, target, held)
+        noise = {(r.doc_id, r.text or ""): r.noise for r in docs.select("doc_id", "text", quality._key(F.lit(0.0), F.col("doc_id"), F.col("text"), 1.0, 7).alias("noise")).collect()}
+        key = [w + noise[i, t or ""] for w, i, t in zip(weights, ids, texts, strict=True)]
+        drawn = {p for p in drawn if key[p] >= sorted(key)[-k]}
+        assert 100 < len(drawn) < len(texts) - 50
+    last = {}
+    for p in sorted(drawn, key=lambda p: -1 if ids[p] is None else ids[p]):
+        last[texts[p] or ""] = p  # of equal texts the largest doc_id
+    left = sorted(last.values())
+    root = near_classes([texts[p] or "" for p in left])
+    want = [p for k, p in enumerate(left) if root[k] == k and texts[p] not in leaks]
     encode = Tokenizer.from_file(packing.default_tokenizer()).encode
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(encode(texts[i] or "", add_special_tokens=False).ids) + 1 for i in want}
+    assert {r.doc_id: r.doc_tokens for r in got} == {ids[p]: len(encode(texts[p] or "", add_special_tokens=False).ids) + 1 for p in want}
     assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
