@@ -3,15 +3,17 @@
 Three kinds of pattern matches are the base (assign, access, hex). The method adds kind "guess": a value in a credential
 context (`pwd is ...`, `login: ...`, `bearer ...`) is cut into dictionary words, dates, repeats, keyboard walks and
 brute-force spans so that the number of guesses is least; a value whose least cost is GUESSES or more is a secret that
-a person wouldn't have put into prose by chance. Every such value is scored, whatever its shape and length.
+a person wouldn't have put into prose by chance. Every such value is scored, whatever its shape and length, of one character on.
 
-The dictionary is that of a public tokenizer, its whole words in the order of their ids, which is about that of their
-frequency; words that guessers try first stand before them. A value of letters in one case (or with one capital in front)
-whose pairs of neighbouring letters are mostly those of the dictionary counts as a word of a guesser's largest dictionary,
-so a plain word of prose in any language is cheap and random letters are not.
+The dictionary is that of two public tokenizers, one of English and one of many languages: their words and word parts in
+turn, in the order of their ids, which is about that of their frequency; words that guessers try first, and those that prose
+says of a password instead of giving it, stand before them. Letters in
+one case (or with one capital in front) that no word covers may be a span of prose, priced letter by letter by how often
+the dictionary has a letter after the one before: so length counts, and a value that can be spoken is guessed sooner than
+one of random letters, but no sooner than it would be by a guesser who goes by pairs of letters.
 
 The cost is the least over all cuts into these pieces: words; dates; runs of one character; repeats of a piece of at most
-UNIT characters; walks over a keyboard; and brute-force spans of any length. The programme looks back over UNIT places
+UNIT characters; walks over a keyboard; spans of prose and brute-force spans of any length. The programme looks back over UNIT places
 and holds, for each place, the cheapest ways with so many pieces that no way with fewer pieces undercuts. Where a run,
 walk or repeat goes on, extending it costs less than any other piece there, so only those that begin near its start and
 end near its end can be cheapest, which bounds the work on long values.
@@ -22,6 +24,7 @@ Positions are code points of the whole text, ends exclusive. Repeated rows give
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import math
@@ -30,6 +33,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +56,7 @@ HEX = re.compile("[0-9a-f]{16,}")
 CONTEXT = re.compile(
     "(?<![A-Za-z0-9])"
     + _any_case(r"(?:passwords?|passwd|passphrase|passcode|pwd|secret|token|credentials?|creds|auth(?:orization)?|bearer|login|(?:api|access|private|secret)[_ -]?key)")
-    + r"""["']?(?:[ \t]*(?:[:=]|=>|->)[ \t]*|[ \t]+(?:is|was)[ \t]+|[ \t]+(?=\S*[0-9]))["'`]?([^\s"'`,;<>(){}\[\]]{8,})"""
+    + r"""["']?(?:[ \t]*(?:[:=]|=>|->)[ \t]*|[ \t]+(?:is|was)[ \t]+|[ \t]+(?=\S*[0-9]))["'`]?([^\s"'`,;<>(){}\[\]]+)"""
 )
 #: Every match of ASSIGN, and every context, has one of these in its lower-case bytes. Looking for them first is many times faster than the patterns are.
 ASSIGN_STEMS = (b"passw", b"secret", b"token", b"api")
@@ -60,8 +64,8 @@ CONTEXT_STEMS = (b"passw", b"passphrase", b"passcode", b"pwd", b"secret", b"toke
 #: log10 of the guesses from which a value counts as a secret.
 GUESSES = 10.0
 UNIT = 32
-#: log10 of the words in a guesser's largest dictionary; the share of a word's letter pairs that are frequent, and the share of words that hold a frequent pair.
-DICTIONARY, PROSE, FREQUENT = 6.0, 0.7, 0.002
+#: log10 of the guesses for a letter of prose that is not one of a-z with or without an accent.
+OTHER = math.log10(126)
 
 #: Rows of a keyboard, and words that guessers try first, in that order.
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "1qaz2wsx3edc4rfv5tgb6yhn7ujm", "abcdefghijklmnopqrstuvwxyz")
@@ -69,6 +73,13 @@ COMMON = (
     "password pass admin root user login welcome secret letmein master monkey dragon sunshine princess football baseball hello freedom whatever trustno shadow superman batman iloveyou test guest default changeme temp demo "
     "love god money summer winter spring autumn monday friday january february march april may june july august september october november december the and you that was for are with his they this have from one had word but not what all were when your can said there use each which she how their will other about out many then them these some her would make like him into time has look two more write see number way could people than first water been call who oil its now find long down day did get come made part"
 ).split()
+#: What prose in four languages says of a password or key instead of giving it.
+SAID = (
+    "required forbidden mandatory incorrect invalid expired forgotten confidential unnecessary protected encrypted compromised authentication authorization "
+    "erforderlich verboten verpflichtend falsch ungültig abgelaufen vergessen geheim vertraulich einverstanden geschützt verschlüsselt gespeichert geändert notwendig zurücksetzen "
+    "obligatoire interdit incorrect invalide expiré oublié confidentiel nécessaire protégé chiffré enregistré modifié réinitialiser authentification "
+    "obligatoria prohibida incorrecta inválida caducada olvidada confidencial necesaria protegida cifrada almacenada actualizada restablecer autenticación contraseña"
+).split()
 
 
 _LEET = str.maketrans("4@3105$7", "aaeiosst")
@@ -77,16 +88,17 @@ Ways = list[tuple[int, float]]
 
 
 @lru_cache
-def dictionary(path: str | None = None) -> tuple[str, ...]:
-    """COMMON, then the whole words of a tokenizer's vocabulary in the order of their ids. Read where it is used; path: by default that of the packing operator's tokenizer."""
-    if path is None:
-        import public_tokenizers
+def dictionary(path: str | None = None, ranks: str | None = None) -> tuple[str, ...]:
+    """COMMON and SAID, then in turn the whole words of a tokenizer's vocabulary and the letters of a rank file's tokens, in the order of their ids. Read where it is used; path and ranks: by default those of the packing and the byte-level operators."""
+    import public_tokenizers
 
-        path = public_tokenizers.path("word_bpe_49k.json")
-    with open(path, encoding="utf-8") as f:
+    with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         ids = json.load(f)["model"]["vocab"]
-    whole = (w.removesuffix("</w>") for w in sorted(ids, key=ids.get) if w.endswith("</w>"))
-    return tuple(dict.fromkeys([*COMMON, *(w for w in whole if len(w) >= 3 and w.isalpha() and w.isascii())]))
+    with open(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        tokens = [base64.b64decode(line.split()[0]).decode("utf-8", "replace") for line in f]
+    whole = [w.removesuffix("</w>") for w in sorted(ids, key=ids.get) if w.endswith("</w>")]
+    both = (w for pair in zip_longest(whole, (t.strip().lower() for t in tokens), fillvalue="") for w in pair)
+    return tuple(dict.fromkeys([*COMMON, *SAID, *(w for w in both if len(w) >= 3 and w.isalpha())]))
 
 
 def lowered(s: str) -> str:
@@ -95,6 +107,11 @@ def lowered(s: str) -> str:
     return low if len(low) == len(s) else "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
 
 
+def plainly(c: str) -> str:
+    """A letter without its accent."""
+    return unicodedata.normalize("NFD", c)[:1]
+
+
 def cheapest(ways: Ways) -> Ways:
     """The ways (pieces, cost) that no way with as many pieces or fewer undercuts when the factorials count; a further piece then costs that one no more."""
     out: Ways = []
@@ -114,15 +131,24 @@ class Costs:
         self.longest = max(map(len, self.rank), default=0)
         rows = [r for row in KEY_ROWS for r in (row, row[::-1])]
         self.next_key = {(a, b) for r in rows for a, b in zip(r, r[1:], strict=False)}
-        held = Counter(p for w in self.rank for p in {w[k : k + 2] for k in range(len(w) - 1)})
-        self.pairs = {p for p, n in held.items() if n >= FREQUENT * len(self.rank)}
-
-    def prosaic(self, s: str) -> bool:
-        """Whether a value is one word of letters in the case and with the pairs of letters of prose. Letters count without their accents; pairs with letters beyond a-z count as prose."""
-        if not s.isalpha() or not (s.islower() or s.isupper() or s.istitle()):
-            return False
-        low = "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c)).replace("ß", "ss")
-        return sum(a + b in self.pairs or not (a + b).isascii() for a, b in zip(low, low[1:], strict=False)) >= PROSE * (len(low) - 1)
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        plain = ["".join(plainly(c) for c in w) for w in self.rank]
+        first, pairs = Counter(w[0] for w in plain), Counter(p for w in plain for p in zip(w, w[1:], strict=False))
+        before = {a: sum(pairs[a, b] for b in letters) for a in letters}
+        self.first = {a: -math.log10((first[a] + 0.5) / (sum(first[x] for x in letters) + 13)) for a in letters}
+        self.follow = {(a, b): -math.log10((pairs[a, b] + 0.5) / (before[a] + 13)) for a in letters for b in letters}
+
+    def letter(self, before: str, c: str) -> float:
+        """Of a letter of prose after the one before (or none): by the pair without accents, an accent doubles the guesses."""
+        a, b = plainly(lowered(before)), plainly(low := lowered(c))
+        known = self.follow.get((a, b)) if before else self.first.get(b)
+        return (OTHER if known is None else known) + (math.log10(2) if b != low else 0)
+
+    def prose(self, s: str) -> float | None:
+        """Of letters in one case or with one capital in front, which costs twice the guesses."""
+        if not s.isalpha() or not all(c.islower() for c in s[1:]) and not all(c.isupper() for c in s) or not (s[:1].islower() or s[:1].isupper()):
+            return None
+        return math.log10(2) * s[0].isupper() + sum(self.letter(a, b) for a, b in zip(["", *s], s, strict=False))
 
     @staticmethod
     def alphabet(s: str) -> int:
@@ -165,8 +191,9 @@ class Costs:
         walked, run = 0, 0  # where the walk and the run that hold this place began
         repeats, began = [0] * (UNIT + 1), [0] * (UNIT + 1)  # characters from here on that equal those a unit later, and where they began to
         span: Ways = []  # brute-force spans that have begun and go on here
-        if self.prosaic(s):
-            ways[n].append((1, DICTIONARY))
+        small: Ways = []  # spans of prose that go on with small letters, with capitals, and one capital that small letters may follow
+        large: Ways = []
+        head: Ways = []
 
         def offer(i: int, j: int, cost: float) -> None:
             ways[j].extend((k + 1, c + cost) for k, c in ways[i])
@@ -176,6 +203,16 @@ class Costs:
             offer(i, i + 1, max(size, math.log10(11)))
             ways[i + 1].extend((k + 1, c + size) for k, c in span)
             span = cheapest([(k, c + size) for k, c in [*span, *here]])
+            if s[i].isalpha() and s[i].islower():
+                on, new = self.letter(s[i - 1], s[i]) if i else 0.0, self.letter("", s[i])
+                small, large, head = cheapest([*((k, c + on) for k, c in [*small, *head]), *((k, c + new) for k, c in here)]), [], []
+            elif s[i].isalpha() and s[i].isupper():
+                on, new = self.letter(s[i - 1], s[i]) if i else 0.0, self.letter("", s[i]) + math.log10(2)
+                head = [(k, c + new) for k, c in here]
+                small, large = [], cheapest([*((k, c + on) for k, c in large), *head])
+            else:
+                small, large, head = [], [], []
+            ways[i + 1].extend((k + 1, c) for k, c in [*small, *large])
             for j in range(i + 3, min(n, i + self.longest) + 1):
                 if low[i:j] in self.rank or plain[i:j] in self.rank or back[n - j : n - i] in self.rank:
                     offer(i, j, self.word(s[i:j]))
@@ -227,7 +264,7 @@ def guess_spans(text: str, costs: Costs, least: float = GUESSES) -> list[tuple[i
         return found
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".!?:")
-        if len(value) >= 8 and costs.least(value) >= least:
+        if value and costs.least(value) >= least:
             found.append((m.start(1), m.start(1) + len(value), 3))
     return found
 

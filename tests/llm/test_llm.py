@@ -364,7 +364,7 @@ def slow_least(c, s):
 
     def piece(x):
         n, low = len(x), secret_scan.lowered(x)
-        found = [max(size * n, math.log10(11)), c.word(x), c.date(x)]
+        found = [max(size * n, math.log10(11)), c.word(x), c.date(x), c.prose(x)]
         if n >= 3 and all(p in c.next_key for p in zip(low, low[1:])):
             found.append(c.walk(n))
         if n >= 3 and len(set(x)) == 1:
@@ -374,7 +374,7 @@ def slow_least(c, s):
                 found.append(min(size * u, c.word(x[:u]) or math.inf) + math.log10(n // u))
         return min(y for y in found if y is not None)
 
-    best = secret_scan.DICTIONARY if c.prosaic(s) else math.inf
+    best = math.inf
     for cut in range(1 << (len(s) - 1)):
         at = [0, *(k + 1 for k in range(len(s) - 1) if cut >> k & 1), len(s)]
         best = min(best, sum(piece(s[a:b]) for a, b in zip(at, at[1:])) + math.lgamma(len(at)) / math.log(10))
@@ -385,7 +385,7 @@ def test_guess_costs_equal_brute_force():
     """On a thousand random values, among them parts of words, dates, walks, runs and repeats."""
     rng = np.random.default_rng(3)
     c = secret_scan.costs_of(None, None)
-    parts = ["pass", "word", "P@ss", "qwe", "123", "aaa", "1987", "12-05-87", "x9", "$", "mama", "abab", "drow", "0", "é", "zz"]
+    parts = ["pass", "word", "lomi", "Xu", "QR", "ñ", "P@ss", "qwe", "123", "aaa", "1987", "12-05-87", "x9", "$", "mama", "abab", "drow", "0", "é", "zz"]
     for _ in range(1000):
         s = "".join(parts[k] for k in rng.integers(0, len(parts), 4))[: int(rng.integers(1, 10))]
         assert c.least(s) == pytest.approx(slow_least(c, s)), s
@@ -410,13 +410,25 @@ def test_secrets_outside_the_base(spark):
 
 def test_guess_costs_of_every_shape_and_length():
     c = secret_scan.costs_of(None, None)
-    for value in ("qkzvxwmtplrnbdhs", "QKZVXWMTPLRNBDHS", "xkqzjvwpmtrfgbdc", "x9kL2QqZ7vB" * 7):
-        assert secret_scan.guess_spans(f"pwd: {value}", c) == [(5, 5 + len(value), 3)]
-    for value in ("-" * 60, "-" * 70, "-" * 1000, "ab" * 100, "password" * 40, "forbidden", "Authentication", "einverstanden", "REQUIRED", "obligatoire", "contraseña"):
-        assert secret_scan.guess_spans(f"password: {value}", c) == []
+    for value in ("qkzvxwmtplrnbdhs", "QKZVXWMTPLRNBDHS", "xkqzjvwpmtrfgbdc", "x9kL2QqZ7vB" * 7, "correcthorsebatterystaple", "x$9~Qé", "q~X4$wK"):
+        assert secret_scan.guess_spans(f"pwd: {value}", c) == [(5, 5 + len(value), 3)], value
+    for value in ("-" * 60, "-" * 70, "-" * 1000, "ab" * 100, "password" * 40, "forbidden", "Authentication", "einverstanden", "REQUIRED", "obligatoire", "contraseña", "verpflichtend", "Zurücksetzen", "réinitialiser", "5", "x", "abc"):
+        assert secret_scan.guess_spans(f"password: {value}", c) == [], value
     assert c.least("".join(chr(33 + k * k % 89) for k in range(2_000))) > secret_scan.GUESSES
 
 
+def test_spoken_values_cost_by_their_length():
+    """Random values that can be spoken: from 12 letters on a secret, and a longer one is never cheaper for its length."""
+    rng, c = np.random.default_rng(14), secret_scan.costs_of(None, None)
+    middle = []
+    for n in (12, 14, 20, 40, 120):
+        values = ["".join(("bdfgklmnprstvz" if k % 2 == 0 else "aeiou")[rng.integers(0, 5 if k % 2 else 14)] for k in range(n)) for _ in range(100 if n < 40 else 10)]
+        costs = [c.least(v) for v in values]
+        assert np.mean(np.array(costs) >= secret_scan.GUESSES) >= 0.99, n
+        middle.append(np.median(costs) / n)
+    assert max(middle) < 1.5 * min(middle)
+
+
 def test_html(spark):
     pages = [
         "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu item</a></nav><div class='ad'>Buy now</div><article><h1>Head &amp; line</h1><p><b>First <i>long</i> paragraph of the text,\n with more.<br>And on.<p>Short.</p><script>var t='</p>';</script><form>Name <input></form><div class=comments><p>Nice!</p></div></article><aside>Side</aside><footer>Foot</footer></body></html>",
