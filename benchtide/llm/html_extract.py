@@ -5,13 +5,17 @@ number of its characters per tag. The ratios of all lines of the page, menus and
 over neighbouring lines, and a threshold splits them into clusters of running text and the rest; lines at a cluster's ends
 that only their neighbours lift above the threshold are cut off. The clusters select the
 region: the innermost element that holds all of them, or the innermost article or main around it. What stands there is kept
-whole, short lines too, and so is the last first-level heading before it where the region has none. Where only the page's
-body holds all clusters, the region reaches from the first to the last line of running text.
+whole, short lines too. Where only the page's body holds all clusters, the region reaches from the first to the last line
+of running text. A region without a first-level heading begins at the last one before it, with what stands between, such
+as a byline. Outside article and main it also goes on, before and after, over paragraphs and list items beside it, up to
+the next part or the next line that is all links: short first and last paragraphs are the article's.
 
 Roles of elements only take out what is never the article, and clusters there select nothing: nav, aside, footer, form,
 menu, dialog, a header outside an article, what is hidden, ARIA roles of such parts, and containers (not headings,
 paragraphs, list items or cells) one of whose classes or whose id consists of words for such parts and words that say
-nothing, as in `related-posts`, but not `related-work`.
+nothing, as in `related-posts`, but not `related-work`. In an article or main a single word that may also name something
+of the article's own (SOFT: a recipe's `menu`, `related`) takes its element out only where that holds no running
+text, is no list, or is mostly links.
 
 Defined results: a null or empty page, or one without text, gives an empty text of 0 code points. Broken markup is read
 as far as the parser gets through it, which it always does. Repeated rows give repeated rows. Other columns play no part.
@@ -23,6 +27,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,29 +53,48 @@ PARTS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion sidebar aside rail widget widgets menu menus nav navbar navigation navigationbar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal modals overlay "
     "newsletter newsletters subscribe subscription signup login share sharing social related recommend recommended recommendations comment comments reply replies respond disqus discussion pagination pager toolbar search skip form".split()
 )
+SOFT = frozenset("menu menus share sharing social related recommend recommended recommendations search rail skip".split())
+LISTS = frozenset("ul ol dl table".split())
 EDGES = frozenset("header head banner masthead topbar footer foot bottombar".split())
 PLAIN = frozenset("box boxes wrap wrapper container section area block list item items inner outer top bottom left right primary secondary bar side link links button buttons post posts site page global content module unit slot group row col panel holder region sticky fixed mobile desktop message text body title icons id class the".split())
 ARTICLE = frozenset("post entry article content story".split())
 #: End tags of these don't close an article, main, body or cell around them.
 WEAK = frozenset("p li div b i span a ul".split())
+#: Elements whose lines may go on where an article ends.
+FLOW = frozenset("p blockquote pre li dd dt figcaption".split())
 SIGMA = 1.5
 
 
+class Line(NamedTuple):
+    """holder: index of the innermost element around it that may hold an article. shut: it stands in what is none. title: in an h1. soft: index of a part that may be the article's own, or -1. tag: of its innermost block. linked: how many of its characters stand in links."""
+
+    text: str
+    tags: int
+    holder: int
+    shut: bool
+    title: bool
+    soft: int
+    tag: str
+    linked: int
+
+
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, holder, shut, title): holder is the index of the innermost element that may hold an article, shut says that the line stands in what is none, title that it stands in an h1. Each tag takes constant time, however deep it lies."""
+    """Lines of a page. Each tag takes constant time, however deep it lies."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
+        self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = 0
-        self.open: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, shut, holder
+        self.tags = self.linked = 0
+        self.link = False
+        self.open: list[tuple[str, bool, int, int]] = [("", False, 0, -1)]  # tag, shut, holder, soft
+        self.softs: list[str] = []  # the tag of each soft part
         self.places: dict[str, list[int]] = {}  # of each tag: where it stands in open
         self.holders: list[tuple[int, str]] = [(-1, "")]  # of each holder: the one around it, and its tag
 
-    def push(self, tag: str, shut: bool, holder: int) -> None:
+    def push(self, tag: str, shut: bool, holder: int, soft: int) -> None:
         self.places.setdefault(tag, []).append(len(self.open))
-        self.open.append((tag, shut, holder))
+        self.open.append((tag, shut, holder, soft))
 
     def cut(self, to: int) -> None:
         while len(self.open) > to:
@@ -83,16 +107,17 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, shut, holder = self.open[-1]
-            self.lines.append((text, self.tags, holder, shut, self.last("h1") > 0))
+            tag, shut, holder, soft = self.open[-1]
+            self.lines.append(Line(text, self.tags, holder, shut, self.last("h1") > 0, soft, tag, self.linked))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
             return
+        self.link = self.link or tag == "a"
         block = tag in BLOCKS
         if block:
             self.flush()
@@ -100,17 +125,20 @@ class Lines(HTMLParser):
                 self.cut(len(self.open) - 1)
         if tag in VOID:
             return
-        marked = self.marked(tag, attrs)
+        marked, soft_name = self.marked(tag, attrs)
         if not (block or tag in SILENT):
-            if not marked:
+            if not (marked or soft_name):
                 return
             self.flush()
-        _, shut, holder = self.open[-1]
+        _, shut, holder, soft = self.open[-1]
         shut = shut or tag in SILENT or tag in OUTSIDE or (tag == "header" and not self.last("article")) or marked
+        if soft_name and soft < 0:
+            self.softs.append(tag)
+            soft = len(self.softs) - 1
         if tag in HOLDERS:
             self.holders.append((holder, tag))
             holder = len(self.holders) - 1
-        self.push(tag, shut, holder)
+        self.push(tag, shut, holder, soft)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -119,6 +147,7 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS or tag in SILENT:
             self.flush()
+        self.link = self.link and tag != "a" and tag not in BLOCKS
         at = self.last(tag)
         if not at or tag in WEAK and self.last("article", "main", "body", "td") > at:
             return
@@ -129,16 +158,24 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open[-1][0] not in SILENT:
             self.parts.append(data)
+            if self.link:
+                self.linked += len("".join(data.split()))
 
-    def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        """Whether an element is a part that is not the article, and whether it may be one."""
         if tag in ("html", "body", "article", "main"):
-            return tag == "article" and any(k == "class" and v and "comment" in v.lower() for k, v in attrs)
+            return tag == "article" and any(k == "class" and v and "comment" in v.lower() for k, v in attrs), False
+        soft = False
         for k, v in attrs:
             if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and v and v.lower() in ROLES:
-                return True
-            if k in ("class", "id") and v and tag in CONTAINERS and any(map(self.part, v.lower().split())):
-                return True
-        return False
+                return True, False
+            if k in ("class", "id") and v and tag in CONTAINERS:
+                for name in v.lower().split():
+                    if name in SOFT and self.last("article", "main"):
+                        soft = True
+                    elif self.part(name):
+                        return True, False
+        return False, soft
 
     def part(self, name: str) -> bool:
         """Whether a class or id names a part that is not the article: each of its words is one for such parts, or says nothing, and one at least is for such parts."""
@@ -155,9 +192,9 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(x, g)[r:-r] / np.convolve(np.ones(len(x)), g)[r:-r]
 
 
-def running(lines: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
-    """Which lines are running text: those in a cluster by the smoothed ratio of characters to tags, but for lines at its ends that only their neighbours lift."""
-    ratio = np.array([len(t) / max(1, n) for t, n, *_ in lines])
+def running(lines: list[Line]) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are running text: those in a cluster by the smoothed ratio of characters to tags, but for lines at its ends that only their neighbours lift. And which are by their own ratio."""
+    ratio = np.array([len(x.text) / max(1, x.tags) for x in lines])
     soft = smoothed(ratio)
     least = min(float(np.std(soft)), float(np.mean(soft)))  # of equal ratios all are running text
     on, own = soft >= least, ratio >= least
@@ -166,7 +203,38 @@ def running(lines: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
     first, last = np.full(edge[-1] + 1, len(on)), np.full(edge[-1] + 1, -1)
     np.minimum.at(first, edge[own], place[own])
     np.maximum.at(last, edge[own], place[own])
-    return on & (place >= first[edge]) & (place <= last[edge])
+    return on & (place >= first[edge]) & (place <= last[edge]), own
+
+
+def own_parts(p: Lines, on: np.ndarray) -> set[int]:
+    """Which soft parts are the article's own: lists and what holds running text, unless half of the characters stand in links."""
+    size, linked, runs = ([0] * len(p.softs) for _ in range(3))
+    for line, flows in zip(p.lines, on.tolist(), strict=True):
+        if line.soft >= 0 and not line.shut:
+            size[line.soft] += len("".join(line.text.split()))
+            linked[line.soft] += line.linked
+            runs[line.soft] += flows
+    return {k for k, tag in enumerate(p.softs) if (runs[k] or tag in LISTS) and 2 * linked[k] < size[k]}
+
+
+def widened(p: Lines, kept: list[int], inside: np.ndarray, beside: set[int]) -> list[int]:
+    """kept, with the headline and what stands between, and with the lines around that go on in paragraphs and items of the elements `beside`."""
+    lines = p.lines
+    linked = lambda k: 2 * lines[k].linked >= len("".join(lines[k].text.split()))
+    titles = [k for k in range(kept[0]) if lines[k].title and inside[k]]
+    if any(lines[k].title for k in kept):
+        before = []
+    elif titles:
+        before = [k for k in range(titles[-1], kept[0]) if inside[k] and (not linked(k) or k == titles[-1])]
+    else:
+        k = kept[0]
+        while k and inside[k - 1] and not linked(k - 1) and lines[k - 1].holder in beside and lines[k - 1].tag in FLOW | HEADINGS:
+            k -= 1
+        before = list(range(k, kept[0]))
+    k = kept[-1]
+    while k + 1 < len(lines) and inside[k + 1] and not linked(k + 1) and lines[k + 1].holder in beside and lines[k + 1].tag in FLOW:
+        k += 1
+    return [*before, *kept, *range(kept[-1] + 1, k + 1)]
 
 
 def blocks_of(html: str) -> list[str]:
@@ -176,31 +244,34 @@ def blocks_of(html: str) -> list[str]:
     p.close()
     p.flush()
     lines = p.lines
-    inside = np.array([not x[3] for x in lines], bool)
+    if not lines:
+        return []
+    flows, alone = running(lines)
+    own = own_parts(p, alone)
+    inside = np.array([not x.shut and (x.soft < 0 or x.soft in own) for x in lines], bool)
     if not inside.any():
         return []
-    on = running(lines) & inside
+    on = flows & inside
     on = on if on.any() else inside
     count = [0] * len(p.holders)  # lines of clusters in each holder; a holder comes after the one around it
     for k in np.flatnonzero(on):
-        count[lines[k][2]] += 1
+        count[lines[k].holder] += 1
     for h in range(len(count) - 1, 0, -1):
         count[p.holders[h][0]] += count[h]
     best = inner = max(h for h, n in enumerate(count) if n == count[0])
     while best > 0 and p.holders[best][1] not in ("article", "main"):
         best = p.holders[best][0]
+    beside = set() if best > 0 else {p.holders[inner][0]}
     best = best if best > 0 else inner
     under = [h == best for h in range(len(count))]
     for h in range(best + 1, len(count)):
         under[h] = under[p.holders[h][0]]
-    kept = [k for k in np.flatnonzero(inside).tolist() if under[lines[k][2]]]
+    kept = [k for k in np.flatnonzero(inside).tolist() if under[lines[k].holder]]
     if p.holders[best][1] in ("", "body"):
         first, last = np.flatnonzero(on)[[0, -1]]
         kept = [k for k in kept if first <= k <= last]
-    titles = [k for k in range(kept[0]) if lines[k][4] and inside[k]]
-    if titles and not any(lines[k][4] for k in kept):
-        kept = [titles[-1], *kept]
-    return [lines[k][0] for k in kept]
+        beside |= {lines[first].holder, lines[last].holder}
+    return [lines[k].text for k in widened(p, kept, inside, beside)]
 
 
 def main_text(html: str | None) -> str:

@@ -471,7 +471,7 @@ def test_html_regions_come_from_the_ratio(monkeypatch):
     """On pages without roles the ratio finds every block of the article and nothing else; without it, no page is right."""
     pages = list(soup(np.random.default_rng(4), 60))
     assert all(html_extract.blocks_of(h) == b for h, b in pages)
-    monkeypatch.setattr(html_extract, "running", lambda lines: np.ones(len(lines), bool))
+    monkeypatch.setattr(html_extract, "running", lambda lines: (np.ones(len(lines), bool),) * 2)
     assert not any(html_extract.blocks_of(h) == b for h, b in pages)
 
 
@@ -483,6 +483,68 @@ def test_html_keeps_what_only_looks_like_a_part():
     assert html_extract.blocks_of(f"<body><article>{inner}{gone}</article><div class='site-header'>Top</div></body>") == want
 
 
+LONG = [f"Paragraph {k} runs on with enough words to be the text of an article, and it says one thing more, as such texts do." for k in range(6)]
+
+
+def test_html_keeps_short_lines_beside_the_region():
+    """Without article or main: a byline after the headline, a short first and last paragraph; menus, footers and teasers around stay out."""
+    p = "".join(f"<p>{x}</p>" for x in LONG)
+    menu, foot = "<div><a href=a>Home</a></div><div><a href=b>News</a></div>", "<ul><li><a href=c>About us</a></li></ul><div>All rights reserved</div>"
+    blocks = html_extract.blocks_of
+    assert blocks(f"<body>{menu}<h1>Head</h1><p>By A. Writer</p>{p}<p>The end.</p>{foot}</body>") == ["Head", "By A. Writer", *LONG, "The end."]
+    assert blocks(f"<body>{menu}<h1>Head</h1><div>By A. Writer</div><div>{p}</div><p>The end.</p>{foot}</body>") == ["Head", "By A. Writer", *LONG, "The end."]
+    assert blocks(f"<body><nav>Menu</nav><p>To begin with.</p>{p}<p>The end.</p><footer>Foot</footer><p>Imprint</p></body>") == ["To begin with.", *LONG, "The end."]
+    assert blocks(f"<body>{menu}<div><h1>Head</h1></div><p>By A. Writer</p><article>{p}<p>The end.</p></article><p>Imprint</p></body>") == ["Head", "By A. Writer", *LONG, "The end."]
+    assert blocks(f"<body><h1>Head</h1><p>By <a href=x>A. Writer</a> of this paper</p>{p}<div><p>Another site's note</p></div></body>") == ["Head", "By A. Writer of this paper", *LONG]
+
+
+def test_html_parts_that_are_the_articles_own():
+    """Single words that may name something of the article: kept with running text or as lists, gone as links and buttons; comments, adverts and forms are gone in any case."""
+    p = "".join(f"<p>{x}</p>" for x in LONG)
+    for part, want in (
+        (f"<div class=share><p>{LONG[0]}</p></div>", [LONG[0]]),
+        (f"<div id=related><p>{LONG[0]}</p><p>{LONG[1]}</p></div>", LONG[:2]),
+        ("<ul class=menu><li>Soup</li><li>Bread</li></ul>", ["Soup", "Bread"]),
+        ("<ul class=menu><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul>", []),
+        ("<div class=share><a href=a>Send</a> <a href=b>Post</a></div>", []),
+        ("<div class=share><button>Send</button></div>", []),
+        (f"<div class=related><p><a href=a>{LONG[0]}</a></p></div>", []),
+        (f"<div class=comments><p>{LONG[0]}</p></div><div class=ad><p>{LONG[1]}</p></div><div class=related-posts><p>{LONG[2]}</p></div><form class=search><p>{LONG[3]}</p></form>", []),
+    ):
+        assert html_extract.blocks_of(f"<body><article><h1>Head</h1>{p}{part}{p}</article></body>") == ["Head", *LONG, *want, *LONG], part
+    assert html_extract.blocks_of(f"<body><div id=menu><p>{LONG[0]}</p></div><article>{p}</article></body>") == LONG
+
+
+def slow_running(lines):
+    """The rule of running text line by line: ratios, their Gaussian means, and clusters cut back to lines above the threshold."""
+    ratio = [len(x.text) / max(1, x.tags) for x in lines]
+    g = lambda d: math.exp(-0.5 * (d / html_extract.SIGMA) ** 2) if abs(d) <= math.ceil(3 * html_extract.SIGMA) else 0.0
+    n = len(lines)
+    soft = [sum(g(i - j) * ratio[j] for j in range(n)) / sum(g(i - j) for j in range(n)) for i in range(n)]
+    least = min(float(np.std(soft)), float(np.mean(soft)))
+    on = [s >= least for s in soft]
+    for step in (range(n), range(n - 1, -1, -1)):
+        cutting = True
+        for k in step:
+            if not soft[k] >= least:
+                cutting = True
+            elif cutting and ratio[k] < least:
+                on[k] = False
+            else:
+                cutting = False
+    return on
+
+
+def test_html_running_text_equals_a_slow_version():
+    rng = np.random.default_rng(8)
+    for html, _ in soup(rng, 40):
+        p = html_extract.Lines()
+        p.feed(html)
+        p.close()
+        p.flush()
+        assert html_extract.running(p.lines)[0].tolist() == slow_running(p.lines)
+
+
 def test_html_odd_pages(spark):
     """Empty tables, repeated rows, null columns, very long and deeply nested pages in time that grows with their size."""
     import time
