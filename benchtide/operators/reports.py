@@ -28,8 +28,8 @@ def dashboard(folders: DataFrame, runs: DataFrame, nodes: DataFrame, changes: Da
 KINDS = {"ft": "FIXED_THRESHOLD", "rd": "RELATIVE_DIFFERENCE", "sd": "STDDEV_ANOMALY", "ed": "EDIVISIVE"}
 
 
-def change_text(name: Column, kind: Column, details: Mapping[str, Column], fingerprint: Column) -> Column:
-    """One line on a change: the detector's name and kind, its details, and the fingerprint where there is one. details: value, bound, direction, ratio, deviations, magnitude, pvalue, as far as they are known; a ? stands for others."""
+def change_text(name: Column, kind: Column, details: Mapping[str, Column], fingerprint: Column, data: Column | None = None, longest: int = 80) -> Column:
+    """One line on a change: the detector's name and kind, its details, and the fingerprint where there is one. details: value, bound, direction, ratio, deviations, magnitude, pvalue, as far as they are known; a ? stands for others. data: the change's JSON; of other kinds, known or not, its first `longest` characters are shown, and where it is null or no object every kind has no data."""
 
     def shown(key: str, form: str | None = None) -> Column:
         x = details.get(key)
@@ -42,8 +42,10 @@ def change_text(name: Column, kind: Column, details: Mapping[str, Column], finge
         .when(kind == "rd", F.concat(F.lit("ratio="), shown("ratio", "%.1f%%")))
         .when(kind == "sd", F.concat(shown("direction"), F.lit(" ("), shown("deviations"), F.lit(" deviations)")))
         .when(kind == "ed", F.concat(F.lit("magnitude="), shown("magnitude", "%.2f"), F.lit(", p-value="), shown("pvalue", "%.4f")))
-        .otherwise("no data")
+        .otherwise("no data" if data is None else F.when(F.length(data) > longest, F.concat(data.substr(1, longest), F.lit("..."))).otherwise(data))
     )
+    if data is not None:
+        detail = F.when(F.coalesce(F.ltrim(data).startswith("{"), F.lit(False)), detail).otherwise("no data")
     known = F.coalesce(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[kind], kind, F.lit("unknown"))
     return F.concat(F.coalesce(name, F.lit("unknown")), F.lit(" ("), known, F.lit("): "), detail, F.when(fingerprint.isNotNull(), F.concat(F.lit(", fingerprint="), fingerprint)).otherwise(""))
 
@@ -68,6 +70,40 @@ def storage_profile(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> Da
     return reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.coalesce(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0)).cast("long")), F.lit(0)).alias("data_bytes")) for name, (df, columns) in tables.items()])
 
 
+def stored_bytes(df: DataFrame) -> DataFrame:
+    """Files and bytes of what a frame reads, from the files' metadata: no column is read. A frame without files has none."""
+    files = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).groupBy("path").agg(F.max("size").alias("size"))
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("stored_bytes"))
+
+
+def storage_summary(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], raw: Sequence[str]) -> DataFrame:
+    """The profile of each table with its files and stored bytes, a row `total` for all, and there the ratio of all text to that of the raw tables."""
+    parts = [storage_profile({k: t}).crossJoin(stored_bytes(t[0])) for k, t in tables.items()]  # of two frames of one row each
+    rows = reduce(DataFrame.unionByName, parts)
+    total = rows.groupingSets([["name"], []], "name").agg(*[F.sum(c).alias(c) for c in ("n_rows", "data_bytes", "files", "stored_bytes")], F.sum(F.when(F.col("name").isin(*raw), F.col("data_bytes"))).alias("_raw"))
+    ratio = F.when(F.col("name").isNull() & (F.col("_raw") > 0), F.round(F.col("data_bytes") / F.col("_raw"), 1))
+    return total.select(F.coalesce("name", F.lit("total")).alias("name"), "n_rows", "data_bytes", "files", "stored_bytes", ratio.alias("overhead"))
+
+
+def reconcile_summary(compared: DataFrame, label: str = "label", dataset: str = "pos") -> DataFrame:
+    """Overall, by label and by dataset in one aggregation: comparisons, matching (exact, rounding), mismatched (stubs), missing, the rate in per cent, and whether a group is perfect or has problems. scope: overall, label or dataset; key: of the group."""
+    kinds = {k: F.count_if(F.col("result") == k.upper()) for k in ("exact", "rounding", "stub", "mismatch", "missing")}
+    found = compared.groupingSets([[], [label], [dataset]], label, dataset).agg(F.grouping_id().alias("_at"), F.count("*").alias("n"), *[x.alias(k) for k, x in kinds.items()])
+    matching = F.col("exact") + F.col("rounding")
+    return found.select(
+        F.when(F.col("_at") == 3, "overall").when(F.col("_at") == 1, "label").otherwise("dataset").alias("scope"),
+        F.when(F.col("_at") == 1, F.col(label).cast("string")).when(F.col("_at") == 2, F.col(dataset).cast("string")).alias("key"),
+        "n", matching.alias("matching"), "exact", "rounding", (F.col("stub") + F.col("mismatch")).alias("mismatched"), F.col("stub").alias("stubs"), "missing",
+        F.round(100 * matching / F.col("n"), 1).alias("rate"),
+        F.when(matching == F.col("n"), "perfect").otherwise("problems").alias("state"),
+    )
+
+
+def node_counts(nodes: DataFrame, by: str = "folder") -> DataFrame:
+    """Nodes of each folder by type, and in all (type null); nodes that detect changes are counted apart."""
+    return nodes.groupingSets([[by, "type"], [by]], by, "type").agg(F.count("*").alias("nodes"), F.count_if(F.col("type").isin(*KINDS)).alias("detecting"))
+
+
 def match_rates(compared: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
     """Share of matching rows, and problems, of each group."""
     good = F.col("result").isin("EXACT", "ROUNDING")

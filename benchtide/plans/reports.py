@@ -140,6 +140,16 @@ def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.storage_profile({n: (table(spark, sf_dir, n), c) for n, c in _TEXTS.items()}).orderBy(F.col("data_bytes").desc())
 
 
+_COMPUTED = ("orders", "lineitem", "events", "documents", "benchmark")
+
+
+@query("g10_storage_ratio", "WITH p AS (" + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, coalesce(sum({' + '.join(f'coalesce(strlen({c}), 0)' for c in _TEXTS[t])}), 0)::BIGINT AS data_bytes, 1 AS files FROM {t}" for t in _COMPUTED) + """)
+SELECT coalesce(name, 'total') AS name, sum(n_rows)::BIGINT AS n_rows, sum(data_bytes)::BIGINT AS data_bytes, sum(files)::BIGINT AS files, CASE WHEN name IS NULL THEN round(sum(data_bytes) / sum(data_bytes) FILTER (name IN ('documents', 'benchmark')), 1)::DOUBLE END AS overhead FROM p GROUP BY GROUPING SETS ((name), ())""")
+def g10_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of one file each here; their stored bytes are held against the files' sizes in the tests, as SQL doesn't see them."""
+    return reports.storage_summary({n: (table(spark, sf_dir, n), _TEXTS[n]) for n in _COMPUTED}, raw=("documents", "benchmark")).drop("stored_bytes")
+
+
 @query("u3_union_of_profiles", "SELECT count(*) AS tables, sum(n)::BIGINT AS n_rows FROM (SELECT count(*) AS n FROM region UNION ALL SELECT count(*) FROM nation UNION ALL SELECT count(*) FROM customer UNION ALL SELECT count(*) FROM supplier)")
 def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.storage_profile({n: (table(spark, sf_dir, n), []) for n in ("region", "nation", "customer", "supplier")}).agg(F.count("*").alias("tables"), F.sum("n_rows").alias("n_rows"))
@@ -171,15 +181,20 @@ def g11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.change_summary(e, detect.fixed_threshold(e, 1.0, 20.0).withColumn("detail", text))
 
 
-@query("p31_change_text", """SELECT event_id, event_type || CASE event_id % 5 WHEN 0 THEN ' (FIXED_THRESHOLD): value=' || value || ' above bound 20.0' WHEN 1 THEN ' (RELATIVE_DIFFERENCE): ratio=' || printf('%.1f', value) || '%' WHEN 2 THEN ' (STDDEV_ANOMALY): above (' || value || ' deviations)'
-WHEN 3 THEN ' (EDIVISIVE): magnitude=' || printf('%.2f', value) || ', p-value=0.0500' ELSE ' (jq): no data' END || CASE WHEN event_id % 3 = 0 THEN ', fingerprint={"user":' || user_id || '}' ELSE '' END AS detail FROM (SELECT event_id, event_type, user_id, floor(value * 2) / 2 AS value FROM events)""")
+@query("p31_change_text", """SELECT event_id, event_type || CASE WHEN event_id % 11 = 0 THEN ' (' || ['FIXED_THRESHOLD', 'RELATIVE_DIFFERENCE', 'STDDEV_ANOMALY', 'EDIVISIVE', 'jq', 'unknown'][(event_id % 6 + 1)::INT] || '): no data'
+WHEN event_id % 6 = 0 THEN ' (FIXED_THRESHOLD): value=' || value || ' above bound 20.0' WHEN event_id % 6 = 1 THEN ' (RELATIVE_DIFFERENCE): ratio=' || printf('%.1f', value) || '%' WHEN event_id % 6 = 2 THEN ' (STDDEV_ANOMALY): above (' || value || ' deviations)'
+WHEN event_id % 6 = 3 THEN ' (EDIVISIVE): magnitude=' || printf('%.2f', value) || ', p-value=0.0500' ELSE CASE event_id % 6 WHEN 4 THEN ' (jq): ' ELSE ' (unknown): ' END || CASE WHEN strlen(j) > 80 THEN left(j, 80) || '...' ELSE j END END || CASE WHEN event_id % 3 = 0 THEN ', fingerprint={"user":' || user_id || '}' ELSE '' END AS detail
+FROM (SELECT event_id, event_type, user_id, floor(value * 2) / 2 AS value, '{"type":"' || event_type || '","user":' || user_id || ',"note":"' || repeat('ab', (event_id % 40)::INT) || '"}' AS j FROM events)""")
 def p31(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kinds, of a detector, of another node and of none, over objects short and long and over what is no object."""
     e = table(spark, sf_dir, "events").withColumn("value", F.floor(F.col("value") * 2) / 2)
-    kind = F.element_at(F.array(*map(F.lit, ("ft", "rd", "sd", "ed", "jq"))), (F.col("event_id") % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("ft", "rd", "sd", "ed", "jq", None))), (F.col("event_id") % 6 + 1).cast("int"))
     x = F.col("value")
     details = {"value": x, "bound": F.lit(20.0), "direction": F.lit("above"), "ratio": x, "deviations": x, "magnitude": x, "pvalue": F.lit(0.05)}
     fp = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("user_id").alias("user"))))
-    return e.select("event_id", reports.change_text(F.col("event_type"), kind, details, fp).alias("detail"))
+    json = F.to_json(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user"), F.repeat(F.lit("ab"), (F.col("event_id") % 40).cast("int")).alias("note")))
+    data = F.when(F.col("event_id") % 22 == 0, F.lit("[1]")).when(F.col("event_id") % 11 != 0, json)
+    return e.select("event_id", reports.change_text(F.col("event_type"), kind, details, fp, data).alias("detail"))
 
 
 @query("g12_shown", "SELECT count(*) AS n, least(count(*), 50) AS showing FROM orders")
@@ -255,9 +270,9 @@ def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).filter("dispatch").groupBy("folder").agg(F.count("*").alias("n"))
 
 
-@query("s11_change_outbox", f"WITH {_CH} SELECT folder, run_id, detector, count(*) AS n_changes FROM ch GROUP BY 1, 2, 3")
+@query("s11_change_outbox", f"""WITH {_CH} SELECT folder, run_id, detector, count(*) AS n_changes, '[' || string_agg('{{"change_id":' || change_id || ',"detail":"' || detail || '"}}', ',' ORDER BY change_id) || ']' AS payload FROM ch GROUP BY 1, 2, 3""")
 def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outbox.payloads(_changes(spark, sf_dir)).select("folder", "run_id", "detector", "n_changes")
+    return outbox.payloads(_changes(spark, sf_dir))
 
 
 @query("j13_notification_routing", f"WITH {_CH}, cfg AS (SELECT DISTINCT event_type AS folder, 'ch' || (user_id % 4) AS channel, user_id % 4 < 3 AS enabled FROM events) SELECT change_id, channel FROM ch JOIN cfg USING (folder) WHERE dispatch AND enabled")
