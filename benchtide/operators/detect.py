@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .series import BLOCK, in_blocks, newest
+from .lineage import saved
+from .series import BLOCK, FEW, HOT, hot, in_blocks, newest, order, placed
 
 
 def fingerprint_filter(df: DataFrame, predicate: Column | str | None) -> DataFrame:
@@ -32,7 +33,7 @@ def fixed_threshold(df: DataFrame, least: float | None = None, most: float | Non
     return df.withColumns({"bound": bound, "direction": direction}).filter(F.col("direction").isNotNull())
 
 
-def relative_difference(df: DataFrame, filter: str = "mean", threshold: float = 0.2, window: int = 1, min_previous: int = 5, by: Sequence[str] = ("fingerprint",), domain: str | None = "domain", value: str = "range", ident: str = "value_id", block: int = BLOCK) -> DataFrame:
+def relative_difference(df: DataFrame, filter: str = "mean", threshold: float = 0.2, window: int = 1, min_previous: int = 5, by: Sequence[str] = ("fingerprint",), domain: str | None = "domain", value: str = "range", ident: str = "value_id", block: int = BLOCK, most: int = HOT) -> DataFrame:
     """Every point whose window differs from the baseline before it by more than the threshold.
 
     The frame is the last window + P values up to the point, P = max(window, min_previous); the baseline is the mean of
@@ -42,10 +43,10 @@ def relative_difference(df: DataFrame, filter: str = "mean", threshold: float =
     if domain is None:
         return df.limit(0).select("*", *[F.lit(None).cast("double").alias(c) for c in ("previous", "last", "value", "ratio")])
     previous = max(window, min_previous)
-    w = Window.partitionBy(*by, "_block").orderBy("_place")
+    w = Window.partitionBy(*by, "_block").orderBy(*order(domain, ident))
     base, test = w.rowsBetween(-(previous + window - 1), -window), w.rowsBetween(-(window - 1), 0)
     one = {"min": F.min, "max": F.max, "mean": F.avg}.get(filter, F.sum)
-    out = in_blocks(df, previous + window - 1, by, domain, ident, block).withColumns(
+    out = in_blocks(df, previous + window - 1, by, domain, ident, block, most).withColumns(
         {
             "_n": F.count(value).over(w.rowsBetween(-(previous + window - 1), 0)),
             "_mean": F.avg(value).over(base),
@@ -56,11 +57,16 @@ def relative_difference(df: DataFrame, filter: str = "mean", threshold: float =
     out = out.withColumn("_ratio", F.col("value") / F.col("_mean")).filter((F.col("_ratio") < 1 - threshold) | (F.col("_ratio") > 1 + threshold))
     changed = F.filter(F.reverse("_old"), lambda x: F.when(F.col("_ratio") < 1, x < F.col("_mean")).otherwise(x > F.col("_mean")))
     out = out.withColumns({"previous": F.element_at("_old", window), "last": F.coalesce(F.try_element_at(changed, F.lit(1)), F.element_at("_old", 1)), "ratio": 100 * (F.col("_ratio") - 1)})
-    return out.drop("_n", "_mean", "_old", "_ratio", "_place", "_block", "_own")
+    return out.drop("_n", "_mean", "_old", "_ratio", "_block", "_own")
 
 
-def cool_down(changes: DataFrame, points: int, by: Sequence[str] = ("fingerprint",), place: str = "place") -> DataFrame:
-    """After a change the next `points` places of its series are skipped, from the first change on. Only flagged rows are dealt, and a pass over them in order remembers one place."""
+def cool_down(changes: DataFrame, points: int, by: Sequence[str] = ("fingerprint",), place: str = "place", most: int = HOT) -> DataFrame:
+    """After a change the next `points` places of its series are skipped, from the first change on. Places are whole numbers, each once in its series.
+
+    Of series with up to `most` changes a task passes over them in order and remembers one place. A longer one is many tasks:
+    each change knows the next one that would be kept after it, at most points + 1 changes on, and pointers that double in
+    length reach from the first kept change to all others in as many rounds as their number has binary digits.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, free = None, -math.inf
@@ -74,19 +80,50 @@ def cool_down(changes: DataFrame, points: int, by: Sequence[str] = ("fingerprint
                     free = at + points + 1
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return changes.repartition(*by).sortWithinPartitions(*by, place).mapInArrow(keep, changes.schema)
-
-
-def deviation(df: DataFrame, window: int = 40, deviations: float = 4.0, direction: str = "BOTH", min_points: int = 10, by: Sequence[str] = ("fingerprint",), domain: str | None = "domain", value: str = "range", ident: str = "value_id", block: int = BLOCK) -> DataFrame:
+    def passed(df: DataFrame) -> DataFrame:
+        return df.repartition(*by).sortWithinPartitions(*by, place).mapInArrow(keep, df.schema)
+
+    keys = saved(hot(changes, by, most))
+    if keys.isEmpty():
+        return passed(changes)
+    keys = F.broadcast(keys) if keys.count() <= FEW else keys
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    long, short = (changes.alias("a").join(keys.alias("b"), same, how) for how in ("left_semi", "left_anti"))
+    return passed(short).unionByName(_leaping(long, points, by, place))
+
+
+def _leaping(changes: DataFrame, points: int, by: Sequence[str], place: str, block: int = BLOCK) -> DataFrame:
+    """The kept changes of long series, by doubling pointers over (by, change's number)."""
+    moved = changes.withColumnRenamed(place, "_at")
+    rows = saved(placed(moved, by, "_at", "_at").withColumnRenamed("place", "_nth").withColumnRenamed("_at", place))
+    size = max(block, points + 1)
+    home, early = F.expr(f"_nth div {size}"), F.expr(f"_nth % {size}") <= points
+    spread = rows.select(*by, "_nth", F.col(place).alias("_p")).withColumn("_block", F.explode(F.when(early, F.array(home, home - 1)).otherwise(F.array(home)))).withColumn("_own", F.col("_block") == home)
+    ahead = Window.partitionBy(*by, "_block").orderBy("_nth").rowsBetween(1, points + 1)
+    later = F.filter(F.collect_list(F.struct(F.col("_p"), F.col("_nth").alias("n"))).over(ahead), lambda x: x["_p"] > F.col("_p") + points)
+    links = saved(spread.withColumn("_next", F.try_element_at(later, F.lit(1))["n"]).filter("_own").select(*by, "_nth", "_next", (F.col("_nth") == 1).alias("_on")))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    longest = rows.agg(F.max("_nth")).first()[0] or 1
+    for _ in range(max(1, longest.bit_length())):
+        a, b = links.alias("a"), links.alias("b")
+        reached = a.filter("_on AND _next IS NOT NULL").select(*by, F.col("_next").alias("_nth")).withColumn("_hit", F.lit(True))
+        doubled = a.join(b, [*same, F.col("a._next") == F.col("b._nth")], "left").select(*[F.col(f"a.{c}") for c in by], "a._nth", F.col("b._next").alias("_next"), "a._on")
+        on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*by, "_nth")]
+        links = saved(doubled.alias("x").join(reached.alias("y"), on, "left").select(*[F.col(f"x.{c}") for c in by], "x._nth", "x._next", (F.col("x._on") | F.coalesce(F.col("y._hit"), F.lit(False))).alias("_on")))
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_nth")]
+    return rows.alias("a").join(links.filter("_on").alias("b"), on, "left_semi").select(*[F.col(f"`{c}`") for c in changes.columns])
+
+
+def deviation(df: DataFrame, window: int = 40, deviations: float = 4.0, direction: str = "BOTH", min_points: int = 10, by: Sequence[str] = ("fingerprint",), domain: str | None = "domain", value: str = "range", ident: str = "value_id", block: int = BLOCK, most: int = HOT) -> DataFrame:
     """Values further than `deviations` sample standard deviations from the mean of the `window` values before them. Rows without a number don't count."""
-    before = Window.partitionBy(*by, "_block").orderBy("_place").rowsBetween(-window, -1)
-    out = in_blocks(df.filter(F.col(value).isNotNull()), window, by, domain, ident, block).withColumns({"mean": F.avg(value).over(before), "stddev": F.stddev_samp(value).over(before), "_n": F.count(value).over(before)})
+    before = Window.partitionBy(*by, "_block").orderBy(*order(domain, ident)).rowsBetween(-window, -1)
+    out = in_blocks(df.filter(F.col(value).isNotNull()), window, by, domain, ident, block, most).withColumns({"mean": F.avg(value).over(before), "stddev": F.stddev_samp(value).over(before), "_n": F.count(value).over(before)})
     out = out.filter(F.col("_own") & (F.col("_n") + 1 >= min_points) & (F.col("_n") >= 2))
     out = out.withColumn("stddev", F.when(F.col("stddev") == 0, F.greatest(F.abs("mean") * 0.001, F.lit(1e-10))).otherwise(F.col("stddev")))
     high, low = F.col("mean") + deviations * F.col("stddev"), F.col("mean") - deviations * F.col("stddev")
     side = F.when((F.col(value) > high) & F.lit(direction in ("UPPER", "BOTH")), "above").when((F.col(value) < low) & F.lit(direction in ("LOWER", "BOTH")), "below")
     out = out.withColumns({"direction": side, "threshold": F.when(side == "above", high).otherwise(low), "deviations": F.abs(F.col(value) - F.col("mean")) / F.col("stddev")})
-    return out.filter(F.col("direction").isNotNull()).drop("_n", "_place", "_block", "_own")
+    return out.filter(F.col("direction").isNotNull()).drop("_n", "_block", "_own")
 
 
 def hazard(before: Column, after: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,21 +31,38 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     return saved(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
 
 
+#: Rounds of a closure after which pairs seen before are dropped, and the growth of a round's pairs above which repeats are.
+LOOK_BACK, GROWTH = 8, 3
+
+
 def closure(edges: DataFrame, start: DataFrame, up: bool = False, with_start: bool = False) -> DataFrame:
-    """(root, id): all that is reached from each of start(id), along the edges or up against them. The edges are saved once; each round joins the new pairs only, and pairs seen before are dropped, so diamonds don't multiply."""
+    """(root, id): all that is reached from each of start(id), along the edges or up against them. The edges are saved once, and each round joins the newest pairs only.
+
+    Repeats go at the end, in one aggregation: most graphs are shallow, and a round that drops repeats or holds its pairs against
+    all before costs more than the join. But where a round's pairs are GROWTH times the last one's its repeats go at once, so
+    diamonds don't multiply; and every LOOK_BACK rounds pairs that were seen before go, so loops end.
+    """
     a, b = ("child_id", "parent_id") if up else ("parent_id", "child_id")
     step = dealt(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "id")
-    front = saved(start.select(F.col("id").alias("root"), "id").distinct())
-    seen, first, rounds = front, front, 0
+    first = front = saved(start.select(F.col("id").alias("root"), "id").distinct())
+    parts, size, rounds = [], front.count(), 0
     while True:
-        new = front.join(step, "id").select("root", F.col("next").alias("id")).distinct().join(seen, ["root", "id"], "left_anti")
-        front, rounds = saved(new), rounds + 1
-        if front.isEmpty():
+        rounds += 1
+        front = saved(front.join(step, "id").select("root", F.col("next").alias("id")))
+        n = front.count()
+        if n and n > GROWTH * size:
+            front = saved(front.distinct())
+            n = front.count()
+        if n and rounds % LOOK_BACK == 0:
+            seen = saved(reduce(DataFrame.unionAll, [first, *parts]).distinct())
+            front = saved(front.distinct().join(seen, ["root", "id"], "left_anti"))
+            parts, n = [seen], front.count()
+        if not n:
             break
-        seen = seen.unionAll(front)  # of checkpoints, so the plan stays short; now and then they become one
-        if rounds % 8 == 0:
-            seen = saved(seen.coalesce(max(1, seen.rdd.getNumPartitions() // 8)))
-    return seen if with_start else seen.join(first, ["root", "id"], "left_anti")
+        parts.append(front)
+        size = n
+    seen = reduce(DataFrame.unionAll, parts, first).distinct()
+    return seen if with_start else seen.join(first, ["root", "id"], "left_anti") if parts else seen.limit(0)
 
 
 def children(edges: DataFrame, values: DataFrame, node: object | None = None) -> DataFrame:
@@ -64,19 +82,21 @@ def with_outside_parent(edges: DataFrame, doomed: DataFrame) -> DataFrame:
 
 
 def cascade(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(id) of all that goes when start(id) goes: a child goes with its last parent. A round looks at the children of what went in the round before, and counts the parents that they have lost."""
+    """(id) of all that goes when start(id) goes: a child goes with its last parent. A round looks at the children of what went in the round before; of children that have lost some of their parents only how many is kept."""
     edges = dealt(edges.select("child_id", "parent_id").distinct(), "parent_id")
     parents = dealt(edges.groupBy("child_id").agg(F.count("*").alias("parents")), "child_id")
-    gone = front = saved(start.select("id").distinct())
-    lost = None
+    first = front = saved(start.select("id").distinct())
+    gone, pending = [first], None
     while True:
-        hit = saved(edges.join(front.select(F.col("id").alias("parent_id")), "parent_id").groupBy("child_id").agg(F.count("*").alias("lost")))
-        if hit.isEmpty():
-            return gone
-        lost = hit if lost is None else lost.unionAll(hit)
-        total = lost.join(hit.select("child_id"), "child_id", "left_semi").groupBy("child_id").agg(F.sum("lost").alias("lost"))
-        front = saved(total.join(parents, "child_id").filter("lost = parents").select(F.col("child_id").alias("id")).join(gone, "id", "left_anti"))
-        gone = gone.unionAll(front)
+        hit = edges.join(front.select(F.col("id").alias("parent_id")), "parent_id").groupBy("child_id").agg(F.count("*").alias("lost"))
+        if pending is not None:
+            hit = pending.unionAll(hit).groupBy("child_id").agg(F.sum("lost").alias("lost"))
+        both = saved(hit.join(parents, "child_id"))
+        front = both.filter("lost = parents").select(F.col("child_id").alias("id")).join(first, "id", "left_anti")
+        if front.isEmpty():
+            return reduce(DataFrame.unionAll, gone)
+        gone.append(front)
+        pending = both.filter("lost < parents").select("child_id", "lost")
 
 
 def subtree(edges: DataFrame, start: DataFrame, protected: DataFrame | None = None) -> DataFrame:

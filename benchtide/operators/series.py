@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from benchtide.operators.lineage import saved
 
-#: Rows in a block of a series, see in_blocks.
-BLOCK = 10_000
+#: Rows in a block of a series, and rows of a series up to which one task takes it whole; see in_blocks.
+BLOCK, HOT = 10_000, 1_000_000
+#: Keys of hot series that may be broadcast.
+FEW = 100_000
 
 
 def order(domain: str | None = "domain", ident: str = "value_id", created: str = "created_at", descending: bool = False) -> list[Column]:
@@ -48,25 +50,52 @@ def placed(df: DataFrame, by: Sequence[str] = ("fingerprint",), domain: str | No
     return joined.select("a.*", (F.col("_rank") - F.col("_ahead")).alias("place")).drop("_rank")
 
 
-def in_blocks(df: DataFrame, before: int, by: Sequence[str] = ("fingerprint",), domain: str | None = "domain", ident: str = "value_id", block: int = BLOCK) -> DataFrame:
-    """df for windows that look back `before` rows at most, in blocks of the common order of all series, so that a long series is many groups and a group has a bounded size.
+def hot(df: DataFrame, by: Sequence[str], most: int) -> DataFrame:
+    """The keys of series with more than `most` rows."""
+    return df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*by)
 
-    Windows go by (by..., _block) in the order of _place. The last `before` rows of a block stand at the head of the next
-    one too, where _own is false; they are there to be looked at only.
+
+def in_blocks(df: DataFrame, before: int, by: Sequence[str] = ("fingerprint",), domain: str | None = "domain", ident: str = "value_id", block: int = BLOCK, most: int = HOT) -> DataFrame:
+    """df for windows that look back `before` rows at most: windows go by (by..., _block) in the series' order, and where _own is false a row is there to be looked at only.
+
+    Series of up to `most` rows are one block each, and one shuffle by the window is all they cost. A longer one, of which
+    one task would hold too much, goes by blocks of `block` places in its order, so it is many groups of a bounded size; the
+    last `before` rows of a block stand at the head of the next one too.
     """
+    keys = saved(hot(df, by, most))
+    if keys.isEmpty():
+        return df.withColumns({"_block": F.lit(0).cast("long"), "_own": F.lit(True)})
+    keys = F.broadcast(keys) if keys.count() <= FEW else keys
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    long, short = (df.alias("a").join(keys.alias("b"), same, how) for how in ("left_semi", "left_anti"))
     size = max(block, before, 1)
-    rows = ranked(df, *by, *order(domain, ident), rank="_place")
+    rows = ranked(long, *by, *order(domain, ident), rank="_place")
     home, late = F.expr(f"(_place - 1) div {size}"), F.expr(f"(_place - 1) % {size}") >= size - before
     both = rows.withColumn("_block", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home))))
-    return both.withColumn("_own", F.col("_block") == home)
+    both = both.withColumn("_own", F.col("_block") == home).drop("_place")
+    return both.unionByName(short.withColumns({"_block": F.lit(-1).cast("long"), "_own": F.lit(True)}))
 
 
 def around(df: DataFrame, pivots: DataFrame, n: int, preceding: bool = True, by: Sequence[str] = ("fingerprint",), domain: str = "domain", ident: str = "value_id") -> DataFrame:
-    """For each pivot (by..., pivot) the n nearest rows with a domain up to it, or from it on; ties with it belong to them. rank counts from the pivot."""
-    side = F.col(domain) <= F.col("pivot") if preceding else F.col(domain) >= F.col("pivot")
-    near = [F.col(domain).desc(), F.col(ident).desc()] if preceding else [F.col(domain).asc(), F.col(ident).asc()]
-    w = Window.partitionBy(*by, "pivot").orderBy(*near)
-    return df.join(pivots, list(by)).filter(side).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    """For each pivot (by..., pivot) the n nearest rows with a domain up to it, or from it on; ties with it belong to them. rank counts from the pivot.
+
+    One pass in the order of each series gives rows their places and pivots theirs among them; then each pivot looks up the n
+    places next to its own. So the work is rows and pivots times n, not rows times pivots.
+    """
+    by = list(by)
+    rows = df.filter(F.col(domain).isNotNull())
+    kind = df.schema[domain].dataType
+    marks = pivots.select(*by, "pivot").distinct()
+    every = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all")
+    line = rows.select(*by, F.col(domain).alias("_d"), F.col(ident).alias("_i"), F.lit(True).alias("_row"), F.lit(None).cast(pivots.schema["pivot"].dataType).alias("pivot"), every)
+    line = line.unionByName(marks.select(*by, F.col("pivot").cast(kind).alias("_d"), F.lit(None).cast(df.schema[ident].dataType).alias("_i"), F.lit(False).alias("_row"), "pivot", F.lit(None).cast(df.schema).alias("_all")))
+    first = F.col("_row").desc() if preceding else F.col("_row").asc()  # of rows and pivots at one place
+    w = Window.partitionBy(*by).orderBy("_d", first, "_i").rowsBetween(Window.unboundedPreceding, 0)
+    lined = line.withColumn("_at", F.sum(F.col("_row").cast("long")).over(w))
+    step = F.sequence(F.lit(0), F.lit(n - 1)) if n > 0 else F.array().cast("array<int>")
+    near = lined.filter("NOT _row").select(*by, "pivot", F.col("_at").alias("_p"), F.explode(step).alias("_k"))
+    near = near.select(*by, "pivot", (F.col("_k") + 1).alias("rank"), (F.col("_p") - F.col("_k") if preceding else F.col("_p") + F.col("_k") + 1).alias("_at"))
+    return lined.filter("_row").select(*by, "_at", "_all").join(near, [*by, "_at"]).select("_all.*", "pivot", "rank")
 
 
 def newest(df: DataFrame, n: int, by: Sequence[str] = ("fingerprint",), domain: str | None = "domain", ident: str = "value_id") -> DataFrame:

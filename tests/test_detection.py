@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from benchtide.operators import detect, lineage, reconcile
-from benchtide.operators.series import in_blocks, placed
+from benchtide.operators.series import around, in_blocks, placed
 
 
 def series(spark, xs, fp="{}"):
@@ -53,7 +53,7 @@ def test_blocks_give_the_same_as_whole_series(spark, block):
             old, new = xs[k - 7 : k - 2], xs[k - 2 : k + 1]
             if None not in old + new and abs(np.mean(new) / np.mean(old) - 1) > 0.2:
                 want.add((fp, k))
-    got = detect.relative_difference(d, window=3, min_previous=5, block=block)
+    got = detect.relative_difference(d, window=3, min_previous=5, block=block, most=8)
     assert {(r.fingerprint, r.value_id) for r in got.collect()} == want and got.count() == len(want) > 10
     assert not [c for c in got.columns if c.startswith("_")]
     want = set()
@@ -63,13 +63,13 @@ def test_blocks_give_the_same_as_whole_series(spark, block):
             past = [x for _, x in ys[max(0, i - 10) : i]]
             if abs(ys[i][1] - np.mean(past)) > 1.5 * np.std(past, ddof=1):
                 want.add((fp, ys[i][0]))
-    got = detect.deviation(d, window=10, deviations=1.5, min_points=5, block=block)
+    got = detect.deviation(d, window=10, deviations=1.5, min_points=5, block=block, most=8)
     assert {(r.fingerprint, r.value_id) for r in got.collect()} == want and got.count() == len(want) > 5
     assert {(r.fingerprint, r.value_id): r.place for r in placed(d).collect()} == {(fp, k): k + 1 for fp, xs in all_xs.items() for k in range(len(xs))}
 
 
 def test_a_long_series_is_many_groups(spark):
-    d = in_blocks(series(spark, range(1000)), 9, block=100)
+    d = in_blocks(series(spark, range(1000)), 9, block=100, most=500)
     assert d.filter("_own").count() == 1000
     assert {r["count"] for r in d.groupBy("_block").count().collect()} == {100, 109, 9}
 
@@ -92,6 +92,40 @@ def test_cool_down(spark):
     assert sorted(r.value_id for r in detect.cool_down(d, 3).collect()) == [0, 4, 8]
 
 
+@pytest.mark.parametrize("points", [0, 1, 4, 30])
+def test_cool_down_of_hot_series(spark, points):
+    """A pass in order against doubled pointers, over dense runs, gaps and a short series beside."""
+    rng = np.random.default_rng(points)
+    rows = []
+    for fp, n in (("hot", 400), (None, 150), ("short", 5)):
+        at = np.cumsum(rng.choice([1, 1, 1, 2, 9], n)).tolist()
+        rows += [(fp, k, at[k]) for k in range(n)]
+    d = spark.createDataFrame(rows, "fingerprint string, value_id long, place long").repartition(3)
+    want = set()
+    for fp in ("hot", None, "short"):
+        free = -1
+        for f, _, at in rows:
+            if f == fp and at >= free:
+                want.add((fp, at))
+                free = at + points + 1
+    for most in (10_000, 20):
+        got = detect.cool_down(d, points, most=most)
+        assert got.columns == d.columns and {(r.fingerprint, r.place) for r in got.collect()} == want and got.count() == len(want)
+
+
+@pytest.mark.parametrize("preceding", [True, False])
+def test_rows_around_pivots(spark, preceding):
+    rng = np.random.default_rng(5)
+    rows = [(fp, k, float(k), None if k == 3 else int(rng.integers(0, 40))) for fp in "ab" for k in range(60)]
+    pivots = [(fp, p) for fp in "abc" for p in (-1, 0, 7, 20, 41)]
+    got = around(spark.createDataFrame(rows, "fingerprint string, value_id long, range double, domain long"), spark.createDataFrame(pivots, "fingerprint string, pivot long"), 5, preceding)
+    want = set()
+    for fp, p in pivots:
+        side = sorted(((d, i) for f, i, _, d in rows if f == fp and d is not None and (d <= p if preceding else d >= p)), reverse=preceding)
+        want |= {(fp, p, i, d, k + 1) for k, (d, i) in enumerate(side[:5])}
+    assert {(r.fingerprint, r.pivot, r.value_id, r.domain, r["rank"]) for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_stale_changes_stay_if_nothing_is_found(spark):
     s = series(spark, [1, 2, 3])
     assert detect.without_stale(s, s.limit(0), s).count() == 3
@@ -107,6 +141,29 @@ def test_closure_of_diamonds_and_cascade(spark):
     assert sorted(r.id for r in lineage.subtree(e, a).collect()) == list("abcd")
 
 
+def test_closure_of_loops_and_chains(spark):
+    """Long chains, loops and layered diamonds against a search from each start; a closure that looks back in every round, and one that never has to."""
+    rng = np.random.default_rng(6)
+    for pairs in ([(k + 1, k) for k in range(21)], [((k + 1) % 5, k) for k in range(5)] + [(9, 3), (10, 9)], [(10 * a + 10 + int(i), 10 * a + int(j)) for a in range(4) for i, j in rng.integers(0, 6, (20, 2))]):
+        e = spark.createDataFrame(pairs, "child_id int, parent_id int")
+        ids = sorted({x for p in pairs for x in p})
+        want = set()
+        for root in ids:
+            todo, seen = [root], set()
+            while todo:
+                x = todo.pop()
+                todo += [c for c, p in pairs if p == x and c not in seen]
+                seen |= {c for c, p in pairs if p == x}
+            want |= {(root, x) for x in seen if x != root}
+        start = spark.createDataFrame([(x,) for x in ids], "id int")
+        assert {(r.root, r.id) for r in lineage.closure(e, start).collect()} == want
+        assert {(r.id, r.root) for r in lineage.closure(e, start, up=True).collect()} == want
+        gone = {ids[0]}
+        while more := {c for c, _ in pairs if c not in gone and all(p in gone for d, p in pairs if d == c)}:
+            gone |= more
+        assert {r.id for r in lineage.cascade(e, start.limit(0).union(start.filter(F.col("id") == ids[0]))).collect()} == gone
+
+
 def test_reconcile(spark):
     left = spark.createDataFrame([(1, "a", 0, "5"), (1, "b", 0, "1.0000000001"), (1, "c", 0, "TBD"), (1, "d", 0, "9"), (1, "e", 0, "3")], "run_id int, label string, pos int, value string")
     right = spark.createDataFrame([(1, "a", '"5"'), (1, "b", "1.0"), (1, "d", "8")], "run_id int, label string, value string")
