@@ -99,6 +99,21 @@ def w6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.e_divisive(users, window=30, most_p=0.05)
 
 
+_LEVELS = """k AS (SELECT c_custkey, c_custkey % 4 AS kind, 100 + c_custkey % 50 AS level FROM customer), n AS (SELECT range AS i FROM range(30)),
+v AS (SELECT c_custkey, kind, i, level * CASE WHEN kind = 3 AND i >= 20 THEN 0.5 WHEN kind >= 2 AND i >= 10 THEN 2.0 ELSE 1.0 END + i % 3 AS x FROM k, n),
+s AS (SELECT c_custkey, kind, i // 10 AS part, avg(x) AS m FROM v WHERE kind >= 2 GROUP BY 1, 2, 3)"""
+
+
+@query("w6_known_changes", f"""WITH {_LEVELS} SELECT b.c_custkey::VARCHAR AS fingerprint, b.part * 10 AS index, round(CASE WHEN a.kind = 2 AND b.part = 1 THEN a.m ELSE a.m END, 6) AS mean_before,
+round(CASE WHEN b.kind = 2 THEN (SELECT avg(x) FROM v WHERE v.c_custkey = b.c_custkey AND i >= 10) ELSE b.m END, 6) AS mean_after FROM s a JOIN s b ON a.c_custkey = b.c_custkey AND b.part = a.part + 1 WHERE b.kind = 3 OR b.part = 1""")
+def w6_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series for each customer, flat, with too few values, with one step or with two, at places that are known."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("fingerprint"), (F.col("c_custkey") % 4).alias("kind"), (100 + F.col("c_custkey") % 50).alias("level"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("domain"))
+    factor = F.when((F.col("kind") == 3) & (F.col("domain") >= 20), 0.5).when((F.col("kind") >= 2) & (F.col("domain") >= 10), 2.0).otherwise(1.0)
+    s = c.filter("kind <> 1 OR domain < 3").select("fingerprint", (F.col("level") * factor + F.col("domain") % 3).cast("double").alias("range"), "domain", F.col("domain").cast("long").alias("value_id"))
+    return detect.e_divisive(s, window=5, most_p=0.001).select("fingerprint", F.col("index").cast("long").alias("index"), F.round("mean_before", 6).alias("mean_before"), F.round("mean_after", 6).alias("mean_after"))
+
+
 @query("w7_hazard", "SELECT o_orderpriority AS p, round(ln(avg(o_totalprice) FILTER (o_orderstatus = 'F') / avg(o_totalprice) FILTER (o_orderstatus = 'O')), 9) AS hazard FROM orders GROUP BY 1")
 def w7(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("p")).agg(F.avg(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))).alias("a"), F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("b"))

@@ -14,7 +14,7 @@ from benchtide.sources import documents as docs
 from benchtide.sources import spec, store
 
 from .catalog import query
-from .fixtures import ITEMS_SQL, NODES_SQL, ORDER_TYPE, event_documents, node_tables, order_documents, order_items, table, without_digits
+from .fixtures import ITEMS_SQL, NODES_SQL, ORDER_TYPE_SQL, event_documents, node_tables, order_documents, order_items, table, without_digits
 
 
 @query("s2_validated_ingest", "SELECT event_type AS folder, count(*) AS good, count(*) FILTER (event_id % 10 = 0) AS rejected FROM events GROUP BY 1")
@@ -212,7 +212,7 @@ def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(fp.alias("fingerprint")).agg(F.count("*").alias("n"))
 
 
-@query("p17_structure", f"SELECT DISTINCT o_orderpriority AS folder, '{ORDER_TYPE}' AS structure FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+@query("p17_structure", f"SELECT o_orderpriority AS folder, {ORDER_TYPE_SQL} AS structure FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.structure(order_documents(spark, sf_dir)).select("folder", without_digits(F.col("structure")).alias("structure"))
 

@@ -96,8 +96,18 @@ EDGES_SQL = """value_edges AS (
 ITEMS_SQL = """items AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS idx
   FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))"""
 
-#: The merged type of all order documents, without the digits of its numbers.
-ORDER_TYPE = "OBJECT<items: ARRAY<OBJECT<disc: DECIMAL, flag: STRING, line: BIGINT, part: BIGINT, price: DECIMAL, qty: DECIMAL, status: STRING, supp: BIGINT>>, order: OBJECT<cust: BIGINT, status: STRING, `total-price`: DECIMAL>>"
+_ITEM = {"disc": "l_discount", "flag": "l_returnflag", "line": "l_linenumber", "part": "l_partkey", "price": "l_extendedprice", "qty": "l_quantity", "status": "l_linestatus", "supp": "l_suppkey"}
+_ORDER = {"cust": "o_custkey", "status": "o_orderstatus", "`total-price`": "o_totalprice"}
+
+
+def _types_sql(fields: dict[str, str]) -> str:
+    """The fields' types as SQL finds them in the rows' JSON."""
+    kind = "CASE max(json_type(to_json({c}))) WHEN 'VARCHAR' THEN 'STRING' WHEN 'DOUBLE' THEN 'DECIMAL' ELSE 'BIGINT' END"
+    return " || ', ' || ".join(f"'{name}: ' || {kind.format(c=c)}" for name, c in fields.items())
+
+
+#: SQL for the merged type of order documents in a group of lineitem joined with orders, without the digits of its numbers.
+ORDER_TYPE_SQL = f"'OBJECT<items: ARRAY<OBJECT<' || {_types_sql(_ITEM)} || '>>, order: OBJECT<' || {_types_sql(_ORDER)} || '>>'"
 
 
 def without_digits(structure: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from benchtide.functions.evaluate import generator
 from benchtide.operators import lineage, maintenance
 from benchtide.plans.pipeline import Node, Pipeline, is_identity
 
@@ -154,6 +155,35 @@ def x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pipeline().run(table(spark, sf_dir, "lineitem"), only=("parts",)).groupBy(F.col("parts").alias("part")).agg(F.count("*").alias("n"))
 
 
+@query("x2_table_function", """SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, k::INT AS ordinal, CASE k WHEN 0 THEN l_quantity ELSE l_quantity * l_tax END AS value FROM lineitem, (VALUES (0), (1), (2)) v(k) WHERE k < l_linenumber % 3
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, -1, NULL FROM lineitem WHERE l_linenumber % 3 = 0""")
+def x2_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generator that yields none, one or two values a row, called laterally; rows without a value stay."""
+
+    def yields(line: int, quantity: float, tax: float):
+        for k in range(line % 3):
+            yield quantity if k == 0 else quantity * tax
+
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.lateralJoin(generator(yields, "double")(F.col("l_linenumber"), F.col("l_quantity"), F.col("l_tax")), on=F.lit(True), how="left")
+    return rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.coalesce("ordinal", F.lit(-1)).alias("ordinal"), "value")
+
+
+@query("x6_errors_as_data", """SELECT event_id AS run_id, CASE WHEN event_id % 4 NOT IN (0, 1) THEN 100 // (user_id % 5 + 1) + 0.5 END::DOUBLE AS half, CASE event_id % 4 WHEN 0 THEN 'RuntimeError: on ' || event_id WHEN 1 THEN 'ZeroDivisionError: by none' END AS half_error FROM events""")
+def x6_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python node that fails on some rows in two ways: null and the message there, the others untouched."""
+
+    def half(event: int, user: int) -> float:
+        if event % 4 == 0:
+            raise RuntimeError(f"on {event}")
+        if event % 4 == 1:
+            raise ZeroDivisionError("by none")
+        return 100 // (user % 5 + 1) + 0.5
+
+    p = Pipeline([Node("half", ("event_id", "user_id"), half, kind="double")])
+    return p.run(table(spark, sf_dir, "events")).select(F.col("event_id").alias("run_id"), "half", "half_error")
+
+
 @query("x4_identity_nodes", "SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, l_tax AS same, l_tax * 2 AS twice, 'alias,same' AS identities FROM lineitem")
 def x4(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Pipeline([Node("alias", ("l_tax",)), Node("same", ("alias",), lambda x: x), Node("twice", ("same",), lambda x: x * 2)])

@@ -5,26 +5,34 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from benchtide.functions.evaluate import generator, guarded
+
 
 @dataclass(frozen=True)
 class Node:
-    """fn gives a Column from the columns of its sources; no fn is an alias. many: the Column is an array, each element is a value."""
+    """fn gives a Column from the columns of its sources; no fn is an alias. many: the Column is an array, each element is a value.
+
+    kind: fn is a plain Python function of values instead, and this is the type of what it gives; rows on which it fails have
+    null, and the error in a column `<name>_error`. With many, it yields values, each of which is a row.
+    """
 
     name: str
     sources: Sequence[str] = ()
-    fn: Callable[..., Column] | None = None
+    fn: Callable[..., Any] | None = None
     many: bool = False
+    kind: str | None = None
 
 
 def is_identity(node: Node) -> bool:
     """Whether a node hands its only source on: it has no function, or one that returns the very column it is given."""
     if node.fn is None:
         return True
-    if len(node.sources) != 1 or node.many:
+    if len(node.sources) != 1 or node.many or node.kind:
         return False
     given = F.col(f"`{node.sources[0]}`")
     return node.fn(given) is given
@@ -81,10 +89,22 @@ class Pipeline:
             if only is None or n.name in only:
                 if n.name in df.columns:
                     df = df.drop(n.name)
-                df = df.select("*", F.explode_outer(bound(n)).alias(n.name)) if n.many else df.withColumn(n.name, bound(n))
+                df = evaluated(df, n)
         return df
 
 
+def evaluated(df: DataFrame, node: Node) -> DataFrame:
+    """df with a node's column."""
+    if node.kind is None:
+        return df.select("*", F.explode_outer(bound(node)).alias(node.name)) if node.many else df.withColumn(node.name, bound(node))
+    sources = [F.col(f"`{s}`") for s in node.sources]
+    if node.many:
+        rows = df.lateralJoin(generator(node.fn, node.kind)(*sources), on=F.lit(True), how="left")
+        return rows.withColumnRenamed("value", node.name).drop("ordinal")
+    rows = df.withColumn("_evaluated", guarded(node.fn, node.kind)(*sources))
+    return rows.withColumns({node.name: F.col("_evaluated.value"), f"{node.name}_error": F.col("_evaluated.error")}).drop("_evaluated")
+
+
 #: Functions over a whole series, by name: each takes a DataFrame of series rows and returns one of changes.
 SERIES: dict[str, Callable[..., DataFrame]] = {}
 

@@ -10,7 +10,7 @@ from benchtide.sources import documents as docs
 from benchtide.sources import outbox
 
 from .catalog import query
-from .fixtures import EDGES_SQL, ITEMS_SQL, ORDER_TYPE, event_series, order_documents, order_items, table, value_edges, without_digits
+from .fixtures import EDGES_SQL, ITEMS_SQL, ORDER_TYPE_SQL, event_series, order_documents, order_items, table, value_edges, without_digits
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dashboard(spark, sf_dir).agg(F.count("*").alias("folders"), F.sum("uploads").alias("uploads"), F.sum("changes").alias("changes"), F.max("last_upload").alias("newest"))
 
 
-@query("g7_merged_structure", f"SELECT 'all' AS all, '{ORDER_TYPE}' AS structure")
+@query("g7_merged_structure", f"SELECT 'all' AS all, {ORDER_TYPE_SQL} AS structure FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def g7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.structure(order_documents(spark, sf_dir).withColumn("all", F.lit("all")), by=("all",)).select("all", without_digits(F.col("structure")).alias("structure"))
 
@@ -293,11 +293,22 @@ def t6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).groupBy("run_id", "detector").agg(F.count("*").alias("n"), F.count_if("dispatch").alias("dispatched"))
 
 
-@query("x3_series_function", "SELECT '{\"event_type\":\"' || event_type || '\"}' AS fingerprint, arg_max(event_id, struct_pack(v := value, i := event_id)) AS value_id FROM events WHERE value IS NOT NULL GROUP BY 1")
+@query("x3_series_function", """WITH j AS (SELECT event_type, event_id, abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id)) AS jump FROM events WHERE value IS NOT NULL)
+SELECT '{"event_type":"' || event_type || '"}' AS fingerprint, arg_max(event_id, struct_pack(j := jump, i := event_id)) AS value_id, max(jump) AS jump FROM j WHERE jump IS NOT NULL GROUP BY 1""")
 def x3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A detector of one's own from the registry: the highest value of each series."""
+    """A detector of one's own from the registry: of each series the value that is furthest from the one before it."""
+    from pyspark.sql.window import Window
+
+    from benchtide.operators.series import order
+
     from .pipeline import SERIES, series_function
 
-    if "highest" not in SERIES:
-        series_function("highest")(lambda df: df.groupBy("fingerprint").agg(F.max_by("value_id", F.struct("range", "value_id")).alias("value_id")))
-    return SERIES["highest"](event_series(spark, sf_dir))
+    if "largest_jump" not in SERIES:
+
+        @series_function("largest_jump")
+        def largest_jump(df: DataFrame) -> DataFrame:
+            line = Window.partitionBy("fingerprint").orderBy(*order())
+            jumps = df.filter("range IS NOT NULL").withColumn("jump", F.abs(F.col("range") - F.lag("range").over(line))).filter("jump IS NOT NULL")
+            return jumps.groupBy("fingerprint").agg(F.max_by("value_id", F.struct("jump", "value_id")).alias("value_id"), F.max("jump").alias("jump"))
+
+    return SERIES["largest_jump"](event_series(spark, sf_dir))

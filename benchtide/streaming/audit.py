@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 from benchtide.operators.lineage import saved
 
 LOG = "kind string, folder string, run_id long, node string, state string, step long, batch string"
-_ORDER = F.struct("step", F.when(F.col("state") == "STARTED", 0).otherwise(1).alias("late"))
 
 
 def note(rows: DataFrame, path: str, state: str, batch: str, step: int | Column, kind: str = "ingest") -> None:
@@ -32,7 +31,8 @@ def log(spark: SparkSession, path: str) -> DataFrame:
 
 def states(entries: DataFrame) -> DataFrame:
     """kind, folder, run_id, node, state: RUNNING, COMPLETED, FAILED or REMOVED."""
-    last = entries.groupBy("kind", "folder", "run_id", "node").agg(F.max_by("state", _ORDER).alias("state"))
+    order = F.struct("step", F.when(F.col("state") == "STARTED", 0).otherwise(1).alias("late"))
+    last = entries.groupBy("kind", "folder", "run_id", "node").agg(F.max_by("state", order).alias("state"))
     return last.withColumn("state", F.when(F.col("state") == "STARTED", "RUNNING").otherwise(F.col("state")))
 
 
