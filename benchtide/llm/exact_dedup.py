@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import cut, fresh, stored, table
+from .common import cut, fresh, table
 
 #: Misra-Gries keeps 1/SUPPORT counters; every digest with more than SUPPORT of the rows is found, so at most 1/SUPPORT winners are broadcast.
 SUPPORT = 0.0005
-#: Row numbers of rows that go, in a broadcast: 8 MB of them.
+#: Keys of rows that go, in a broadcast: 16 MB of them.
 LOSERS = 1_000_000
 
 
@@ -50,18 +50,29 @@ def decisions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", suppo
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: float = SUPPORT, most: int = LOSERS) -> DataFrame:
-    """The rows of docs that stay, with docs' own columns. Decided on digests; the texts, stored once, only lose rows: those of large groups by the broadcast winners, others by their row numbers, broadcast up to `most` of them and joined by a shuffle beyond."""
-    d, row = fresh(docs, "digest"), fresh(docs, "row")
-    rows = stored(docs.select("*", digest(f"`{text}`").alias(d), F.monotonically_increasing_id().alias(row)))
-    digests = rows.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(d).alias("digest"), F.col(row).alias("row"))
-    frequent = cut(winners(digests, support).select("digest", F.col("best.row").alias("best")))
-    best = W.Window.partitionBy("digest")
-    cold = digests.join(F.broadcast(frequent), "digest", "left_anti").select("row", (F.max(F.struct("doc_id", "row")).over(best)["row"] != F.col("row")).alias("loses"))
-    losers = cut(cold.filter("loses").select(F.col("row").alias(row)))
-    few = losers.count() <= most
-    hot = fresh(rows, "best")
-    marked = rows.join(F.broadcast(frequent.select(F.col("digest").alias(d), F.col("best").alias(hot))), d, "left").filter(F.col(hot).isNull() | (F.col(hot) == F.col(row)))
-    return marked.join(F.broadcast(losers) if few else losers, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with docs' own columns. Only digests and ids are shuffled; rows of large groups go by the broadcast winners, others by keys of 128 bits of (digest, doc_id), broadcast up to `most` of them and joined by a shuffle beyond. Rows repeated with the doc_id that stays meet in a shuffle, with their texts; no other row does."""
+    d, id_, a, b = (fresh(docs, n) for n in ("digest", "own_id", "key_a", "key_b"))
+    own = F.col(f"`{doc_id}`")
+    marked = docs.select("*", digest(f"`{text}`").alias(d), own.alias(id_))
+    each = marked.groupBy(d, id_).agg(F.count("*").alias("n"))
+    candidates = marked.stat.freqItems([d], support).select(F.explode(f"{d}_freqItems").alias(d))
+    most_id = F.max(F.struct(F.col(id_), "n")).alias("best")
+    hot = cut(marked.join(F.broadcast(candidates), d).groupBy(d, id_).agg(F.count("*").alias("n")).groupBy(d).agg(most_id, F.sum("n").alias("rows")).filter("rows > 1").select(d, "best"))
+    keys = [F.xxhash64(d, id_, F.col(id_).isNull()).alias(a), F.conv(F.left(F.col(d), F.lit(15)), 16, 10).cast("long").alias(b)]
+    cold = each.join(F.broadcast(hot.select(d)), d, "left_anti")
+    cold = cold.select(d, id_, "n", F.max(F.struct(F.col(id_), "n")).over(W.Window.partitionBy(d)).alias("best"))
+    stays = F.col(id_).eqNullSafe(F.col("best")[id_])
+    settled = cut(cold.filter(~stays | (F.col("n") > 1)).select(*keys, stays.alias("again")))
+    losers, again = settled.filter("NOT again").select(a, b), settled.filter("again").select(a, b)
+    again = again.unionAll(hot.filter("best.n > 1").select(d, F.col("best")[id_].alias(id_)).select(*keys))
+    best = F.broadcast(hot.select(F.col(d), F.col("best")[id_].alias("best"), F.lit(True).alias("hot")))
+    left = marked.alias("m").join(best.alias("w"), d, "left").filter(F.col("w.hot").isNull() | F.col(f"m.{id_}").eqNullSafe(F.col("w.best"))).select("m.*", *keys)
+    left = left.join(F.broadcast(losers) if losers.count() <= most else losers, [a, b], "left_anti")
+    repeats = again.count()
+    if repeats:
+        again = F.broadcast(again) if repeats <= most else again
+        left = left.join(again, [a, b], "left_anti").unionByName(left.join(again, [a, b], "left_semi").dropDuplicates([a, b]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

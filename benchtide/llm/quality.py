@@ -30,7 +30,7 @@ gives an empty result. Texts are read whole, whatever their length.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -201,11 +201,10 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 
 class Fit(NamedTuple):
-    """rows: docs' rows with their log_weight and key (weight with noise), as a table in the shared folder, without the text on request; these two columns' names; cut: rows with a key of at least this stay."""
+    """score: the weight of a text column. weights: doc_id, log_weight and key (weight with noise) of every row, as a table in the shared folder. cut: rows with a key of at least this stay."""
 
-    rows: DataFrame
-    log_weight: str
-    key: str
+    score: Callable[[Column], Column]
+    weights: DataFrame
     cut: float
 
 
@@ -214,42 +213,39 @@ def _key(score: Column, doc_id: Column, text: Column, temperature: float, seed:
     return score / temperature - F.log(-F.log(u))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int | None = None, most_labels: int = LABELS, temperature: float = TEMPERATURE, seed: int = 7, keep_text: bool = True) -> Fit:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int | None = None, most_labels: int = LABELS, temperature: float = TEMPERATURE, seed: int = 7) -> Fit:
     """Both models, the weights of all rows, and where the k largest noisy weights begin. k: by default as many as the bound lets expect that best parts labels."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good")).na.drop()
     n = labels.count()
     part = F.pmod(F.xxhash64("doc_id", F.lit("labels")), F.lit(1 << 20))
     sample = labels.filter(part < (1 << 20) * min(1.0, most_labels / max(1, n))).groupBy("doc_id").agg(F.min("good").alias("good"))
-    names = {}
-    for name in ("_id", "_good", "_fit", "log_weight", "key"):
-        names[name] = C.fresh(docs.select("*", *[F.lit(0).alias(x) for x in names.values()]), name)
-    ident, good, held, weight, key = names.values()
-    sample = sample.select(F.col("doc_id").alias(ident), F.col("good").alias(good), (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 1).alias(held))
-    own, words = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")
-    rows = docs.withColumn(ident, own).join(F.broadcast(sample), ident, "left")
-    counts = models(rows.select(words.alias("text"), F.coalesce(~F.col(held) & F.col(good), F.lit(False)).alias("target")))
+    sample = sample.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 1)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left")
+    counts = models(rows.select("text", F.coalesce(~F.col("held") & F.col("good"), F.lit(False)).alias("target")))
     score = scorer(docs.sparkSession.sparkContext.broadcast(ratios(counts)))
-    out = C.stored(rows.withColumn(weight, score(words)).withColumn(key, _key(F.col(weight), own, words, temperature, seed)).drop(*[] if keep_text else [text]))
+    out = rows.withColumn("log_weight", score("text"))
+    out = C.stored(out.select("doc_id", "good", "held", "log_weight", _key(F.col("log_weight"), F.col("doc_id"), F.col("text"), temperature, seed).alias("key")))
     total = out.count()
     if k is None:
         k = total
-        seen = out.filter(F.col(held)).select(F.col(weight).alias("w"), F.col(good).alias("g")).toArrow()  # of the sample of labels
-        bound = parting(seen["w"].to_numpy(), seen["g"].to_numpy().astype(bool), temperature)
+        seen = out.filter("held").select("log_weight", "good").toArrow()  # of the sample of labels
+        bound = parting(seen["log_weight"].to_numpy(), seen["good"].to_numpy().astype(bool), temperature)
         if bound is not None:
-            above = F.col(weight) / temperature - bound
+            above = F.col("log_weight") / temperature - bound
             k = max(1, round(out.agg(F.sum(-F.expm1(-F.exp(F.greatest(F.least(above, F.lit(700.0)), F.lit(-700.0)))))).first()[0]))
     k = min(k, total)
-    cut = float("-inf") if k == total else float("inf") if k <= 0 else kth_largest(out.select(F.col(key).alias("key")), k)
-    return Fit(out.drop(ident, good, held), weight, key, cut)
+    cut = float("-inf") if k == total else float("inf") if k <= 0 else kth_largest(out, k)
+    return Fit(score, out.select("doc_id", "log_weight", "key"), cut)
 
 
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **more) -> DataFrame:
-    """The rows of docs that are drawn, with docs' own columns. No text is shuffled."""
-    found = fit(docs, labels, text, doc_id, **more)
-    return found.rows.filter(F.col(found.key) >= found.cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", temperature: float = TEMPERATURE, seed: int = 7, **more) -> DataFrame:
+    """The rows of docs that are drawn, with docs' own columns. No text is shuffled or stored: texts are weighed once more as they are read."""
+    found = fit(docs, labels, text, doc_id, temperature=temperature, seed=seed, **more)
+    words = F.col(f"`{text}`").cast("string")
+    return docs.filter(_key(found.score(words), F.col(f"`{doc_id}`").cast("long"), words, temperature, seed) >= found.cut)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that stay, with their weights."""
-    found = fit(C.table(spark, sf_dir, "documents").select("doc_id", "text"), C.table(spark, sf_dir, "labels"), keep_text=False)
-    return found.rows.filter(F.col(found.key) >= found.cut).select("doc_id", "log_weight", "key")
+    found = fit(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+    return found.weights.filter(F.col("key") >= found.cut)

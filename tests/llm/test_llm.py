@@ -689,7 +689,7 @@ def test_weights_and_k_equal_brute_force(spark):
     lab, target, held = split_labels(spark, labels)
     want, k = slow_quality(texts, target, held)
     found = quality.fit(table(spark, texts), lab)
-    got = {r.doc_id: (r[found.log_weight], r[found.key] >= found.cut) for r in found.rows.collect()}
+    got = {r.doc_id: (r.log_weight, r.key >= found.cut) for r in found.weights.collect()}
     assert [got[i][0] for i in range(len(texts))] == pytest.approx(want, rel=1e-4, abs=1e-4)
     assert 100 < k < len(texts) and sum(x for _, x in got.values()) in (k - 1, k, k + 1)
     kept = {i for i, (_, x) in got.items() if x}

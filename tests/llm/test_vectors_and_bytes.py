@@ -54,6 +54,17 @@ def test_whitening(spark, d):
     assert all(r.explained == pytest.approx(explained.tolist(), rel=1e-9) for r in got) and max(r.identity_error for r in got) < 1e-10
 
 
+def test_sums_of_many_tasks_meet_in_groups(spark, monkeypatch):
+    """Where the tasks' sums are too large for the driver at once they are added in groups first: the same components."""
+    rng = np.random.default_rng(1)
+    df = vectors(spark, enumerate((rng.standard_normal((200, 6)) * np.linspace(3, 1, 6)).astype(np.float32).tolist()))
+    a = whitening.fit(whitening.whole(df, "embedding", "vec_id"))
+    monkeypatch.setattr(whitening, "DIRECT", 0)
+    b = whitening.fit(whitening.whole(df, "embedding", "vec_id"))
+    assert a.n == b.n == 200 and a.sums.tolist() == b.sums.tolist() and a.values == pytest.approx(b.values, rel=1e-12)
+    assert np.abs(np.abs((a.components * b.components).sum(0)) - 1).max() < 1e-12 and whitening.identity_error(b) < 1e-12
+
+
 def test_whitening_of_few_vectors(spark):
     assert whitening.whiten(vectors(spark, [])).count() == 0
     assert whitening.whiten(vectors(spark, [(1, None)])).count() == 0
