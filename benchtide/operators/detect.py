@@ -83,9 +83,10 @@ def cool_down(changes: DataFrame, points: int, by: Sequence[str] = ("fingerprint
     def passed(df: DataFrame) -> DataFrame:
         return df.repartition(*by).sortWithinPartitions(*by, place).mapInArrow(keep, df.schema)
 
-    keys = saved(hot(changes, by, most))
+    keys = hot(changes, by, most)
     if keys.isEmpty():
         return passed(changes)
+    keys = saved(keys)
     keys = F.broadcast(keys) if keys.count() <= FEW else keys
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
     long, short = (changes.alias("a").join(keys.alias("b"), same, how) for how in ("left_semi", "left_anti"))

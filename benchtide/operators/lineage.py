@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +27,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in a new folder of the shared one: smaller and faster than a checkpoint where there are many rows, but not dealt by anything."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def dealt(df: DataFrame, key: str) -> DataFrame:
     """df saved and dealt by a column, so that no later join on it deals it again."""
     return saved(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
 
 
 #: Rounds of a closure after which pairs seen before are dropped, and the growth of a round's pairs above which repeats are.
-LOOK_BACK, GROWTH = 8, 3
+LOOK_BACK, GROWTH = 8, 8
 
 
 def closure(edges: DataFrame, start: DataFrame, up: bool = False, with_start: bool = False) -> DataFrame:
@@ -43,26 +52,27 @@ def closure(edges: DataFrame, start: DataFrame, up: bool = False, with_start: bo
     diamonds don't multiply; and every LOOK_BACK rounds pairs that were seen before go, so loops end.
     """
     a, b = ("child_id", "parent_id") if up else ("parent_id", "child_id")
-    step = dealt(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "id")
-    first = front = saved(start.select(F.col("id").alias("root"), "id").distinct())
+    step = written(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct())
+    first = front = written(start.select(F.col("id").alias("root"), "id").distinct())
     parts, size, rounds = [], front.count(), 0
     while True:
         rounds += 1
-        front = saved(front.join(step, "id").select("root", F.col("next").alias("id")))
+        front = written(front.join(step, "id").select("root", F.col("next").alias("id")))
         n = front.count()
         if n and n > GROWTH * size:
-            front = saved(front.distinct())
+            front = written(front.distinct())
             n = front.count()
         if n and rounds % LOOK_BACK == 0:
-            seen = saved(reduce(DataFrame.unionAll, [first, *parts]).distinct())
-            front = saved(front.distinct().join(seen, ["root", "id"], "left_anti"))
+            seen = written(reduce(DataFrame.unionAll, [first, *parts]).distinct())
+            front = written(front.distinct().join(seen, ["root", "id"], "left_anti"))
             parts, n = [seen], front.count()
         if not n:
             break
         parts.append(front)
         size = n
-    seen = reduce(DataFrame.unionAll, parts, first).distinct()
-    return seen if with_start else seen.join(first, ["root", "id"], "left_anti") if parts else seen.limit(0)
+    if with_start or not parts:
+        return reduce(DataFrame.unionAll, parts, first if with_start else first.limit(0)).distinct()
+    return reduce(DataFrame.unionAll, parts).filter("root <> id").distinct()  # a loop leads back to its start
 
 
 def children(edges: DataFrame, values: DataFrame, node: object | None = None) -> DataFrame:

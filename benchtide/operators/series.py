@@ -62,9 +62,10 @@ def in_blocks(df: DataFrame, before: int, by: Sequence[str] = ("fingerprint",),
     one task would hold too much, goes by blocks of `block` places in its order, so it is many groups of a bounded size; the
     last `before` rows of a block stand at the head of the next one too.
     """
-    keys = saved(hot(df, by, most))
+    keys = hot(df, by, most)
     if keys.isEmpty():
         return df.withColumns({"_block": F.lit(0).cast("long"), "_own": F.lit(True)})
+    keys = saved(keys)
     keys = F.broadcast(keys) if keys.count() <= FEW else keys
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
     long, short = (df.alias("a").join(keys.alias("b"), same, how) for how in ("left_semi", "left_anti"))
