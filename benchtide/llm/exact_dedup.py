@@ -57,7 +57,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support:
     each = marked.groupBy(d, id_).agg(F.count("*").alias("n"))
     candidates = marked.stat.freqItems([d], support).select(F.explode(f"{d}_freqItems").alias(d))
     most_id = F.max(F.struct(F.col(id_), "n")).alias("best")
-    hot = cut(marked.join(F.broadcast(candidates), d).groupBy(d, id_).agg(F.count("*").alias("n")).groupBy(d).agg(most_id, F.sum("n").alias("rows")).filter("rows > 1").select(d, "best"))
+    hot = cut(marked.join(F.broadcast(candidates), d).groupBy(d, id_).agg(F.count("*").alias("n")).groupBy(d).agg(most_id, F.sum("n").alias("rows")).filter("rows > 1").select(d, "best").repartition(1))  # 1/support rows at most
     keys = [F.xxhash64(d, id_, F.col(id_).isNull()).alias(a), F.conv(F.left(F.col(d), F.lit(15)), 16, 10).cast("long").alias(b)]
     cold = each.join(F.broadcast(hot.select(d)), d, "left_anti")
     cold = cold.select(d, id_, "n", F.max(F.struct(F.col(id_), "n")).over(W.Window.partitionBy(d)).alias("best"))

@@ -43,6 +43,7 @@ WORDS, PERCENT, GROWTH, SLACK = 4, 85, 1.5, 0.4
 TILE_BLOCK = 1024  # members of a tile that are compared with others at once
 FEW = 250_000  # pairs whose nodes (two numbers a pair) may be broadcast; more are joined by a shuffle
 PIECE = 16  # of a tile with more nodes in one batch, that batch's nodes are a piece of their own
+A_FILE, LINKS_A_FILE = 500_000, 200_000  # shingles of the input, and links, for each file of a checkpoint
 
 _K = np.uint64(0xD6E8FEB86659FD93)
 
@@ -238,11 +239,25 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["row"], pa.array([zlib.compress(x.as_py() or b"", 1) for x in batch["text"].cast(pa.large_binary())], pa.binary())], ["row", "z"])
 
 
+def _unzipped(batches: Iterator[pa.RecordBatch], most: int = C.BLOCK_BYTES) -> Iterator[pa.Array]:
+    """The zipped texts in blocks of at most `most` bytes as they are unzipped, or of one text. (A block that is measured zipped can be a thousand times as large.)"""
+    texts, size = [], 0
+    for batch in batches:
+        for z in batch["z"]:
+            x = zlib.decompress(z.as_py())
+            if texts and size + len(x) > most:
+                yield pa.array(texts, pa.large_binary()).view(pa.large_string())
+                texts, size = [], 0
+            texts.append(x)
+            size += len(x)
+    if texts:
+        yield pa.array(texts, pa.large_binary()).view(pa.large_string())
+
+
 def _info(words: int):
     def info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for zipped in C.blocks(batches, "z"):
-            batch = pa.RecordBatch.from_arrays([pa.array([zlib.decompress(x.as_py()) for x in zipped["z"]], pa.large_binary()).view(pa.large_string())], ["text"])
-            g, first = sets(C.texts_of(batch["text"]), words)
+        for texts in _unzipped(batches):
+            g, first = sets(texts, words)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes(g, first).view(np.int64)), pa.array(np.diff(first), pa.int64()), pa.array(bitmaps(g, first), pa.binary()), pa.array([g[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())],
                 ["node", "n", "bits", "shingles"],
@@ -272,18 +287,21 @@ def _exact(percent: int):
     return exact
 
 
-def _links(pairs: DataFrame, info: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
-    """The linked ones of pairs(a, b): first by the bounds, unless that is done, then exactly. Sets are fetched for nodes of pairs that pass the bounds only."""
+def _links(pairs: DataFrame, info: DataFrame, percent: int, files: int, bounded: bool = False) -> DataFrame:
+    """The linked ones of pairs(a, b), in checkpoints: first by the bounds (in `files` files at most), unless that is done, then exactly. Sets are fetched for nodes of pairs that pass the bounds only."""
 
     def joined(pairs: DataFrame, info: DataFrame) -> DataFrame:
         for x in ("b", "a"):
             pairs = pairs.join(info.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in info.columns if c != "node")), x)
         return pairs
 
-    near = C.cut(pairs if bounded else joined(pairs, info.select("node", "n", "bits")).mapInArrow(_bounded(percent), "a long, b long"))
+    near = pairs if bounded else joined(pairs, info.select("node", "n", "bits")).mapInArrow(_bounded(percent), "a long, b long")
+    near = C.cut(near.coalesce(files))
+    n = near.count()
     asked = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
-    asked = F.broadcast(asked) if near.count() <= FEW else asked
-    return joined(near, info.select("node", "shingles").join(asked, "node", "left_semi")).mapInArrow(_exact(percent), "a long, b long")
+    asked = F.broadcast(asked) if n <= FEW else asked
+    found = joined(near, info.select("node", "shingles").join(asked, "node", "left_semi")).mapInArrow(_exact(percent), "a long, b long")
+    return C.cut(found.repartition(max(1, -(-n // LINKS_A_FILE))))
 
 
 def _cells(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -367,7 +385,11 @@ def _row(doc_id: str, text: str):
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, tile_block: int = TILE_BLOCK, words: int = WORDS) -> DataFrame:
-    """(doc_id, row, n, node, root) of each row, as read from checkpoints. row: a hash of doc_id and text. root: the component's least node."""
+    """(doc_id, row, n, node, root) of each row, as read from checkpoints. row: a hash of doc_id and text. root: the component's least node.
+
+    A checkpoint has as many files as its size asks for, and not one for each shuffle partition: on a file system without
+    native code an executor starts a process for each file that it creates.
+    """
     from .graph import components
 
     spark = docs.sparkSession
@@ -376,18 +398,19 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = marks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(8 * parts, total // 2_000_000)  # about 600,000 keys in each at most, however large the input
+    files = max(2 * spark.sparkContext.defaultParallelism, total // A_FILE)
     postings = rows.select("text").mapInArrow(_postings(buckets, words, percent), "bucket long, keys binary, nodes binary")
-    members = C.cut(postings.groupBy("bucket").applyInArrow(_members(buckets), "tile long, first long, node long"))
+    members = C.cut(postings.groupBy("bucket").applyInArrow(_members(buckets), "tile long, first long, node long").coalesce(files))
     chosen = marks.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
     packed = rows.select("row", "text").mapInArrow(_shrink, "row long, z binary")
     text_rows = packed.join(chosen.hint("shuffle_hash"), "row", "left_semi").groupBy("row").agg(F.first("z").alias("z"))
-    info = C.cut(text_rows.select("z").mapInArrow(_info(words), "node long, n long, bits binary, shingles binary"))
+    info = C.cut(text_rows.select("z").mapInArrow(_info(words), "node long, n long, bits binary, shingles binary").coalesce(files))
     stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    roots = C.cut(components(C.cut(_links(stars, info, percent))))
+    roots = C.cut(components(_links(stars, info, percent, files)))
     within = members
     for spanning in (True, False):  # few pairs first, which connect most of what links; then every pair that is left
-        pairs = C.cut(_unconnected(within, roots, info, percent, tile_block, spanning))
-        links = C.cut(_links(pairs.select("a", "b").distinct(), info, percent, True))
+        pairs = C.cut(_unconnected(within, roots, info, percent, tile_block, spanning).coalesce(files))
+        links = _links(pairs.select("a", "b").distinct(), info, percent, files, True)
         if not links.isEmpty():
             roots = C.cut(components(links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
         # where each pair that was looked at links, those that were left out for it are connected
