@@ -172,7 +172,7 @@ def _marks(words: int):
 
 def _postings(buckets: int, words: int, percent: int):
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.blocks(batches, most=4 * C.BLOCK_BYTES):
+        for batch in C.blocks(C.gathered(batches, 8 * C.BLOCK_BYTES), most=4 * C.BLOCK_BYTES):
             keys, who = [], []
             for part in C.blocks(iter([batch])):
                 g, first = sets(C.texts_of(part["text"]), words)
@@ -390,6 +390,11 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     A checkpoint has as many files as its size asks for, and not one for each shuffle partition: on a file system without
     native code an executor starts a process for each file that it creates.
     """
+    with C.small_batches(docs.sparkSession):
+        return _classes(docs, text, doc_id, percent, tile_block, words)
+
+
+def _classes(docs: DataFrame, text: str, doc_id: str, percent: int, tile_block: int, words: int) -> DataFrame:
     from .graph import components
 
     spark = docs.sparkSession

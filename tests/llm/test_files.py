@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from test_llm import prose, table
 
 from benchtide.llm import common, jaccard
@@ -39,3 +40,20 @@ def test_blocks_of_zipped_texts_are_bounded_as_they_are_unzipped():
     out = list(jaccard._info(4)(iter([batch])))
     assert [x.num_rows for x in out] == [4] * 4
     assert len({x for b in out for x in b["node"].to_pylist()}) == 1 and not list(jaccard._info(4)(iter([])))
+
+
+def test_arrow_batches_are_small_only_while_the_join_runs(spark, monkeypatch):
+    """Also where it fails."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    old = spark.conf.get(key)
+
+    def stop(*_):
+        seen.append(int(spark.conf.get(key)))
+        raise RuntimeError
+
+    monkeypatch.setattr(jaccard, "_classes", stop)
+    with pytest.raises(RuntimeError):
+        jaccard.classes(table(spark, ["a b"]))
+    assert seen == [common.BATCH_ROWS] and spark.conf.get(key) == old
+    parts = [pa.RecordBatch.from_pydict({"a": [k]}) for k in range(5)]
+    assert [x["a"].to_pylist() for x in common.gathered(iter(parts), 16)] == [[0, 1], [2, 3], [4]]
