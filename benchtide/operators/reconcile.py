@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from benchtide.functions.jsonish import comparable, is_stub
 
@@ -35,13 +34,13 @@ def extra(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("run_id", "l
 
 
 def resolved(wanted: DataFrame, known: DataFrame, name: str = "label") -> DataFrame:
-    """Names as they are known: exact, with a digit 0-3 behind, with a small first letter, in snake case; the first that is known."""
+    """Names as they are known: exact, with a digit 0-3 behind, with a small first letter, in snake case; the first that is known. Both sides are shuffled: Spark takes a row for each form for as small as the names, and would send them all through the driver."""
     n = F.col(name)
     small = F.concat(F.lower(n.substr(1, 1)), n.substr(F.lit(2), F.length(n)))
     snake = F.lower(F.regexp_replace(n, "([a-z0-9])([A-Z])", "$1_$2"))
     tries = wanted.select(name, F.posexplode(F.array(n, *[F.concat(n, F.lit(str(k))) for k in range(4)], small, snake)).alias("rank", "known"))
-    found = tries.join(known.select(F.col(name).alias("known")).distinct(), "known")
-    return found.withColumn("_p", F.row_number().over(Window.partitionBy(name).orderBy("rank"))).filter("_p = 1").select(name, "known", "rank")
+    found = tries.join(known.select(F.col(name).alias("known")).distinct().hint("merge"), "known")
+    return found.groupBy(name).agg(F.min_by("known", "rank").alias("known"), F.min("rank").alias("rank"))
 
 
 def upsert(stored: DataFrame, found: DataFrame, keys: Sequence[str] = ("run_id", "path")) -> DataFrame:

@@ -201,6 +201,18 @@ def test_reconcile(spark):
     assert {r.label: r.result for r in reconcile.compared(left, right).collect()} == {"a": "EXACT", "b": "ROUNDING", "c": "STUB", "d": "MISMATCH", "e": "MISSING"}
 
 
+def test_names_resolve_without_a_broadcast(spark, tmp_path):
+    """The forms of names are many times what Spark takes them for; neither side may go through the driver."""
+    spark.range(30).select(F.concat(F.lit("PartNo"), "id").alias("label"), F.lit("x" * 50).alias("more")).write.parquet(str(tmp_path / "names"))
+    wanted = spark.read.parquet(str(tmp_path / "names"))
+    n = F.substring("label", 7, 9).cast("int")
+    known = wanted.select(F.explode(F.array(F.when(n % 3 == 0, F.concat("label", F.lit("2"))), F.when(n % 2 == 0, F.concat(F.lit("part_no"), n)))).alias("label")).filter("label IS NOT NULL")
+    got = reconcile.resolved(wanted.unionAll(wanted), known)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(f"PartNo{k}", f"PartNo{k}2", 3) if k % 3 == 0 else (f"PartNo{k}", f"part_no{k}", 6) for k in range(30) if k % 3 == 0 or k % 2 == 0}
+    assert {(r.label, r.known, r["rank"]) for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_upsert(spark):
     a = spark.createDataFrame([(1, "p", "x"), (1, "q", "y"), (1, "r", "z")], "run_id int, path string, data string")
     b = spark.createDataFrame([(1, "p", "x"), (1, "q", "Y"), (1, "s", "w")], "run_id int, path string, data string")
