@@ -248,8 +248,9 @@ def without_stale(stored: DataFrame, found: DataFrame, scope: DataFrame, keys: S
 
 
 def replaced(stored: DataFrame, found: DataFrame, scope: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stored changes with those in scope replaced by what was found; the others stay."""
-    return stored.join(scope.select(*keys).distinct(), list(keys), "left_anti").unionByName(found)
+    """Stored changes with those in scope replaced by what was found; the others stay. A null key equals another."""
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return stored.alias("a").join(scope.select(*keys).distinct().alias("b"), same, "left_anti").unionByName(found)
 
 
 def contributing(df: DataFrame, run: DataFrame, by: Sequence[str] = ("fingerprint",)) -> DataFrame:

@@ -140,7 +140,7 @@ def w9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w10_replaced_at_domain", "SELECT event_id AS value_id, CASE WHEN user_id % 2 = 0 THEN 25.0 ELSE 20.0 END AS bound FROM events WHERE CASE WHEN user_id % 2 = 0 THEN value > 25 ELSE value > 20 END")
 def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, found, scope = _changes(spark, sf_dir)
-    return detect.replaced(stored, found.filter("user_id % 2 = 0"), scope, ("fingerprint", "domain")).select("value_id", "bound")
+    return detect.replaced(stored, found.filter("user_id % 2 = 0"), scope, ("fingerprint", "domain", "value_id", "user_id")).select("value_id", "bound")  # several events may have one domain
 
 
 @query("w11_window_replaced", f"""WITH {_S}, r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY d DESC, value_id DESC) AS k FROM s) SELECT value_id, CASE WHEN k <= 100 THEN 25.0 ELSE 20.0 END AS bound FROM r WHERE CASE WHEN k <= 100 THEN x > 25 ELSE x > 20 END""")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from benchtide.operators import closure_table, detect, lineage, reconcile
+from benchtide.plans import detection
 from benchtide.operators.series import around, in_blocks, placed
 
 
@@ -126,6 +127,15 @@ def test_rows_around_pivots(spark, preceding):
     assert {(r.fingerprint, r.pivot, r.value_id, r.domain, r["rank"]) for r in got.collect()} == want and got.count() == len(want)
 
 
+def test_changes_are_replaced_where_events_share_a_domain(spark, tmp_path):
+    """Events of one type and time, of users in the scope and out of it, and an event without a type."""
+    rows = [(1, "a", 2, 22.0), (2, "a", 3, 22.0), (3, "a", 4, 30.0), (4, "a", 5, 30.0), (5, None, 2, 22.0), (6, None, 3, 22.0), (7, None, 4, 30.0)]
+    d = spark.createDataFrame(rows, "event_id long, event_type string, user_id long, value double").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    d.write.parquet(str(tmp_path / "events.parquet"))
+    got = detection.w10(spark, str(tmp_path)).collect()
+    assert sorted((r.value_id, r.bound) for r in got) == [(2, 20.0), (3, 25.0), (4, 20.0), (6, 20.0), (7, 25.0)]
+
+
 def test_stale_changes_stay_if_nothing_is_found(spark):
     s = series(spark, [1, 2, 3])
     assert detect.without_stale(s, s.limit(0), s).count() == 3
