@@ -1,6 +1,7 @@
 """Blocks of series, recovery, remembered changes, online anomalies, errors as data and table functions."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -8,10 +9,12 @@ from pyspark.sql import functions as F
 
 from benchtide.functions.evaluate import generator, guarded
 from benchtide.operators import checks, detect, reports
+from benchtide.plans.catalog import QUERIES
 from benchtide.plans.pipeline import Node, Pipeline
 from benchtide.streaming import audit, ingest, online, recent
 from benchtide.streaming.blocks import Blocks
 
+TESTDATA = "/root/testdata/sf0.001"
 SERIES = "fingerprint string, value_id long, range double, domain double"
 
 
@@ -194,3 +197,15 @@ def test_storage_of_files(spark, tmp_path):
         files = [*(tmp_path / name).glob("*.parquet")]
         assert (got[name].files, got[name].stored_bytes) == (len(files), sum(f.stat().st_size for f in files))
     assert (got["total"].n_rows, got["total"].data_bytes, got["total"].overhead) == (60, 6000, 1.2)
+
+
+@pytest.mark.skipif(not os.path.isdir(TESTDATA), reason="no test tables")
+def test_storage_of_tables_in_many_files(spark, tmp_path):
+    """The same rows in one file and in three, and a table without rows: the query counts a table as one, as its SQL does."""
+    for name in ("orders", "lineitem", "documents", "benchmark", "events"):
+        d = spark.read.parquet(f"{TESTDATA}/{name}.parquet")
+        (d.limit(0) if name == "events" else d.repartition(3)).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got, want = ({r.name: r for r in QUERIES["g10_storage_ratio"](spark, d).collect()} for d in (str(tmp_path), TESTDATA))
+    for name in ("orders", "lineitem", "documents", "benchmark"):
+        assert got[name] == want[name] and got[name].files == 1
+    assert (got["events"].n_rows, got["events"].files, got["total"].files) == (0, 1, 5)
