@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import closure
+from .lineage import reached
 
 #: The kinds of nodes that watch series.
 ANALYSIS = ("ft", "rd", "sd", "ed")
@@ -40,8 +40,7 @@ def modes(nodes: DataFrame, viewed: DataFrame | None = None, discard: DataFrame
 
 def to_recompute(edges: DataFrame, target: DataFrame, flagged: DataFrame) -> DataFrame:
     """(id) of the ephemeral sources, near and far, that a recalculation of target(id) needs first."""
-    above = closure(edges, target, up=True).select("id").distinct()
-    return above.join(flagged.filter("ephemeral").select(F.col("node_id").alias("id")), "id", "left_semi")
+    return reached(edges, target, up=True).join(flagged.filter("ephemeral").select(F.col("node_id").alias("id")), "id", "left_semi")
 
 
 def without_folder(df: DataFrame, *folders: str, column: str = "folder") -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from benchtide.operators import closure_table, detect, lineage, reconcile
+from benchtide.operators import closure_table, detect, lineage, maintenance, reconcile
 from benchtide.plans import detection
 from benchtide.operators.series import around, in_blocks, placed
 
@@ -174,6 +174,33 @@ def test_closure_of_loops_and_chains(spark):
         assert {r.id for r in lineage.cascade(e, start.limit(0).union(start.filter(F.col("id") == ids[0]))).collect()} == gone
 
 
+def counted_writes(monkeypatch):
+    """Rows of each table that lineage writes from now on."""
+    rows, write = [], lineage.written
+
+    def written(df):
+        out = write(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage, "written", written)
+    return rows
+
+
+def test_what_to_recompute_costs_ids_not_pairs(spark, monkeypatch):
+    """A chain and a loop of which every node is recalculated: what is stored grows with the nodes; a node in a loop is above itself."""
+    pairs = [(k + 1, k) for k in range(12)] + [(100, 101), (101, 102), (102, 100), (103, 100)]
+    e = spark.createDataFrame(pairs, "child_id int, parent_id int")
+    n = spark.createDataFrame([(k, True) for k in [*range(13), *range(100, 104)]], "node_id int, ephemeral boolean")
+    rows = counted_writes(monkeypatch)
+    got = maintenance.to_recompute(e, n.select(F.col("node_id").alias("id")), n)
+    assert sorted(r.id for r in got.collect()) == [*range(12), 100, 101, 102]
+    assert sum(rows) < 3 * n.count()
+    one = spark.createDataFrame([(3,), (103,)], "id int")
+    assert sorted(r.id for r in lineage.reached(e, one, up=True).collect()) == [0, 1, 2, 100, 101, 102]
+    assert sorted(r.id for r in lineage.reached(e, one).collect()) == [*range(4, 13)]
+
+
 def test_a_kept_closure_follows_its_edges(spark):
     """Random edges come and go; after each change the counts are those of a closure computed anew."""
     rng = np.random.default_rng(12)
