@@ -29,8 +29,9 @@ def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j7_ancestors", f"WITH RECURSIVE {EDGES_SQL}, u AS (SELECT child_id AS root, parent_id AS id FROM value_edges WHERE child_id LIKE 'l%' UNION SELECT u.root, e.parent_id FROM u JOIN value_edges e ON e.child_id = u.id) SELECT root, id FROM u WHERE id LIKE 'n%'")
 def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = lineage.written(value_edges(spark, sf_dir))
-    return lineage.closure(e, _start(e, "l", "child_id"), up=True).filter(F.col("id").startswith("n"))
+    """From the nations down: an item's ancestors are many, of which one is a nation, so no pair is made that is not asked for or on the way to one."""
+    e = value_edges(spark, sf_dir)
+    return lineage.closure(e, _start(e, "n")).filter(F.col("id").startswith("l")).select(F.col("id").alias("root"), F.col("root").alias("id"))
 
 
 @query("j8_direct_children", f"WITH {EDGES_SQL} SELECT parent_id, count(*) AS n FROM value_edges WHERE child_id LIKE 'o%' GROUP BY 1")

@@ -1,16 +1,23 @@
 """Change detection on typed series: steps, flat series, drifts, late values."""
 
 import math
+import os
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from benchtide.operators import closure_table, detect, lineage, maintenance, reconcile
-from benchtide.plans import detection
+from benchtide.plans import detection, fixtures
+from benchtide.plans.catalog import QUERIES
 from benchtide.operators.series import around, in_blocks, placed
 
 
+TESTDATA = "/root/testdata/sf0.001"
+
+
 def series(spark, xs, fp="{}"):
     return spark.createDataFrame([(fp, k, None if x is None else float(x), k) for k, x in enumerate(xs)], "fingerprint string, value_id long, range double, domain long")
 
@@ -201,6 +208,20 @@ def test_what_to_recompute_costs_ids_not_pairs(spark, monkeypatch):
     assert sorted(r.id for r in lineage.reached(e, one).collect()) == [*range(4, 13)]
 
 
+@pytest.mark.skipif(not os.path.isdir(TESTDATA), reason="no test tables")
+def test_ancestors_cost_the_pairs_that_are_asked_for(spark, monkeypatch):
+    """Of an item's ancestors only its nation is wanted; pairs with parts, suppliers and regions are not stored. What a table's writing shuffles is gone when it is written."""
+    edges = fixtures.value_edges(spark, TESTDATA).count()
+    rows, files = counted_writes(monkeypatch), spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    got = QUERIES["j7_ancestors"](spark, TESTDATA)
+    assert got.count() > 0 and got.filter("id NOT LIKE 'n%' OR root NOT LIKE 'l%'").isEmpty()
+    assert sum(rows) < 2 * edges
+    monkeypatch.undo()  # counting shuffles too
+    there = files.getAllFiles().size()
+    lineage.written(spark.range(1000).repartition(3))
+    assert files.getAllFiles().size() <= there
+
+
 def test_a_kept_closure_follows_its_edges(spark):
     """Random edges come and go; after each change the counts are those of a closure computed anew."""
     rng = np.random.default_rng(12)
