@@ -222,6 +222,15 @@ def test_ancestors_cost_the_pairs_that_are_asked_for(spark, monkeypatch):
     assert files.getAllFiles().size() <= there
 
 
+@pytest.mark.skipif(not os.path.isdir(TESTDATA), reason="no test tables")
+def test_a_cascade_stores_tables(spark):
+    """Edges as checkpoints are several times as large as tables; none is made."""
+    folder = Path(urlparse(lineage.shared_folder(spark)).path)
+    before = {*folder.rglob("rdd-*")}
+    assert QUERIES["m1_cascade"](spark, TESTDATA).count() > 1
+    assert {*folder.rglob("rdd-*")} <= before
+
+
 def test_a_kept_closure_follows_its_edges(spark):
     """Random edges come and go; after each change the counts are those of a closure computed anew."""
     rng = np.random.default_rng(12)
