@@ -231,6 +231,26 @@ def test_a_cascade_stores_tables(spark):
     assert {*folder.rglob("rdd-*")} <= before
 
 
+@pytest.mark.skipif(not os.path.isdir(TESTDATA), reason="no test tables")
+def test_dependents_are_bundled(spark, monkeypatch):
+    """What is stored grows with ids and rounds, not with the pairs or the paths between them."""
+    edges = fixtures.node_tables(spark, TESTDATA)[1].count()
+    rows = counted_writes(monkeypatch)
+    assert QUERIES["j9_dependents"](spark, TESTDATA).agg(F.sum("dependents")).first()[0] > 1000
+    assert sum(rows) < 6 * edges
+
+
+@pytest.mark.parametrize("pairs", [[((k + 1) % 4, k) for k in range(4)] + [(9, 3), (10, 9)], [(10 * a + 10 + i, 10 * a + j) for a in range(3) for i in range(6) for j in range(6) if (i + j) % 5]])
+def test_a_closure_in_bundles(spark, monkeypatch, pairs):
+    """Loops and layered diamonds, with so small bundles that most ids have several, and a look back in every second round."""
+    monkeypatch.setattr(lineage, "BUNDLE_ROUNDS", 2)
+    e = spark.createDataFrame(pairs, "child_id int, parent_id int")
+    start = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})], "id int")
+    got = lineage.bundled_closure(e, start, most=2)
+    want = {(r.root, r.id) for r in lineage.closure(e, start).collect()}
+    assert {(r.root, r.id) for r in got.collect()} == want and got.count() == len(want) > 10
+
+
 def test_a_kept_closure_follows_its_edges(spark):
     """Random edges come and go; after each change the counts are those of a closure computed anew."""
     rng = np.random.default_rng(12)
