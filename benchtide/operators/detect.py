@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .lineage import saved
-from .series import BLOCK, FEW, HOT, hot, in_blocks, newest, order, placed
+from .series import BLOCK, FEW, HOT, hot, in_blocks, order, placed
 
 
 def fingerprint_filter(df: DataFrame, predicate: Column | str | None) -> DataFrame:
@@ -132,110 +132,181 @@ def hazard(before: Column, after: Column) -> Column:
     return F.ln(F.when((before != 0) & (after > 0), after / before))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """The continued fraction of the incomplete beta function (Lentz)."""
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
+def _beta_fractions(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fractions of incomplete beta functions (Lentz), side by side; those that have converged stand still."""
+    tiny, out, on = 1e-300, np.empty(len(x)), np.arange(len(x))
+    c, d = np.ones(len(x)), 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) > tiny, d, tiny)
+    h = d.copy()
     for m in range(1, 300):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / (c if abs(c) > tiny else tiny)
-            h *= c * d
-        if abs(c * d - 1) < 1e-12:
+            d = 1 / np.where(np.abs(d) > tiny, d, tiny)
+            c = 1 + num / np.where(np.abs(c) > tiny, c, tiny)
+            h = h * c * d
+        done = np.abs(c * d - 1) < 1e-12
+        out[on] = h
+        if done.any():
+            on, a, b, x, c, d, h = (z[~done] for z in (on, a, b, x, c, d, h))
+        if not len(on):
             break
-    return h
+    return out
+
+
+def student_tails(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """The two-sided tail probabilities of Student's t."""
+    with np.errstate(all="ignore"):
+        x = dof / (dof + t * t)
+        a, b = dof / 2, np.full(len(t), 0.5)
+        log = np.array([math.lgamma(p + 0.5) - math.lgamma(p) - math.lgamma(0.5) if p > 0 else math.nan for p in a.tolist()])
+        front = np.exp(log + a * np.log(x) + b * np.log1p(-x))
+        low = x < (a + 1) / (a + b + 2)
+        a, b, y = np.where(low, a, b), np.where(low, b, a), np.where(low, x, 1 - x)
+        part = front * _beta_fractions(a, b, y) / a
+    return np.where(np.isinf(t), 0.0, np.where(x >= 1, 1.0, np.where(low, part, 1 - part)))
 
 
 def student_tail(t: float, dof: float) -> float:
     """The two-sided tail probability of Student's t."""
-    if math.isinf(t):
-        return 0.0
-    x = dof / (dof + t * t)
-    if x >= 1:
-        return 1.0
-    a, b = dof / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
-
-
-def welch(a: np.ndarray, b: np.ndarray) -> float:
-    """The p-value of Welch's t-test; equal constants give 1, different ones 0."""
-    if len(a) < 2 or len(b) < 2:
-        return 1.0
-    va, vb = a.var(ddof=1) / len(a), b.var(ddof=1) / len(b)
-    if va + vb == 0:
-        return 1.0 if a.mean() == b.mean() else 0.0
-    t = (a.mean() - b.mean()) / math.sqrt(va + vb)
-    return student_tail(abs(t), (va + vb) ** 2 / (va**2 / (len(a) - 1) + vb**2 / (len(b) - 1)))
+    return float(student_tails(np.array([float(t)]), np.array([float(dof)]))[0])
+
+
+def _groups(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of each code."""
+    order = np.argsort(codes, kind="stable")
+    return iter(np.split(order, np.flatnonzero(np.diff(codes[order])) + 1)) if len(order) else iter(())
+
+
+def welch(x: np.ndarray, s: np.ndarray, a: np.ndarray, k: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """p-values of Welch's t-test between x[s, a:k] and x[s, k:b] of each (s, a, k, b), and both means; equal constants give 1, different ones 0."""
+    p, before, after = np.ones(len(s)), np.empty(len(s)), np.empty(len(s))
+    t, dof = np.full(len(s), np.nan), np.full(len(s), np.nan)
+    for at in _groups((k - a) * (x.shape[1] + 1) + b - k):
+        m, n = (k - a)[at[0]], (b - k)[at[0]]
+        y, z = x[s[at, None], a[at, None] + np.arange(m)], x[s[at, None], k[at, None] + np.arange(n)]
+        with np.errstate(all="ignore"):
+            before[at], after[at] = y.mean(1), z.mean(1)
+            if m > 1 and n > 1:
+                vy, vz = y.var(1, ddof=1) / m, z.var(1, ddof=1) / n
+                t[at] = np.abs((before[at] - after[at]) / np.sqrt(vy + vz))
+                dof[at] = (vy + vz) ** 2 / (vy**2 / (m - 1) + vz**2 / (n - 1))
+                p[at] = np.where(vy + vz == 0, np.where(before[at] == after[at], 1.0, 0.0), np.nan)
+    open_ = np.isnan(p)
+    p[open_] = student_tails(t[open_], dof[open_])
+    return p, before, after
 
 
 def split_statistic(x: np.ndarray) -> np.ndarray:
-    """The energy statistic of each split x[:k], x[k:], k from 1 on: nA nB / (nA + nB) (2 E|A-B| - E|A-A'| - E|B-B'|)."""
-    n = len(x)
-    d = np.abs(x[:, None] - x[None, :])
-    s = np.zeros((n + 1, n + 1))
-    s[1:, 1:] = d.cumsum(0).cumsum(1)
+    """The energy statistic of each split x[:k], x[k:] of each row of x, k from 1 on: nA nB / (nA + nB) (2 E|A-B| - E|A-A'| - E|B-B'|)."""
+    rows, n = x.shape
+    d = np.abs(x[:, :, None] - x[:, None, :])
+    s = np.zeros((rows, n + 1, n + 1))
+    s[:, 1:, 1:] = d.cumsum(1).cumsum(2)
     k = np.arange(1, n)
-    aa, whole, cross = s[k, k], s[n, n], s[k, n] - s[k, k]
+    aa, whole, cross = s[:, k, k], s[:, n, n, None], s[:, k, n] - s[:, k, k]
     bb = whole - aa - 2 * cross
     return k * (n - k) / n * (2 * cross / (k * (n - k)) - aa / k**2 - bb / (n - k) ** 2)
 
 
-def change_points(x: np.ndarray, window: int, most_p: float, least_magnitude: float) -> list[tuple[int, float]]:
-    """Indexes where the series changes, with p-values: split at the largest energy statistic within windows, as long as Welch's test rejects; then weak points are merged, the weakest first."""
-    points: set[int] = set()
+#: Pairs of values that are compared at once.
+PAIRS = 500_000
 
-    def search(a: int, b: int) -> None:
-        if b - a < 4:
-            return
-        k = a + 1 + int(np.argmax(split_statistic(x[a:b])))
-        if welch(x[a:k], x[k:b]) < most_p:
-            points.add(k)
-            search(a, k)
-            search(k, b)
 
+def change_points(x: np.ndarray, window: int, most_p: float, least_magnitude: float) -> list[list[tuple[int, float]]]:
+    """Indexes where each series, a row of x, changes, with p-values: split at the largest energy statistic within windows, as long as Welch's test rejects; then weak points are merged, the weakest first. All rows go side by side."""
+    rows, n = x.shape
     step = max(1, window // 2)
-    for a in range(0, max(1, len(x) - window + step), step):
-        search(a, min(len(x), a + max(window, 4)))
-    search(0, len(x))
-    at = sorted(points)
-    while at:
-        edges = [0, *at, len(x)]
-        strength = []
-        for i, k in enumerate(at):
-            a, b = x[edges[i] : k], x[k : edges[i + 2]]
-            magnitude = abs(b.mean() - a.mean()) / max(abs(a.mean()), 1e-300)
-            strength.append((welch(a, b), magnitude))
-        weak = [(-p, m, i) for i, (p, m) in enumerate(strength) if p >= most_p or m < least_magnitude]
-        if not weak:
-            return [(k, p) for k, (p, _) in zip(at, strength, strict=True)]
-        del at[min(weak)[2]]
-    return []
-
-
-def e_divisive(df: DataFrame, window: int = 50, most_p: float = 0.001, least_magnitude: float = 0.0, longest: int = 500, by: str = "fingerprint", domain: str = "domain", value: str = "range", ident: str = "value_id") -> DataFrame:
-    """Change points of the most recent `longest` values of each series. A series has at most that many rows in its group, whatever its length."""
-    recent = newest(df.select(by, domain, value, ident), longest, (by,), domain, ident)
+    spans = sorted({(a, min(n, a + max(window, 4))) for a in range(0, max(1, n - window + step), step)} | {(0, n)})
+    s, (a, b) = np.repeat(np.arange(rows), len(spans)), np.tile(np.array(spans).T, rows)
+    points, seen = np.zeros((rows, n + 1), bool), np.zeros(0, np.int64)
+    while len(s):
+        code = np.unique((s * (n + 1) + a) * (n + 1) + b)  # a part that two windows come to is searched once
+        code = code[~np.isin(code, seen)]
+        seen = np.concatenate([seen, code])
+        s, a, b = code // (n + 1) ** 2, code // (n + 1) % (n + 1), code % (n + 1)
+        s, a, b = (z[b - a >= 4] for z in (s, a, b))
+        k = np.empty_like(a)
+        for at in _groups(b - a):
+            length = (b - a)[at[0]]
+            for part in np.array_split(at, -(-len(at) * int(length) ** 2 // PAIRS)):
+                with np.errstate(all="ignore"):
+                    k[part] = a[part] + 1 + np.argmax(split_statistic(x[s[part, None], a[part, None] + np.arange(length)]), 1)
+        hit = welch(x, s, a, k, b)[0] < most_p
+        s, a, k, b = (z[hit] for z in (s, a, k, b))
+        points[s, k] = True
+        s, a, b = np.concatenate([s, s]), np.concatenate([a, k]), np.concatenate([k, b])
+    found: list[list[tuple[int, float]]] = [[] for _ in range(rows)]
+    left = {int(i): np.flatnonzero(points[i]).tolist() for i in np.flatnonzero(points.any(1))}
+    while left:
+        at = [(i, *e) for i, ks in left.items() for e in zip([0, *ks[:-1]], ks, [*ks[1:], n], strict=True)]
+        p, before, after = welch(x, *np.array(at).T)
+        with np.errstate(all="ignore"):
+            magnitude = np.abs(after - before) / np.maximum(np.abs(before), 1e-300)
+        p, magnitude, first = p.tolist(), magnitude.tolist(), 0
+        for i, ks in [*left.items()]:
+            weak = [(-p[j], magnitude[j], j - first) for j in range(first, first + len(ks)) if p[j] >= most_p or magnitude[j] < least_magnitude]
+            if not weak:
+                found[i] = [*zip(ks, p[first : first + len(ks)], strict=True)]
+            first += len(ks)
+            if not weak or len(ks) == 1:
+                del left[i]
+            else:
+                left[i] = ks[: (at_ := min(weak)[2])] + ks[at_ + 1 :]
+    return found
+
+
+def e_divisive(df: DataFrame, window: int = 50, most_p: float = 0.001, least_magnitude: float = 0.0, longest: int = 500, by: str = "fingerprint", domain: str = "domain", value: str = "range", ident: str = "value_id", at_once: int = 100_000) -> DataFrame:
+    """Change points of the most recent `longest` values of each series, of which a task holds no more, whatever its length. Series of a task are searched side by side, as many as have some `at_once` values."""
+    down = F.row_number().over(Window.partitionBy(by).orderBy(*order(domain, ident, descending=True)))
+    recent = df.select(by, domain, value, ident).withColumn("_down", down).filter(F.col("_down") <= longest)
     kind = f"{by} string, index int, pvalue double, mean_before double, mean_after double, std_before double, std_after double, magnitude double, hazard double, range_value_id long, domain string"
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+    names = [x.split(" ")[0] for x in kind.split(", ")]
+    types = [pa.string(), pa.int32(), *[pa.float64()] * 7, pa.int64(), pa.string()]
+
+    def searched(held: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        """What is found in the series that begin at starts[:-1]; the last of starts is where they end."""
+        keys, idents, domains = (held[c] for c in (by, ident, domain))
+        values, places = held[value].to_numpy().astype(float), held["_down"].to_numpy()
+        by_length: dict[int, list[np.ndarray]] = {}
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if b - a >= window:
+                at = a + np.argsort(-places[a:b])  # from the oldest on
+                at = at[~np.isnan(values[at])]
+                if len(at) >= max(window, 1):
+                    by_length.setdefault(len(at), []).append(at)
         rows: list[tuple] = []
-        pdf = pdf.sort_values("place")
-        numbers = pdf[pdf[value].notna()]
-        if len(pdf) >= window and len(numbers) >= window:
-            x = numbers[value].to_numpy(float)
-            found = change_points(x, window, most_p, least_magnitude)
-            edges = [0, *[k for k, _ in found], len(x)]
-            for i, (k, p) in enumerate(found):
-                a, b = x[edges[i] : k], x[k : edges[i + 2]]
-                ma, mb = a.mean(), b.mean()
-                sd = [y.std(ddof=1) if len(y) > 1 else 0.0 for y in (a, b)]
-                rows.append((pdf[by].iloc[0], k, p, ma, mb, *sd, abs(mb - ma) / abs(ma) if ma else math.inf, math.log(mb / ma) if ma and mb / ma > 0 and mb > 0 else None, int(numbers[ident].iloc[k]), str(numbers[domain].iloc[k])))
-        return pd.DataFrame(rows, columns=[by, "index", "pvalue", "mean_before", "mean_after", "std_before", "std_after", "magnitude", "hazard", "range_value_id", "domain"])
-
-    return recent.groupBy(by).applyInPandas(find, kind)
+        for n, several in by_length.items():
+            at = np.array(several)
+            x = values[at]
+            for i, found in enumerate(change_points(x, window, most_p, least_magnitude)):
+                edges = [0, *[k for k, _ in found], n]
+                for (k, p), left, right in zip(found, edges[:-2], edges[2:], strict=True):
+                    y, z = x[i, left:k], x[i, k:right]
+                    before, after = float(y.mean()), float(z.mean())
+                    sd = [float(w.std(ddof=1)) if len(w) > 1 else 0.0 for w in (y, z)]
+                    hazard = math.log(after / before) if before and after / before > 0 and after > 0 else None
+                    row = int(at[i, k])
+                    rows.append((keys[row].as_py(), k, p, before, after, *sd, abs(after - before) / abs(before) if before else math.inf, hazard, idents[row].as_py(), str(domains[row].as_py())))
+        columns = [*zip(*rows, strict=True)] if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+            if held and (batch is None or sum(map(len, held)) >= at_once):
+                rows = pa.Table.from_batches(held).combine_chunks()
+                codes = rows[by].combine_chunks().dictionary_encode(null_encoding="encode")
+                codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy()
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [len(rows)]])
+                if batch is not None:  # the last series may go on
+                    starts = starts[:-1]
+                yield searched(rows, starts)
+                held = rows.slice(int(starts[-1])).to_batches()
+
+    together = recent.repartition(F.col(by)).sortWithinPartitions(by)  # as the window has left them: no shuffle or sort of their own
+    return together.mapInArrow(find, kind)
 
 
 def without_stale(stored: DataFrame, found: DataFrame, scope: DataFrame, keys: Sequence[str] = ("fingerprint", "domain"), only_if_found: bool = True) -> DataFrame:

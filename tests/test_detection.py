@@ -90,6 +90,36 @@ def test_change_points(spark, xs, points):
         assert d[0].hazard == pytest.approx(math.log(2), abs=0.02)
 
 
+def test_series_are_searched_side_by_side(spark):
+    """Series of several lengths, too short ones, one without a name and missing values, each found as if alone, through batches in whose middle series end; few calls search them all."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for f in range(60):
+        n = [3, 18, 18, 25][f % 4]
+        at = int(rng.integers(4, 14))
+        xs = rng.normal(10, 1, n) + np.where(np.arange(n) >= at, 8.0 * (f % 3), 0.0)
+        rows += [(None if f == 7 else f"s{f}", k, None if f % 5 == 0 and k == 2 else float(x), str(k)) for k, x in enumerate(xs)]
+    d = spark.createDataFrame(rows, "fingerprint string, value_id long, range double, domain string").repartition(1)
+    want = set()
+    for fp in {r[0] for r in rows}:
+        ys = [(x, i) for f, i, x, _ in rows if f == fp and x is not None]
+        if len(ys) >= 5:
+            [found] = detect.change_points(np.array([[x for x, _ in ys]]), 5, 0.01, 0.0)
+            want |= {(fp, k, ys[k][1]) for k, _ in found}
+    for size in (1, 90, 100_000):
+        got = detect.e_divisive(d, window=5, most_p=0.01, at_once=size).collect()
+        assert {(r.fingerprint, r["index"], r.range_value_id) for r in got} == want and len(got) == len(want) > 30
+
+
+def test_a_thousand_series_take_few_calls(monkeypatch):
+    """The number of calls to the statistic is that of lengths and rounds, not of series."""
+    calls, statistic = [], detect.split_statistic
+    monkeypatch.setattr(detect, "split_statistic", lambda x: calls.append(1) or statistic(x))
+    x = np.random.default_rng(4).normal(0, 1, (1000, 30)) + np.where(np.arange(30) >= 12, 6.0, 0.0)
+    found = detect.change_points(x, 5, 0.001, 0.0)
+    assert np.mean([any(abs(k - 12) < 2 for k, _ in ks) for ks in found]) > 0.95 and len(calls) < 200
+
+
 def test_student_tail():
     assert detect.student_tail(2.228, 10) == pytest.approx(0.05, abs=1e-4)
     assert detect.student_tail(0, 5) == 1.0
