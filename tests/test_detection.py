@@ -312,6 +312,20 @@ def test_a_kept_closure_follows_its_edges(spark):
     assert int(last) == 2**5
 
 
+def test_a_kept_closure_leaves_its_tables_only(spark):
+    """What is stored after a change is the closure before it and the one after it; the rounds' tables are gone, and others' files stay."""
+    folder = Path(urlparse(lineage.shared_folder(spark)).path)
+    tables = lambda: {*folder.glob("table-*")}
+    edges = lambda *pairs: spark.createDataFrame(pairs, "child_id int, parent_id int")
+    there = tables()
+    before = closure_table.counted(edges((1, 0), (2, 0), (3, 1), (3, 2), (4, 3)))
+    assert len(tables() - there) == 1
+    after = closure_table.changed(before, inserted=edges((5, 4), (4, 2)), deleted=edges((3, 1)))
+    assert len(tables() - there) == 2
+    assert {(r.root, r.id): int(r.paths) for r in before.collect()} == {(0, 1): 1, (0, 2): 1, (0, 3): 2, (0, 4): 2, (1, 3): 1, (1, 4): 1, (2, 3): 1, (2, 4): 1, (3, 4): 1}
+    assert {(r.root, r.id): int(r.paths) for r in after.collect()} == {(0, 1): 1, (0, 2): 1, (0, 3): 1, (0, 4): 2, (0, 5): 2, (2, 3): 1, (2, 4): 2, (2, 5): 2, (3, 4): 1, (3, 5): 1, (4, 5): 1}
+
+
 def test_reconcile(spark):
     left = spark.createDataFrame([(1, "a", 0, "5"), (1, "b", 0, "1.0000000001"), (1, "c", 0, "TBD"), (1, "d", 0, "9"), (1, "e", 0, "3")], "run_id int, label string, pos int, value string")
     right = spark.createDataFrame([(1, "a", '"5"'), (1, "b", "1.0"), (1, "d", "8")], "run_id int, label string, value string")
